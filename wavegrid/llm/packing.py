@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -14,12 +16,16 @@ from pyspark.sql import functions as F
 from wavegrid.llm.scan import map_batches, slices, utf8
 
 #: Words whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 800_000
 #: Pieces shorter than a window that a task places together; this bounds its memory.
 GROUP = 200_000
 #: A window with more room than this when all pieces are placed is dissolved into full windows and powers of two.
 ROOM = 48
 
+#: A small letter before a stop ends its token.
+_LETTERS = frozenset(range(ord("a"), ord("z") + 1))
+_STOPS = (b".", b",", b";", b":", b"!", b"?")
+
 _encoders: dict[tuple[str, int], _Encoder] = {}
 
 
@@ -33,8 +39,15 @@ class _Encoder(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
+        small = word.lower()
+        if small != word and b"<" not in word:
+            return self[small]  # the tokenizer lower-cases all but its special tokens
+        if word[-1:] in _STOPS and len(word) > 1 and word[-2] in _LETTERS:
+            return self[word[:-1]] + self[word[-1:]]  # a letter and a stop never share a token
+        found = array("I", self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if sys.byteorder != "little":
+            found.byteswap()
+        found = found.tobytes()
         if len(self) >= WORDS:
             self.clear()
         if len(word) <= 64:
