@@ -29,3 +29,12 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
     """``df.mapInArrow`` with this package available to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(kernel, schema)
+
+
+#: Rows of a table of a few numbers that may be sent to every executor; some 16 MB.
+SMALL_ROWS = 400_000
+
+
+def small_or_plain(df: DataFrame) -> DataFrame:
+    """A checkpointed table, marked for broadcast if its counted rows are few; joins shuffle it otherwise."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
