@@ -10,28 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.components import unsigned
-from wavegrid.llm.scan import map_batches
+from wavegrid.llm.scan import map_batches, small_or_plain
 
 #: Members of a bucket that are compared in one piece; larger buckets are cut and all pairs of cuts compared.
 CHUNK = 4096
+#: One fingerprint in so many is looked at to find buckets that need cutting.
+SAMPLED = 64
 #: Up to this size a bucket's pairs are compared by shifting whole batches.
 SHIFTED = 16
 
 
 def spread(keyed: DataFrame, *carried: str) -> DataFrame:
-    """Members of buckets with two or more, sorted by bucket; ``keyed`` has bucket, fp and ``carried`` columns.
+    """The members of buckets, sorted by bucket; ``keyed`` has bucket, fp and ``carried`` columns and is read twice.
 
-    A bucket of over CHUNK members is cut into c pieces and each of its members goes to the c
-    pairs of pieces that hold it, so that every two members still meet once, in bounded groups.
+    A bucket of c pieces of CHUNK members has each member sent to the c pairs of pieces that hold it,
+    so that every two members still meet, in bounded groups. Sizes are estimated from one in
+    SAMPLED fingerprints; a size guessed wrong changes how long a group takes and never what is found.
     """
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cuts = F.ceil(F.col("_n") / CHUNK).cast("long")
+    seen = keyed.where(F.pmod(F.xxhash64(F.lit(SAMPLED), "fp"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    large = seen.where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("long").alias("_cuts")).checkpoint()
     own = F.pmod(F.xxhash64("fp"), F.col("_cuts"))
-    pairs = F.when(F.col("_cuts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+    pairs = F.when(F.col("_cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1), lambda j: F.least(own, j) * F.col("_cuts") + F.greatest(own, j))
     )
-    shared = keyed.join(sizes, "bucket").withColumn("_cuts", cuts).select("bucket", F.explode(pairs).alias("part"), "fp", *carried)
-    return shared.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    cut = keyed.join(small_or_plain(large), "bucket", "left").select("bucket", F.explode(pairs).alias("part"), "fp", *carried)
+    return cut.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
 
 def groups(batches, columns: int):
