@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +42,25 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("wavegrid", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a DataFrame as Parquet beside the checkpoints and reads it back.
+
+    The files survive lost executors and are smaller than checkpoints of rows. They are deleted at the
+    end of the block, so what leaves it has to be checkpointed.
+    """
+    ensure_checkpoint_dir(spark)
+    home = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+    def store(df: DataFrame) -> DataFrame:
+        path = f"{home}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield store
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
