@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,13 @@ FACTORS = 8
 EPOCHS = 12
 SEED = 20_240_201
 #: Most labelled rows that the model is fitted on; the ones with the smallest hash of their id.
-SAMPLE = 16_384
+SAMPLE = 8_192
 #: Words whose term a worker remembers.
-WORDS = 400_000
+WORDS = 200_000
+#: Chi-squared of a term's presence and the label from which the term gets weights.
+LEAST_CHI2 = 20.0
+#: Bytes of the word beginnings that are terms.
+BEGINNINGS = (4, 5)
 
 #: Separators: ASCII characters that are neither letters nor digits; letters go to lower case.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
@@ -31,10 +37,13 @@ _models: dict[str, tuple] = {}
 
 
 class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
+    """A word's terms: its own and those of its beginnings, which stand for its inflected and joined forms."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= WORDS:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, SEED) % TERMS
+        parts = (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n))
+        self[word] = found = tuple(xxhash.xxh64_intdigest(x, SEED) % TERMS for x in parts)
         return found
 
 
@@ -44,7 +53,7 @@ _terms = _Terms()
 def terms(text: bytes | None) -> np.ndarray:
     """The different terms of a text, sorted."""
     words = set((text or b"").translate(_WORD_BYTES).split())
-    return np.unique(np.fromiter(map(_terms.__getitem__, words), np.int64, len(words)))
+    return np.unique(np.fromiter(chain.from_iterable(map(_terms.__getitem__, words)), np.int64))
 
 
 def _term_rows(batches):
@@ -53,45 +62,41 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["y", "terms"])
 
 
+@dataclass
 class Machine:
-    """w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j over present terms; weights of rare terms stay near 0.
-
-    x is 1 for every term present, scaled by the square root of their number in the pairwise part, so that
-    long texts keep comparable scores.
-    """
+    """bias + sum of the weights of a text's terms + sum over pairs of its terms of the product of their factors."""
 
-    def __init__(self, index: np.ndarray, bias: float, weight: np.ndarray, factor: np.ndarray) -> None:
-        self.index, self.bias, self.weight, self.factor = index, bias, weight, factor
+    index: np.ndarray
+    bias: float
+    weight: np.ndarray
+    factor: np.ndarray
 
-    def parts(self, found: np.ndarray) -> np.ndarray:
-        """Rows of the terms known to the model."""
-        at = np.searchsorted(self.index, found)
-        at = at[(at < len(self.index))]
-        return at[np.isin(self.index[at], found, assume_unique=True)] if len(at) else at
 
-    def score(self, rows: np.ndarray) -> float:
-        v = self.factor[rows]
-        total = v.sum(axis=0)
-        pairs = 0.5 * float((total * total).sum() - (v * v).sum())
-        return self.bias + float(self.weight[rows].sum()) + pairs
+def _chi_squared(both: np.ndarray, term: np.ndarray, toxic: float, n: int) -> np.ndarray:
+    """Of 2 x 2 tables: texts with the term and toxic, with the term, toxic, and all."""
+    expected = term * toxic / max(n, 1)
+    spread = expected * (1 - toxic / max(n, 1)) * (1 - term / max(n, 1))
+    return (both - expected) ** 2 / np.maximum(spread, 1e-9)
 
 
-def fit(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = EPOCHS, least: int = 3) -> Machine:
+def fit(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = EPOCHS, least: float = LEAST_CHI2) -> Machine:
     """Adagrad on the logistic loss, one text at a time in a fixed shuffled order; both classes weigh the same.
 
-    Only terms of at least ``least`` texts get a weight: others cannot be told from chance.
+    Only terms whose presence goes with the label (chi-squared of at least ``least``) get weights: the many
+    others can't be told from chance, and in long texts they would drown the few that count.
     """
     rng = np.random.default_rng(SEED)
     every = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64)
-    index, counts = np.unique(every, return_counts=True)
-    index = index[counts >= least]
+    index, where, counts = np.unique(every, return_inverse=True, return_counts=True)
+    toxic = np.bincount(where, weights=np.repeat(labels, [len(t) for t in texts]), minlength=len(index))
+    index = index[_chi_squared(toxic, counts, float(labels.sum()), len(labels)) >= least]
     machine = Machine(index, 0.0, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), factors)))
     positive = float(labels.sum())
     if not len(index) or positive in (0.0, float(len(labels))):
         machine.bias = float(np.log((positive + 1) / (len(labels) - positive + 1)))
         return machine
     share = {1: 0.5 * len(labels) / positive, 0: 0.5 * len(labels) / (len(labels) - positive)}
-    rows = [np.flatnonzero(np.isin(index, t, assume_unique=True)) if len(t) > 2000 else machine.parts(t) for t in texts]
+    rows = [np.flatnonzero(np.isin(index, t, assume_unique=True)) for t in texts]
     sum_w, sum_v, sum_b, rate, shrink = np.full(len(index), 1e-1), np.full((len(index), factors), 1e-1), 1e-1, 0.2, 2e-4
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -140,7 +145,7 @@ def _dense(machine: Machine) -> tuple:
 def _probability(text: bytes | None, model: tuple) -> float:
     bias, weight, factor = model
     rows = terms(text)
-    rows = rows[weight[rows] != 0]
+    rows = rows[weight[rows] != 0]  # other terms have no factors either
     v = factor[rows].astype(np.float64)
     total = v.sum(axis=0)
     z = bias + float(weight[rows].sum(dtype=np.float64)) + 0.5 * float((total * total).sum() - (v * v).sum())
