@@ -10,10 +10,10 @@ from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.scan import map_batches, slices, utf8
+from wavegrid.llm.scan import map_batches, slices, utf8, whole_row
 
 #: ASCII letters in lower case and digits stay, bytes of other characters stay, the rest separates words.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
@@ -114,32 +114,33 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> li
     return [[(r.item, bytes(r.text or b"")) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def scan_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, limit: int = SHARD_BYTES) -> DataFrame:
-    """``df`` with ``_words`` (count), ``_hits`` (intervals of word numbers) and ``_items`` (ids as sorted strings).
+def scan_documents(df: DataFrame, benchmark: DataFrame, row: Column, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, limit: int = SHARD_BYTES) -> DataFrame:
+    """``row`` of each row of ``df``, words (count), hits (intervals of word numbers) and items (ids as sorted strings).
 
     A word is a run of digits, letters and non-ASCII characters, ASCII letters lower-cased. A window is
     ``width`` consecutive words of an item, or all of a shorter item's words; a document word in any
     occurrence of a window is hit. Null and empty texts have no words; items with a null id or no word
     have no windows; items that share an id count once, by their strings. Every text is scanned whole, once
     for every SHARD_BYTES of benchmark text, which bounds the automaton that is sent to the workers;
-    no documents are shuffled. Columns of ``df`` may not begin with an underscore.
+    no documents are shuffled.
     """
     spark = df.sparkSession
-    work = df.withColumns({"_text": utf8(text_col), "_words": F.lit(0).cast("long"), "_hits": F.lit(None).cast("array<struct<a:long,b:long>>"), "_items": F.lit(None).cast("array<string>")})
+    none = {"_words": F.lit(0).cast("long"), "_hits": F.lit(None).cast("array<struct<a:long,b:long>>"), "_items": F.lit(None).cast("array<string>")}
+    work = df.select(row.alias("row"), utf8(text_col).alias("_text"), *(c.alias(n) for n, c in none.items()))
     for items in shards(benchmark, item_col, item_text_col, limit):
         packed = pickle.dumps(items)
         key = f"{hashlib.sha256(packed).hexdigest()}:{width}"
         work = map_batches(work, partial(_scan_batches, shared=spark.sparkContext.broadcast(packed), key=key, width=width), work.schema)
-    return work.drop("_text")
+    return work.select("row", F.col("_words").alias("words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, n_words, n_hit, n_items, items (sorted), hits (intervals of word numbers)."""
-    work = scan_documents(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", **options)
-    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, h: n + h["b"] - h["a"] + 1)
-    return work.select("id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.col("_hits").alias("hits"))
+    work = scan_documents(df, benchmark, F.struct(F.col(id_col).cast("long").alias("id")), text_col, **options)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["b"] - h["a"] + 1)
+    return work.select("row.id", F.col("words").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df``, all columns, in which no window of the benchmark occurs."""
-    return scan_documents(df, benchmark, text_col, **options).where(F.size("_hits") == 0).select(*df.columns)
+    return scan_documents(df, benchmark, whole_row(df), text_col, **options).where(F.size("hits") == 0).select("row.*")

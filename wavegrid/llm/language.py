@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from functools import partial
 
@@ -174,5 +175,5 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     names, table, norms = learn(df.where(~kept_out), text_col, lang_col, dimensions)
     packed = pickle.dumps((names, table, norms))
     rows = df.select(F.col(id_col).cast("long").alias("id"), kept_out.alias("held_out"), utf8(text_col).alias("text"))
-    key = f"{spark.sparkContext.applicationId}:{hash(packed)}"
+    key = f"{spark.sparkContext.applicationId}:{hashlib.sha256(packed).hexdigest()}"
     return map_batches(rows, partial(_predict, shared=spark.sparkContext.broadcast(packed), key=key, dimensions=dimensions), "id long, held_out boolean, lang_pred string, score double")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,25 @@ def _plain_words(text: str) -> list[str]:
     return re.sub(_SEPARATORS, " ", text.lower()).split()
 
 
+def _hash(value: bytes, seed: int = 42) -> int:
+    """As Spark's xxhash64, unsigned; its argument list is hashed left to right, each hash the seed of the next."""
+    return xxhash.xxh64_intdigest(value, seed)
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _template_shingles(words: list[str], size: int) -> list[int]:
+    return list(dict.fromkeys(_long(_hash(" ".join(words[i : i + size]).encode())) for i in range(len(words) - size + 1)))
+
+
+def _template_keys(shingles: list[int], bands: int) -> list[int]:
+    """As ``_band_keys``."""
+    least = [min(_long(_hash(struct.pack("<q", s), _hash(struct.pack("<i", -b)))) for s in shingles) for b in range(bands)]
+    return [_long(_hash(struct.pack("<q", m), _hash(struct.pack("<i", b)))) for b, m in enumerate(least)]
+
+
 def anchors(words: list[str], size: int, containment: float) -> list[str]:
     """Words of which a window with that share of the template's shingles must hold one: their shingles are too many to be missing.
 
@@ -137,11 +158,10 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for (k, most), own in classes.items():
         stride = max(1, most // 2)
         length = most + stride
-        spans = [(n, len(ws) - k + 1) for n, ws in own]
-        hashed = [_shingles(literal(ws, "string"), F.lit(0), F.lit(n - 1), k) for (_, ws), (_, n) in zip(own, spans, strict=True)]
-        row = df.sparkSession.range(1).select(*[h for h in hashed], *[_band_keys(h, bands) for h in hashed]).first()
-        known = F.array(*[F.struct(F.lit(n).alias("name"), literal(list(row[i]), "bigint").alias("shingles"), literal(list(row[i + len(own)]), "bigint").alias("keys")) for i, (n, _) in enumerate(spans)])
-        every = literal(sorted({x for i in range(len(own)) for x in row[i + len(own)]}), "bigint")
+        shingled = [(n, _template_shingles(ws, k)) for n, ws in own]
+        keyed = [(n, hs, _template_keys(hs, bands)) for n, hs in shingled]
+        known = F.array(*[F.struct(F.lit(n).alias("name"), literal(hs, "bigint").alias("shingles"), literal(ks, "bigint").alias("keys")) for n, hs, ks in keyed])
+        every = literal(sorted({x for _, _, ks in keyed for x in ks}), "bigint")
         last = F.size(words) - k
         found.append(_matches(words, at, known, every, k, stride, length, last, bands))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("_text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import bitsliced, credentials, decontaminate, language, licenses, linededup, packing, simhash, toxicity
+from wavegrid.llm import bitsliced, credentials, decontaminate, language, licenses, linededup, packing, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["name"]), ",").alias("licenses"), "matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lines, op4_language, op5_secrets, op6_topk, op8_toxicity, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lines, op4_language, op5_secrets, op6_topk, op7_urls, op8_toxicity, op9_packing, op10_licenses)}
 #: DuckDB's SQL for the queries that it can express.
 ORACLE = {
     "op6_topk": """

@@ -25,6 +25,11 @@ def utf8(name: str) -> Column:
     return F.col(name).cast("string").cast("binary")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that working columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package available to the workers."""
     ship_package(df.sparkSession)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.llm.buckets import near_links
 from wavegrid.llm.components import connected_components
-from wavegrid.llm.scan import map_batches, slices, utf8
+from wavegrid.llm.scan import map_batches, slices, small_or_plain, utf8
 from wavegrid.session import ensure_checkpoint_dir
 
 BITS = 64
@@ -97,5 +97,6 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows with a null id stay. Repeated rows of a kept id all stay.
     """
     found = simhash_components(df, id_col, text_col, radius, ngram)
-    drop = found.where("id <> component").select(F.col("id").alias("_dropped")).distinct()
-    return df.join(drop, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    drop = found.where("id <> component").select("id").distinct().checkpoint().alias("dropped")
+    rows = df.alias("kept")
+    return rows.join(small_or_plain(drop), F.col(f"kept.{id_col}").cast("long") == F.col("dropped.id"), "left_anti").select("kept.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from dataclasses import dataclass
 from functools import partial
@@ -10,11 +11,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.language import held_out
-from wavegrid.llm.scan import map_batches, slices, utf8
+from wavegrid.llm.scan import map_batches, slices, utf8, whole_row
 
 #: Hashed terms, factors of each, and passes over the sample.
 TERMS = 1 << 18
@@ -152,27 +153,27 @@ def _probability(text: bytes | None, model: tuple) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _score(batches, shared, key: str, text_name: str, out_name: str):
+def _score(batches, shared, key: str):
     if key not in _models:
         _models.clear()
         _models[key] = _dense(pickle.loads(shared.value))
     model = _models[key]
     for batch in slices(batches):
-        found = [_probability(x, model) for x in batch.column(text_name).to_pylist()]
-        names = [*(n for n in batch.schema.names if n != text_name), out_name]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(found, pa.float64())], names)
+        found = [_probability(x, model) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
 
-def with_score(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """``df`` and a column ``_score``: the probability that a text is toxic. Null and empty texts get the bias's.
+def scores(df: DataFrame, machine: Machine, row: Column, text_col: str = "text") -> DataFrame:
+    """``row`` of each row of ``df`` and score, the probability that the text is toxic; a null text is an empty one.
 
-    Columns of ``df`` may not be named ``_text`` or ``_score``; nothing is shuffled.
+    Nothing is shuffled; the machine sent to the workers holds the terms of at most SAMPLE texts.
     """
     context = df.sparkSession.sparkContext
     packed = pickle.dumps(machine)
-    work = df.withColumn("_text", utf8(text_col))
-    schema = df.withColumn("_score", F.lit(0.0)).schema
-    return map_batches(work, partial(_score, shared=context.broadcast(packed), key=f"{context.applicationId}:{hash(packed)}", text_name="_text", out_name="_score"), schema)
+    work = df.select(row.alias("row"), utf8(text_col).alias("text"))
+    schema = work.select("row", F.lit(0.0).alias("score")).schema
+    key = f"{context.applicationId}:{hashlib.sha256(packed).hexdigest()}"
+    return map_batches(work, partial(_score, shared=context.broadcast(packed), key=key), schema)
 
 
 def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> DataFrame:
@@ -183,12 +184,11 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     labels of one kind, all texts get one score.
     """
     machine = learn(df, labels, id_col, text_col, label_col, folds, fold, sample)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds, fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    found = with_score(rows, machine)
-    return found.select("id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    row = F.struct(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds, fold).alias("held_out"))
+    return scores(df, machine, row, text_col).select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``df``, all columns, that score under ``threshold``."""
     machine = learn(df, labels, **options)
-    return with_score(df, machine, options.get("text_col", "text")).where(F.col("_score") < threshold).select(*df.columns)
+    return scores(df, machine, whole_row(df), options.get("text_col", "text")).where(F.col("score") < threshold).select("row.*")
