@@ -37,21 +37,28 @@ def spread(keyed: DataFrame, *carried: str) -> DataFrame:
     return cut.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
 
+#: Rows that are gathered from sorted batches before they are compared.
+GATHERED = 16_384
+
+
 def groups(batches, columns: int):
-    """Numpy columns of whole (bucket, part) groups from sorted batches, as many groups at once as a batch holds."""
-    held = None
+    """Columns of whole (bucket, part) groups from sorted batches, many groups at once."""
+    held, rows = [], 0
     for batch in batches:
-        if not batch.num_rows:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows < GATHERED:
             continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        b, p = (held.column(i).to_numpy() for i in (0, 1))
+        table = pa.Table.from_batches(held)
+        b, p = (table.column(i).to_numpy() for i in (0, 1))
         first = int(np.flatnonzero((b == b[-1]) & (p == p[-1]))[0])
         if first:
-            yield [held.column(i).slice(0, first) for i in range(columns)]
-            held = held.slice(first)
-    if held is not None and held.num_rows:
-        yield [held.column(i) for i in range(columns)]
+            yield [table.column(i).slice(0, first) for i in range(columns)]
+        held, rows = table.slice(first).to_batches(), table.num_rows - first
+    if held:
+        table = pa.Table.from_batches(held)
+        yield [table.column(i) for i in range(columns)]
 
 
 def _walk(fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wavegrid.llm.scan import map_batches, slices, utf8
 
 #: Words whose ids a worker remembers.
-WORDS = 800_000
+WORDS = 300_000
 #: Pieces shorter than a window that a task places together; this bounds its memory.
 GROUP = 200_000
 #: A window with more room than this when all pieces are placed is dissolved into full windows and powers of two.
@@ -48,9 +48,7 @@ class _Encoder(dict):
         if sys.byteorder != "little":
             found.byteswap()
         found = found.tobytes()
-        if len(self) >= WORDS:
-            self.clear()
-        if len(word) <= 64:
+        if len(self) < WORDS and len(word) <= 64:  # frequent words come early
             self[word] = found
         return found
 

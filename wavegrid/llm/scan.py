@@ -30,9 +30,16 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
+#: Rows of an Arrow batch where the session has Spark's default; whole texts in it may be long.
+BATCH_ROWS = "1000"
+
+
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package available to the workers."""
+    """``df.mapInArrow`` with this package available to the workers, in batches that long texts don't make huge."""
     ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(kernel, schema)
 
 

@@ -25,7 +25,7 @@ SEED = 20_240_201
 #: Most labelled rows that the model is fitted on; the ones with the smallest hash of their id.
 SAMPLE = 8_192
 #: Words whose term a worker remembers.
-WORDS = 200_000
+WORDS = 100_000
 #: Chi-squared of a term's presence and the label from which the term gets weights.
 LEAST_CHI2 = 20.0
 #: Bytes of the word beginnings that are terms.
@@ -41,10 +41,10 @@ class _Terms(dict):
     """A word's terms: its own and those of its beginnings, which stand for its inflected and joined forms."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= WORDS:
-            self.clear()
         parts = (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n))
-        self[word] = found = tuple(xxhash.xxh64_intdigest(x, SEED) % TERMS for x in parts)
+        found = tuple(xxhash.xxh64_intdigest(x, SEED) % TERMS for x in parts)
+        if len(self) < WORDS:  # frequent words come early
+            self[word] = found
         return found
 
 
