@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from wavegrid.llm.scan import map_batches, slices, utf8
 
 #: Words whose ids a worker remembers.
-WORDS = 300_000
+WORDS = 200_000
 #: Pieces shorter than a window that a task places together; this bounds its memory.
 GROUP = 200_000
 #: A window with more room than this when all pieces are placed is dissolved into full windows and powers of two.
 ROOM = 48
+#: Tokens of waiting pieces from which a task places them, which bounds its memory too.
+HELD = 4 << 20
 
 #: A small letter before a stop ends its token.
 _LETTERS = frozenset(range(ord("a"), ord("z") + 1))
@@ -178,7 +180,7 @@ def _pack(batches, path: str, size: int, end_id: int, with_ids: bool):
             if rest := total % size:
                 waiting.append((doc, total - rest, ids[4 * (total - rest) :], total, rest))
                 held += rest
-        if len(waiting) >= GROUP or held >= 64 << 20:
+        if len(waiting) >= GROUP or held >= HELD:
             used, held = place(), 0
         if rows:
             yield flush()
