@@ -1,0 +1,4 @@
+"""Registered queries."""
+
+from wavegrid.plans import headers, imaging  # noqa: F401
+from wavegrid.plans.registry import ORACLE, QUERIES  # noqa: F401
