@@ -23,18 +23,20 @@ SHIFTED = 16
 def spread(keyed: DataFrame, *carried: str) -> DataFrame:
     """The members of buckets, sorted by bucket; ``keyed`` has bucket, fp and ``carried`` columns and is read twice.
 
-    A bucket of c pieces of CHUNK members has each member sent to the c pairs of pieces that hold it,
-    so that every two members still meet, in bounded groups. Sizes are estimated from one in
+    A bucket of c pieces of CHUNK members has each member sent to the c pairs of pieces that hold it, each
+    a bucket of its own, so that every two members still meet, in bounded groups. Sizes are estimated from one in
     SAMPLED fingerprints; a size guessed wrong changes how long a group takes and never what is found.
     """
     seen = keyed.where(F.pmod(F.xxhash64(F.lit(SAMPLED), "fp"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
     large = seen.where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("long").alias("_cuts")).checkpoint()
-    own = F.pmod(F.xxhash64("fp"), F.col("_cuts"))
-    pairs = F.when(F.col("_cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1), lambda j: F.least(own, j) * F.col("_cuts") + F.greatest(own, j))
-    )
-    cut = keyed.join(small_or_plain(large), "bucket", "left").select("bucket", F.explode(pairs).alias("part"), "fp", *carried)
-    return cut.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    if large.isEmpty():
+        cut = keyed
+    else:
+        own = F.pmod(F.xxhash64("fp"), F.col("_cuts"))
+        pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+        cut = keyed.join(small_or_plain(large), "bucket", "left")
+        cut = cut.select(F.explode(F.when(F.col("_cuts").isNull(), F.array("bucket")).otherwise(pieces)).alias("bucket"), "fp", *carried)
+    return cut.select("bucket", "fp", *carried).repartition("bucket").sortWithinPartitions("bucket")
 
 
 #: Rows that are gathered from sorted batches before they are compared.
@@ -42,7 +44,7 @@ GATHERED = 16_384
 
 
 def groups(batches, columns: int):
-    """Columns of whole (bucket, part) groups from sorted batches, many groups at once."""
+    """Columns of whole buckets from sorted batches, many buckets at once."""
     held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
@@ -51,8 +53,8 @@ def groups(batches, columns: int):
         if rows < GATHERED:
             continue
         table = pa.Table.from_batches(held)
-        b, p = (table.column(i).to_numpy() for i in (0, 1))
-        first = int(np.flatnonzero((b == b[-1]) & (p == p[-1]))[0])
+        b = table.column(0).to_numpy()
+        first = int(np.searchsorted(b, b[-1]))
         if first:
             yield [table.column(i).slice(0, first) for i in range(columns)]
         held, rows = table.slice(first).to_batches(), table.num_rows - first
@@ -78,10 +80,10 @@ def _walk(fp: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _links(batches, radius: int):
-    for bucket, part, fp, node in groups(batches, 4):
-        bucket, part, node = (x.to_numpy() for x in (bucket, part, node))
+    for bucket, fp, node in groups(batches, 3):
+        bucket, node = bucket.to_numpy(), node.to_numpy()
         fp = unsigned(fp.to_numpy())
-        start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         size = np.diff(np.r_[start, len(fp)])
         a, b = [], []
         few = np.repeat(size <= SHIFTED, size)

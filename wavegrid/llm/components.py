@@ -60,9 +60,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
-    start = links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = map_batches(start, local_forests, "u long, v long").distinct()
-    edges = map_batches(edges.repartition("v"), local_forests, "u long, v long").distinct().checkpoint()
+    a, b = F.col(a).cast("long"), F.col(b).cast("long")
+    start = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull())
+    # shuffled first, so that no task runs the worker that makes links and this one at once
+    edges = map_batches(start.repartition("v"), local_forests, "u long, v long").distinct().checkpoint()
     before = None
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

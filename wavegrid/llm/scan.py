@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,13 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(kernel, schema)
+    return df.mapInArrow(partial(_released, kernel=kernel), schema)
+
+
+def _released(batches: Iterator[pa.RecordBatch], kernel) -> Iterator[pa.RecordBatch]:
+    """The kernel's batches; what Arrow holds beyond them goes back to the system at the end of the task."""
+    yield from kernel(batches)
+    pa.default_memory_pool().release_unused()
 
 
 #: Rows of a table of a few numbers that may be sent to every executor; some 16 MB.
