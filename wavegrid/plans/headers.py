@@ -184,9 +184,9 @@ def acquisition_azimuth_pca(spark, d):
     return r6(A.covariance_azimuth(headers(spark, d), "sx", "sy"), "azimuth", digits=3)
 
 
-@query("WITH {headers} SELECT shot_id, round(((degrees(atan2(arg_max(sx,trace_idx)-arg_min(sx,trace_idx),arg_max(sy,trace_idx)-arg_min(sy,trace_idx)))%360)+360)%360,6) AS azimuth, count(*) AS n FROM headers GROUP BY shot_id HAVING count(*)>5")
+@query("WITH {headers} SELECT shot_id, round(((degrees(atan2(arg_max(sx,(trace_idx,sx,sy))-arg_min(sx,(trace_idx,sx,sy)),arg_max(sy,(trace_idx,sx,sy))-arg_min(sy,(trace_idx,sx,sy))))%360)+360)%360,6) AS azimuth, count(*) AS n FROM headers GROUP BY shot_id HAVING count(*)>5")
 def shot_line_azimuth(spark, d):
-    by = headers(spark, d).groupBy("shot_id").agg(*[f(c, "trace_idx").alias(f"{c}{n}") for c in ("sx", "sy") for n, f in ((0, F.min_by), (1, F.max_by))], F.count(F.lit(1)).alias("n")).where("n > 5")
+    by = headers(spark, d).groupBy("shot_id").agg(*[f(c, F.struct("trace_idx", "sx", "sy")).alias(f"{c}{n}") for c in ("sx", "sy") for n, f in ((0, F.min_by), (1, F.max_by))], F.count(F.lit(1)).alias("n")).where("n > 5")
     return r6(by.select("shot_id", G.azimuth("sx0", "sy0", "sx1", "sy1").alias("azimuth"), "n"), "azimuth")
 
 
