@@ -182,14 +182,18 @@ def morton(ix: C, iy: C) -> Column:
 
 def hilbert(ix: C, iy: C, order: int) -> Column:
     """Distance along the Hilbert curve of 2^order x 2^order cells."""
-    x, y, d = _c(ix).cast("long"), _c(iy).cast("long"), F.lit(0).cast("long")
-    for s in (1 << k for k in reversed(range(order))):
-        rx, ry = (x.bitwiseAND(F.lit(s)) > 0).cast("long"), (y.bitwiseAND(F.lit(s)) > 0).cast("long")
-        d = d + s * s * (3 * rx).bitwiseXOR(ry)
-        # within the quadrant: mirrored and turned where ry is 0
-        mx, my = F.when((ry == 0) & (rx == 1), s - 1 - x.bitwiseAND(F.lit(s - 1))).otherwise(x.bitwiseAND(F.lit(s - 1))), F.when((ry == 0) & (rx == 1), s - 1 - y.bitwiseAND(F.lit(s - 1))).otherwise(y.bitwiseAND(F.lit(s - 1)))
-        x, y = F.when(ry == 0, my).otherwise(mx), F.when(ry == 0, mx).otherwise(my)
-    return d
+
+    def step(at: Column, s: Column) -> Column:
+        rx, ry = (F.floor(at[c] / s).cast("long") % 2 for c in ("x", "y"))
+        x, y = at["x"] % s, at["y"] % s
+        # within the quadrant: turned where ry is 0, and mirrored there if rx is 1
+        mx, my = F.when((ry == 0) & (rx == 1), s - 1 - x).otherwise(x), F.when((ry == 0) & (rx == 1), s - 1 - y).otherwise(y)
+        d = at["d"] + s * s * (3 * rx).bitwiseXOR(ry)
+        return F.struct(F.when(ry == 0, my).otherwise(mx).alias("x"), F.when(ry == 0, mx).otherwise(my).alias("y"), d.alias("d"))
+
+    start = F.struct(_c(ix).cast("long").alias("x"), _c(iy).cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    sizes = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(order))])
+    return F.aggregate(sizes, start, step, lambda at: at["d"])
 
 
 def clamp(x: C, low: float, high: float) -> Column:
