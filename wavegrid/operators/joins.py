@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.session import ensure_checkpoint_dir
+
 
 def _cells(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumns({"_cx": F.floor(F.col(x) / size).cast("long"), "_cy": F.floor(F.col(y) / size).cast("long")})
@@ -43,29 +45,27 @@ def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, p
     """The k nearest points of each query, with ``dist`` and ``rank``, ties to the smaller id.
 
     Queries that find fewer than k points in ``radius`` are tried again at twice the radius, until all have
-    k or the radius spans the points; each round joins only those left.
+    k or the radius spans the points; each round joins only those left. At most k rows a query are kept of a
+    round, and they are checkpointed, so that a later round's plan doesn't hold the earlier ones.
     """
     x0, x1, y0, y1, n = points.agg(F.min(names.get("px", "mx")), F.max(names.get("px", "mx")), F.min(names.get("py", "my")), F.max(names.get("py", "my")), F.count(F.lit(1))).first()
     bounds = queries.agg(F.min(names.get("qx", "x")), F.max(names.get("qx", "x")), F.min(names.get("qy", "y")), F.max(names.get("qy", "y"))).first()
     if not n or bounds[0] is None:
         return radius_join(points, queries, radius, **names).withColumn("rank", F.lit(0))
     span = max(x1, bounds[1]) - min(x0, bounds[0]) + max(y1, bounds[3]) - min(y0, bounds[2]) + 1.0
-    order = F.struct("dist", point_id)
-    found, left = None, queries
+    ensure_checkpoint_dir(points.sparkSession)
+    own = Window.partitionBy(query_id)
+    order, found, left = own.orderBy("dist", point_id), None, queries
     while True:
-        met = radius_join(points, left, radius, **names)
-        counts = met.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"))
         last = radius >= span
-        full = counts if last else counts.where(F.col("_n") >= k)
-        own = met.join(full.select(query_id), query_id)
-        found = own if found is None else found.unionByName(own)
+        near = radius_join(points, left, radius, **names).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        near = near.withColumn("_n", F.count(F.lit(1)).over(own)).checkpoint()
+        done = near if last else near.where(F.col("_n") >= k)
+        found = done if found is None else found.unionByName(done)
         if last:
             break
-        left = left.join(full.select(query_id), query_id, "left_anti")
+        left = left.join(done.select(query_id).distinct(), query_id, "left_anti").checkpoint()
         if left.isEmpty():
             break
         radius *= 2.0
-    from pyspark.sql import Window
-
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order)).cast("long"))
-    return ranked.where(F.col("rank") <= k)
+    return found.drop("_n")
