@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tests.oracle import difference
 from wavegrid import plans
 from wavegrid.functions import geometry as G
+from wavegrid.functions import guards as U
 from wavegrid.functions import interpolation as I
 from wavegrid.functions import selection as S
 from wavegrid.functions import traveltime as T
+from wavegrid.operators import cubes as C
 from wavegrid.operators import joins as J
 from wavegrid.operators import migration as M
 from wavegrid.sources import survey
@@ -108,3 +110,21 @@ def test_scan_pushes_offset_filters_to_the_files(spark, tmp_path):
     df = survey.offset_filtered(survey.scan_headers(spark, str(tmp_path / "h")), 4.0, 6.0)
     assert df.select("trace_idx", "azimuth").first().azimuth == pytest.approx(36.8699, abs=1e-3)
     assert "GreaterThanOrEqual(OFFSET" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cube_holds_its_ends_and_marks_missing_pillars(spark):
+    x = y = C.Axis(0.0, 10.0, 3)
+    t = C.Axis(0.0, 1.0, 2)
+    pillars = [(i, j, [float(i + 2 * j), float(i + 2 * j + 4)]) for i in range(3) for j in range(3) if (i, j) != (2, 2)]
+    cube = spark.createDataFrame(pillars, "ix long, iy long, v array<double>")
+    points = spark.createDataFrame([(0, 5.0, 5.0, 0.5), (1, -9.0, 0.0, 7.0), (2, 20.0, 20.0, 0.0)], "id long, x double, y double, t double")
+    got = {r.id: r.velocity for r in C.at_points(points, cube, x, y, t).collect()}
+    assert got[0] == pytest.approx(0.5 + 1.0 + 2.0) and got[1] == pytest.approx(4.0) and got[2] is None
+
+
+def test_guards(spark):
+    bad = spark.range(1).select(U.checked_time(F.lit(float("nan"))).alias("a"), U.checked_time(F.lit(25.0)).alias("b"), U.cleaned(F.lit(float("inf")), 0.0, 9.0, 3.0).alias("c")).first()
+    assert tuple(bad.a) == (False, 0.0) and tuple(bad.b) == (False, 20.0) and bad.c == 3.0
+    powers = [one(spark, U.nearest_power_of_two(F.lit(n))) for n in (0, 1, 3, 5, 6, 7, 12, 13)]
+    assert powers == [1, 1, 2, 4, 4, 8, 8, 16]
+    assert one(spark, U.standard_bin(F.lit(26.0))) == 25.0 and one(spark, U.standard_bin(F.lit(300.0))) == 300.0
