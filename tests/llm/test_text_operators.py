@@ -229,3 +229,16 @@ def test_licenses_match_exact_containment(spark):
             if most >= 0.8 * len(shingles):
                 want.add(name)
         assert {m.name for m in r.matches} == want
+
+
+def test_line_table_cuts_as_normalised_lines():
+    rng = np.random.default_rng(6)
+    texts = [(t or "").encode() for t in ODD] + [b"", b"A1b22 00c\n\n7 7\r\nx", b"x" * (linededup.PIECE + 9) + b" y\ny " + b"x" * (linededup.PIECE + 9)]
+    texts += ["\n".join(" ".join(rng.choice(["a", "B", "12", "é,", "--"], rng.integers(0, 6))) for _ in range(rng.integers(1, 9))).encode() for _ in range(200)]
+    texts.append(b" ".join(b"w%d" % i for i in rng.permutation(40_000)))
+    got = list(zip(*(x.tolist() for x in linededup.line_table(texts)), strict=True))
+    want = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(linededup.normalised_lines(t)) if line]
+    assert [g[:3] for g in got] == [(i, n, len(line)) for i, n, line in want]
+    assert len({(g[3], b" ".join(w[2])) for g, w in zip(got, want, strict=True)}) == len({g[3] for g in got}) == len({b" ".join(w[2]) for w in want})
+    assert [g[4] for g in got] == linededup.simhashes([w[2] for w in want]).tolist()
+    assert linededup.line_table([])[0].tolist() == linededup.line_table([b"", b" - "])[0].tolist() == []
