@@ -11,8 +11,11 @@ from wavegrid import plans
 from wavegrid.functions import geometry as G
 from wavegrid.functions import guards as U
 from wavegrid.functions import interpolation as I
+from wavegrid.functions import profiles as P
 from wavegrid.functions import selection as S
+from wavegrid.functions import signal as X
 from wavegrid.functions import traveltime as T
+from wavegrid.operators import binsize as B
 from wavegrid.operators import cubes as C
 from wavegrid.operators import joins as J
 from wavegrid.operators import migration as M
@@ -128,3 +131,37 @@ def test_guards(spark):
     powers = [one(spark, U.nearest_power_of_two(F.lit(n))) for n in (0, 1, 3, 5, 6, 7, 12, 13)]
     assert powers == [1, 1, 2, 4, 4, 8, 8, 16]
     assert one(spark, U.standard_bin(F.lit(26.0))) == 25.0 and one(spark, U.standard_bin(F.lit(300.0))) == 300.0
+
+
+def test_profiles_keep_their_shape(spark):
+    knots = [(0.0, 1.0), (1.0, 2.0), (3.0, 6.0)]
+    at = lambda t, **k: one(spark, P.pchip(knots, F.lit(t).cast("double"), **k))
+    assert [at(t) for t in (0.0, 1.0, 3.0)] == pytest.approx([1.0, 2.0, 6.0]) and at(-5.0) == 1.0 and at(9.0) == 6.0
+    # slopes 2/3, 9/7 and 8/3 by hand; the middle one is the weighted harmonic mean of 1 and 2
+    assert P.slopes(knots) == pytest.approx([2 / 3, 9 / 7, 8 / 3]) and at(4.0, extrapolate=True) > 6.0
+    assert P.slopes([(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)])[1] == 0.0
+    assert one(spark, P.pchip([(5.0, 3.0)], F.lit(1.0))) == 3.0 and at(None) is None
+    with pytest.raises(ValueError):
+        P.pchip([(1.0, 1.0), (1.0, 2.0)], F.lit(1.0))
+
+
+def test_spacings_cross_cells_and_odd_tables(spark):
+    xs = [0.0, 0.5, 25.0, 50.0, 75.0, 75.0, 1000.0, None, float("nan")]
+    df = spark.createDataFrame([(x, x) for x in xs], "mx double, my double")
+    for cells in (1, 3, 4096):
+        assert sorted(r.gap for r in B.spacings(df, "mx", cells=cells).collect()) == [24.5, 25.0, 25.0, 925.0]
+    assert B.spacings(df.limit(0), "mx").count() == 0 and B.spacings(df.where("mx = 75"), "mx").count() == 0
+    even = spark.range(200).select((F.col("id") % 20 * 12.5).alias("mx"), (F.floor(F.col("id") / 20) * 50.0).alias("my"))
+    got = B.by_histogram(even).first()
+    assert (got.raw_dx, got.raw_dy, got.dx, got.dy, got.n, got.confidence) == (12.5, 50.0, 12.5, 50.0, 200, 0.5)
+    assert B.by_histogram(even.limit(0)).first().confidence == 0.0
+
+
+def test_butterworth_passes_the_band_only(spark):
+    dt = 0.004
+    waves = {f: [math.sin(2 * math.pi * f * i * dt) for i in range(500)] for f in (2.0, 30.0, 110.0)}
+    df = spark.createDataFrame([(f, w) for f, w in waves.items()] + [(0.0, None), (1.0, [3.0])], "f double, w array<double>")
+    got = {r.f: r.x for r in df.select("f", X.butterworth(10.0, 60.0, dt)(F.col("w")).alias("x")).collect()}
+    assert got[0.0] == [] and got[1.0] == [0.0]
+    assert max(abs(a - b) for a, b in zip(got[30.0][100:400], waves[30.0][100:400], strict=True)) < 0.02
+    assert all(max(map(abs, got[f][100:400])) < 0.02 for f in (2.0, 110.0))
