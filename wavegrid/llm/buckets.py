@@ -14,25 +14,25 @@ from wavegrid.llm.scan import map_batches, small_or_plain
 
 #: Members of a bucket that are compared in one piece; larger buckets are cut and all pairs of cuts compared.
 CHUNK = 4096
-#: One fingerprint in so many is looked at to find buckets that need cutting.
+#: One member in so many is looked at to find buckets that need cutting.
 SAMPLED = 64
 #: Up to this size a bucket's pairs are compared by shifting whole batches.
 SHIFTED = 16
 
 
 def spread(keyed: DataFrame, *carried: str) -> DataFrame:
-    """The members of buckets, sorted by bucket; ``keyed`` has bucket, fp and ``carried`` columns and is read twice.
+    """The members of buckets, sorted by bucket; ``keyed`` has bucket, fp, node and ``carried`` columns and is read twice.
 
     A bucket of c pieces of CHUNK members has each member sent to the c pairs of pieces that hold it, each
     a bucket of its own, so that every two members still meet, in bounded groups. Sizes are estimated from one in
-    SAMPLED fingerprints; a size guessed wrong changes how long a group takes and never what is found.
+    SAMPLED members, and members are dealt to pieces by node too, since many may share a fingerprint; a size guessed wrong changes how long a group takes and never what is found.
     """
-    seen = keyed.where(F.pmod(F.xxhash64(F.lit(SAMPLED), "fp"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    seen = keyed.where(F.pmod(F.xxhash64(F.lit(SAMPLED), "fp", "node"), F.lit(SAMPLED)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
     large = seen.where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("long").alias("_cuts")).checkpoint()
     if large.isEmpty():
         cut = keyed
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("_cuts"))
+        own = F.pmod(F.xxhash64("fp", "node"), F.col("_cuts"))
         pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
         cut = keyed.join(small_or_plain(large), "bucket", "left")
         cut = cut.select(F.explode(F.when(F.col("_cuts").isNull(), F.array("bucket")).otherwise(pieces)).alias("bucket"), "fp", *carried)
