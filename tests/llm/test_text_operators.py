@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from wavegrid.llm import bitsliced, credentials, decontaminate, language, licenses, linededup, packing, toxicity, urlfilter
+from wavegrid.llm import bitsliced, buckets, credentials, decontaminate, language, licenses, linededup, packing, toxicity, urlfilter
 
 ODD = [None, "", " \n\t ", "x", "é" * 9000, "word " * 20_000, "\x00\x1f\u2028 ½ ÿ"]
 SCHEMA = "doc_id long, text string, lang string, _text string, row string, id string"
@@ -188,6 +188,39 @@ def test_distances_and_fuzzy_links_match_brute_force(spark):
     assert [got[i] for i in range(len(lines))] == [x if root(i) == i else "" for i, x in enumerate(lines)]
 
 
+def test_grams_find_the_pairs_that_bits_lose(spark):
+    rng = np.random.default_rng(8)
+    lines, pairs = [], []
+    for i in range(600):
+        n = [5, 6, 10, 20, 32, 45, 100, 300][i % 8]
+        words = [f"w{'abcdefghij'[c // 1000]}{'abcdefghij'[c // 100 % 10]}{'abcdefghij'[c // 10 % 10]}{'abcdefghij'[c % 10]}" for c in rng.integers(0, 10_000, n)]
+        other = list(words)
+        for at in rng.choice(n, n // 5, replace=False):
+            other[at] = f"q{'abcdefghij'[rng.integers(10)]}{'abcdefghij'[rng.integers(10)]}"
+        assert linededup.alike(" ".join(words).encode(), " ".join(other).encode(), 0.8)
+        pairs.append((len(lines), n))
+        lines += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, grams=True).collect()}
+    assert all(got[i] for i, _ in pairs)
+    found = defaultdict(list)
+    for i, n in pairs:
+        found[n].append(not got[i + 1])
+    assert all(all(found[n]) for n in (5, 6, 10)) and np.mean([x for own in found.values() for x in own]) >= 0.97, {n: np.mean(x) for n, x in found.items()}
+    bits = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert np.mean([not bits[i + 1] for i, _ in pairs]) < 0.2
+
+
+def test_many_lines_of_one_fingerprint_are_cut(spark):
+    n = 20_000
+    keyed = spark.range(n).selectExpr("7L AS bucket", "5L AS fp", "id AS node")
+    sizes = [r["count"] for r in buckets.spread(keyed, "node").groupBy("bucket").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3 * buckets.CHUNK
+    lines = [f"{i} {i + 1} {i + 2} {i + 3} {i + 4} name{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), grams=True).collect()
+    assert {r.doc_id for r in out if r.text} == {0}
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [rng.normal(0, 0.2, 16).tolist() for _ in range(400)]

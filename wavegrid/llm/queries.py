@@ -36,7 +36,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return linededup.line_report(table(spark, sf_dir, "documents"), grams=True).withColumnRenamed("id", "doc_id")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
