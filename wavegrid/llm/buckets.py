@@ -43,14 +43,14 @@ def spread(keyed: DataFrame, *carried: str) -> DataFrame:
 GATHERED = 16_384
 
 
-def groups(batches, columns: int):
+def groups(batches, columns: int, gathered: int = GATHERED):
     """Columns of whole buckets from sorted batches, many buckets at once."""
     held, rows = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-        if rows < GATHERED:
+        if rows < gathered:
             continue
         table = pa.Table.from_batches(held)
         b = table.column(0).to_numpy()
