@@ -79,6 +79,15 @@ def test_secrets_match_brute_force(spark):
     assert "endpoint" in by[f"https://h.example/x then {key}"].spans
 
 
+def test_long_secrets_are_whole(spark):
+    keys = [("Zx9" + "aB3" * 400)[:n] for n in (64, 86, 1000)]
+    keys[1] += "=="
+    texts = [f"user=bob key {k} end" for k in keys] + [f"https://h.example/{'x' * 300} {keys[0]}", f"login={'u' * 90} {keys[0]}"]
+    got = [r.spans.split(",") for r in sorted(credentials.find_secrets(frame(spark, texts, 2)).collect(), key=lambda r: r.id)]
+    assert [g for g in got[:3]] == [["identifier:5:8", f"key:13:{13 + len(k)}"] for k in keys]
+    assert got[3] == ["endpoint:0:318", "key:319:383"] and got[4] == ["identifier:6:96", "key:97:161"]
+
+
 def test_packing_is_an_exact_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

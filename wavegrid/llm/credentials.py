@@ -22,10 +22,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Parts that say nothing alone: an identifier, a secret and an endpoint.
 WEAK = ("identifier", "key", "endpoint")
-IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.I | re.A)
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,63}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KEY_HAS = [re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]")]
-ENDPOINT = re.compile(r"(?:https?|s3|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,200}", re.I | re.A)
+ENDPOINT = re.compile(r"(?:https?|s3|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}", re.I | re.A)
 KINDS = (*BASE, *WEAK)
 
 #: Code points between two parts that may belong together.
@@ -119,7 +119,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans and links (weak part ~ complementary part).
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by kind. The base kinds
-    always count. Identifiers, keys (20 to 63 characters with capitals, small letters and digits) and
+    always count. Identifiers, keys (20 characters or more with capitals, small letters and digits) and
     endpoints are reported only where a complementary part stands in the same paragraph, within
     ``scope`` code points. A null text is empty and has none. A document's parts never leave its task, so
     one with very many costs its own length. Repeated rows and null ids give a row each.
