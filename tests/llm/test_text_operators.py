@@ -246,6 +246,18 @@ def test_top_k_matches_brute_force(spark):
     assert bitsliced.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_with_a_query_id_of_many_rows(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(0, 0.2, (1000, 16))
+    rows = [(0 if i < 12 else i, (v if i else vectors[1]).tolist()) for i, v in enumerate(vectors)]
+    rows += [(0, vectors[1].tolist())] * 20
+    df = spark.createDataFrame([(i, v) for i, v in rows if i == 0 or i % 20], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.id, r.score) for r in bitsliced.top_k(df.where("vec_id > 0 OR embedding[0] = %r" % vectors[1][0].item()), every=20).collect())
+    q = np.floor(256 * vectors[1]).astype(int)
+    best = sorted((-int(q @ np.floor(256 * np.array(v)).astype(int)), i) for i, v in rows if i % 20)[:5]
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
 def test_url_rules_and_words(spark):
     urls = ["http://A.net/x", "https://b.example.net/en/1?q#f", "x://example.com/de/1", "x://www.example.com/de", "y://q.org/fr/", "y://org.example.com/fr/", None, "no scheme", "://", "h://casinowinbets.example.com/a", "h://goodnews.example.com/a", "http://net"]
     df = spark.createDataFrame([(i, u, "<p>casino bets good news good news win</p>" * 5, "") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")

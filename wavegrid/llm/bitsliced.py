@@ -128,16 +128,18 @@ class Block:
         """Ids and exact scores of all rows that can be among the k best, best first, k of them at most.
 
         The sliced sum lacks at most sum |q_d| (2^low - 1), in units of 2^low, from any row's score; rows below the
-        k-th sum by more than that are beaten by k others. The query's own row is one more than k.
+        k-th sum by more than that are beaten by k others. Rows of the query's own id are cleared first, so they take no place.
         """
+        others = np.zeros(len(self.every) * 64, np.uint8)
+        others[: len(self.ids)] = self.ids != query_id
         if not query.any():
-            rows = np.arange(len(self.ids))
+            rows = np.flatnonzero(others)
         else:
             sums = self.scores(query)
             slack = int(np.abs(query).sum()) if self.low else 0
-            found = at_least(sums, kth_largest(sums, k + 1, self.every) - slack, self.every)
+            every = np.packbits(others, bitorder="little").view("<u8")
+            found = at_least(sums, kth_largest(sums, k, every) - slack, every)
             rows = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(self.ids)])
-        rows = rows[self.ids[rows] != query_id]
         exact = self.values[rows] @ query
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][best], exact[best]
@@ -174,7 +176,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     Null vectors, vectors with null or non-finite components, empty vectors and null ids take no part. Shorter
     vectors count as ending in zeros. Rows that repeat an id are candidates each, though never for a
-    query of that id. The index is cut into blocks of about ``block`` rows by a hash of id and vector, the
+    query of that id. The index is cut into blocks of about ``block`` rows by a hash of id, vector and row, the
     queries into blocks of about ``queries``; each pair of blocks is one task's work and leaves at most k rows a
     query, so what is shuffled is (rows x query blocks + queries x blocks). All rows are indexed and results exact.
     """
@@ -188,7 +190,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     n_blocks, n_queries = max(1, -(-n // block)), max(1, -(-m // queries))
     number = lambda of, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "q"), F.lit(of))
     all_of = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
-    index = rows.select(number(n_blocks, 1).alias("b"), all_of(n_queries).alias("g"), "id", "q")
+    # repeats of a row must not share a block, or one that repeats often would be one task's group
+    spread = F.pmod(F.xxhash64(F.lit(1), "id", "q", F.monotonically_increasing_id()), F.lit(n_blocks))
+    index = rows.select(spread.alias("b"), all_of(n_queries).alias("g"), "id", "q")
     wanted = rows.where(asked).dropDuplicates(["id", "q"]).select(all_of(n_blocks).alias("b"), number(n_queries, 2).alias("g"), "id", "q")
     parts = max(n_blocks * n_queries, 1)
     meet = partial(_meet, k=k)
