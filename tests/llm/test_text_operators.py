@@ -268,6 +268,21 @@ def test_url_rules_and_words(spark):
     assert got[9].verdict == "block" and "casino" in got[9].host_words.split() and got[10].host_words.split()[:2] == ["good", "news"]
 
 
+def test_url_words_come_from_text_and_not_from_whole_labels(spark):
+    urls = ["http://cheapcasino.com/a"] * 9 + ["http://" + "goodnews" * 40 + ".com/"] + [f"http://h.com/p{'abcdefghij'[i]}" for i in range(9)]
+    df = spark.createDataFrame([(i, u, "<p>cheap casino good news</p>" * (4 if i < 3 else 1)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.id: r.host_words for r in urlfilter.judge(df).collect()}
+    assert got[0] == "cheap casino" and got[9] == " ".join(["good", "news"] * 40)
+
+
+def test_url_totals_count_all_tokens(spark):
+    letters = "abcdefghij"
+    urls = [f"http://{host}/{letters[i // 10]}{letters[i % 10]}xx" for i in range(100) for host in ("casino.com", "q.org/fr")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    whole, cut = (urlfilter.learn(df, "url", None, size=n)[1] for n in (1000, 4))
+    assert len(cut) < len(whole) and all(abs(whole[t] - w) < 1e-9 for t, w in cut.items())
+
+
 def test_licenses_match_exact_containment(spark):
     mit = dict(licenses.TEMPLATES)["MIT-grant"]
     filler = " ".join(f"word{i}" for i in range(300))
