@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from wavegrid.llm import bitsliced, buckets, credentials, decontaminate, language, licenses, linededup, packing, toxicity, urlfilter
+from wavegrid.llm import bitsliced, buckets, credentials, decontaminate, language, licenses, linededup, packing, scan, toxicity, urlfilter
 
 ODD = [None, "", " \n\t ", "x", "é" * 9000, "word " * 20_000, "\x00\x1f\u2028 ½ ÿ"]
 SCHEMA = "doc_id long, text string, lang string, _text string, row string, id string"
@@ -206,7 +206,7 @@ def test_grams_find_the_pairs_that_bits_lose(spark):
         other = list(words)
         for at in rng.choice(n, n // 5, replace=False):
             other[at] = f"q{'abcdefghij'[rng.integers(10)]}{'abcdefghij'[rng.integers(10)]}"
-        assert linededup.alike(" ".join(words).encode(), " ".join(other).encode(), 0.8)
+        assert linededup.alike(words, other, 0.8)
         pairs.append((len(lines), n))
         lines += [" ".join(words), " ".join(other)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
@@ -308,6 +308,93 @@ def test_line_table_cuts_as_normalised_lines():
     got = list(zip(*(x.tolist() for x in linededup.line_table(texts)), strict=True))
     want = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(linededup.normalised_lines(t)) if line]
     assert [g[:3] for g in got] == [(i, n, len(line)) for i, n, line in want]
-    assert len({(g[3], b" ".join(w[2])) for g, w in zip(got, want, strict=True)}) == len({g[3] for g in got}) == len({b" ".join(w[2]) for w in want})
-    assert [g[4] for g in got] == linededup.simhashes([w[2] for w in want]).tolist()
+    assert len({(g[3:5], b" ".join(w[2])) for g, w in zip(got, want, strict=True)}) == len({g[3:5] for g in got}) == len({b" ".join(w[2]) for w in want})
+    assert [g[5] for g in got] == linededup.simhashes([w[2] for w in want]).tolist()
     assert linededup.line_table([])[0].tolist() == linededup.line_table([b"", b" - "])[0].tolist() == []
+
+
+def test_lines_that_a_polynomial_confuses_both_stay(spark):
+    order = [bin(i).count("1") % 2 for i in range(2048)]
+    lines = [" ".join("ab"[x ^ flip] for x in order) for flip in (0, 1)] + ["".join("ab"[x ^ flip] for x in order) for flip in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.n_removed for r in sorted(linededup.line_report(df, grams=True).collect(), key=lambda r: r.id)] == [0] * 4
+
+
+def test_a_line_of_very_many_rows_is_joined_where_it_is(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, id, 7L) AS k", "id AS x", "'a' AS n")
+    table = spark.range(3000).selectExpr("id AS k", "IF(id = 7, 2000L, 1L) AS c", "id * 2 AS y")
+    want = sorted(rows.join(table, "k").select("k", "x", "y").collect())
+    assert sorted(scan.hot_join(rows, table, ["k"], "c").select("k", "x", "y").collect()) == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(scan, "SMALL_BYTES", 100)
+        assert sorted(scan.hot_join(rows, table, ["k"], "c", 500).select("k", "x", "y").collect()) == want
+        assert sorted(scan.hot_join(rows, table, ["k"], "c").select("k", "x", "y").collect()) == want
+
+
+def test_aligned_never_is_under_the_distance():
+    rng = np.random.default_rng(12)
+    for _ in range(500):
+        a, b = (rng.integers(0, 4, rng.integers(0, 25)).tolist() for _ in range(2))
+        assert linededup.aligned(a, b, 99) >= brute_distance(a, b)
+        s = float(rng.uniform(0.3, 1))
+        assert linededup.alike(a, b, s) == (brute_distance(a, b) <= int((1 - s) * max(len(a), len(b)) + 1e-9))
+
+
+def padding_of(rows, size):
+    windows = defaultdict(list)
+    for w, _, _, n, at in rows:
+        windows[w].append((at, n))
+    lost = 0
+    for own in windows.values():
+        end = 0
+        for at, n in sorted(own):
+            assert at == end
+            end += n
+        assert end <= size
+        lost += 0 if end & (end - 1) == 0 else size - end
+    return lost
+
+
+@pytest.mark.parametrize(("low", "high", "whole"), [(1, 4096, 0.95), (2100, 4000, 0.7), (4000, 4090, 0.97), (1, 40, 0.99)])
+def test_pieces_are_cut_only_to_fill_windows(low, high, whole):
+    rng = np.random.default_rng(low)
+    pieces = [(i, int(n)) for i, n in enumerate(rng.integers(low, high, 2000))]
+    rows, total = list(packing.arrange(pieces, 4096)), sum(n for _, n in pieces)
+    got = defaultdict(list)
+    for _, (i, _), start, n, _ in rows:
+        got[i].append((start, n))
+    for i, n in pieces:
+        at = 0
+        for start, length in sorted(got[i]):
+            assert start == at
+            at += length
+        assert at == n
+    assert padding_of(rows, 4096) <= 0.02 * total and sum(len(x) == 1 for x in got.values()) >= whole * len(pieces)
+    assert list(packing.arrange([], 4096)) == []
+
+
+def test_best_fit_decreasing_matches_brute_force():
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        lengths = rng.integers(1, 60, rng.integers(0, 80)).tolist()
+        left = []
+        for n in sorted(lengths, reverse=True):
+            rooms = [r for r in left if r >= n]
+            if rooms:
+                left[left.index(min(rooms))] -= n
+            else:
+                left.append(60 - n)
+        assert sorted(packing.best_fit_decreasing(lengths, 60)[1]) == sorted(left)
+
+
+def test_packing_with_a_tokenizer_of_another_kind(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["It's  TWO spaces.\nAnd a line", "", None, "x"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, size=64, with_ids=True).collect()
+    for i, t in enumerate(texts):
+        own = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.id == i), key=lambda r: r.start))
+        assert np.frombuffer(own, "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0

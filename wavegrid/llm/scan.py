@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,40 @@ def _released(batches: Iterator[pa.RecordBatch], kernel) -> Iterator[pa.RecordBa
     pa.default_memory_pool().release_unused()
 
 
-#: Rows of a table of a few numbers that may be sent to every executor; some 16 MB.
-SMALL_ROWS = 400_000
+#: Bytes of a table that may be sent to every executor, where a row counts 64 and an element of its arrays 16.
+SMALL_BYTES = 32 << 20
 
 
-def small_or_plain(df: DataFrame) -> DataFrame:
-    """A checkpointed table, marked for broadcast if its counted rows are few; joins shuffle it otherwise."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def small_or_plain(df: DataFrame, elements: Column | None = None) -> DataFrame:
+    """A stored or checkpointed table, marked for broadcast if it is small by count; joins shuffle it otherwise.
+
+    ``elements`` is the number of elements in a row's arrays.
+    """
+    size = F.count(F.lit(1)) * 64 + (F.coalesce(F.sum(elements), F.lit(0)) * 16 if elements is not None else F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= SMALL_BYTES else df
+
+
+#: Rows of one key from which a join sends the other side of that key to them.
+HOT_ROWS = 1_000_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with a stored ``table`` that has one row a key and, in ``count``, how many of ``rows`` have it.
+
+    Keys of more than ``hot`` rows stay where they are and get their one row by broadcast (there are at most rows / ``hot``
+    of those, and their size is checked); only the others are shuffled.
+    """
+    whole = small_or_plain(table)
+    if whole is not table:
+        return rows.join(whole, on)
+    often = table.where(F.col(count) > hot)
+    if often.isEmpty():
+        return rows.join(table, on)
+    often = small_or_plain(often)
+    return rows.join(often, on).unionByName(rows.join(often.select(*on), on, "left_anti").join(table.where(F.col(count) <= hot), on))
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted; for many numbers faster than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.language import held_out
-from wavegrid.llm.scan import map_batches, slices, utf8, whole_row
+from wavegrid.llm.scan import map_batches, slices, sorted_unique, utf8, whole_row
 
 #: Hashed terms, factors of each, and passes over the sample.
 TERMS = 1 << 18
@@ -54,7 +54,7 @@ _terms = _Terms()
 def terms(text: bytes | None) -> np.ndarray:
     """The different terms of a text, sorted."""
     words = set((text or b"").translate(_WORD_BYTES).split())
-    return np.unique(np.fromiter(chain.from_iterable(map(_terms.__getitem__, words)), np.int64))
+    return sorted_unique(np.fromiter(chain.from_iterable(map(_terms.__getitem__, words)), np.int64))
 
 
 def _term_rows(batches):
