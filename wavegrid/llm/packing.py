@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wavegrid.llm.scan import map_batches, slices, utf8
 
 #: Words, and parts of words, whose ids a worker remembers: a bound on its memory, never on what is encoded.
-WORDS = 500_000
+WORDS = 300_000
 #: Pieces shorter than a window that a task places together, and tokens of them; both bound its memory.
 GROUP = 200_000
 HELD = 4 << 20
@@ -237,6 +237,7 @@ def _pack(batches, path: str, size: int, end_id: int, with_ids: bool):
             yield flush()
     place()
     yield flush()
+    _encoders.clear()  # the worker lives on for other tasks
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -46,9 +47,11 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def _released(batches: Iterator[pa.RecordBatch], kernel) -> Iterator[pa.RecordBatch]:
-    """The kernel's batches; what Arrow holds beyond them goes back to the system at the end of the task."""
+    """The kernel's batches; what Arrow and the C library hold beyond them goes back to the system at the end of the task."""
     yield from kernel(batches)
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Bytes of a table that may be sent to every executor, where a row counts 64 and an element of its arrays 16.

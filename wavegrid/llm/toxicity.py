@@ -61,6 +61,7 @@ def _term_rows(batches):
     for batch in slices(batches):
         found = [terms(x).astype(np.int32) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["y", "terms"])
+    _terms.clear()  # the worker lives on for other tasks
 
 
 @dataclass
@@ -161,6 +162,7 @@ def _score(batches, shared, key: str):
     for batch in slices(batches):
         found = [_probability(x, model) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
+    _terms.clear()
 
 
 def scores(df: DataFrame, machine: Machine, row: Column, text_col: str = "text") -> DataFrame:
