@@ -44,23 +44,29 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-@contextmanager
-def stored_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a DataFrame as Parquet beside the checkpoints and reads it back.
+def table_store(spark: SparkSession, home: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a DataFrame as Parquet, beside the checkpoints if no folder is named, and reads it back.
 
-    The files survive lost executors and are smaller than checkpoints of rows. They are deleted at the
-    end of the block, so what leaves it has to be checkpointed.
+    The files survive lost executors and are smaller than checkpoints of rows.
     """
     ensure_checkpoint_dir(spark)
-    home = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    home = home or f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
     def store(df: DataFrame) -> DataFrame:
         path = f"{home}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    return store
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``table_store`` whose files are deleted at the end of the block, so that what leaves it has to be checkpointed."""
+    ensure_checkpoint_dir(spark)
+    home = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
     try:
-        yield store
+        yield table_store(spark, home)
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(home)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
