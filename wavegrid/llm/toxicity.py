@@ -26,8 +26,13 @@ SEED = 20_240_201
 SAMPLE = 8_192
 #: Words whose term a worker remembers.
 WORDS = 100_000
-#: Chi-squared of a term's presence and the label from which the term gets weights.
+#: Chi-squared of a term's presence and the label from which the term gets weights, and of a pair's presence among the texts
+#: with either of its terms from which both get them.
 LEAST_CHI2 = 20.0
+PAIR_CHI2 = 30.0
+#: Terms of the sample, the most frequent, whose pairs are looked at, and how many of them at once.
+PAIRED = 2048
+PAIRED_AT_ONCE = 512
 #: Bytes of the word beginnings that are terms.
 BEGINNINGS = (4, 5)
 
@@ -81,17 +86,43 @@ def _chi_squared(both: np.ndarray, term: np.ndarray, toxic: float, n: int) -> np
     return (both - expected) ** 2 / np.maximum(spread, 1e-9)
 
 
+def _paired(labels: np.ndarray, rows: list[np.ndarray], counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which terms tell the label together with another one, beyond what either tells alone, whatever they tell alone.
+
+    For a pair, the toxic among the texts with both are held against the rate among the texts with the one and with the
+    other; both must be far off.
+    """
+    most = np.sort(np.argsort(-counts, kind="stable")[:PAIRED])
+    place = np.full(len(counts), -1)
+    place[most] = np.arange(len(most))
+    has = np.zeros((len(rows), len(most)), np.float32)
+    for i, r in enumerate(rows):
+        has[i, (own := place[r])[own >= 0]] = 1
+    rate = np.clip(toxic[most] / np.maximum(counts[most], 1), 1e-3, 1 - 1e-3)
+    found = np.zeros(len(counts), bool)
+    for at in range(0, len(most), PAIRED_AT_ONCE):
+        own = slice(at, at + PAIRED_AT_ONCE)
+        both, bad = has[:, own].T @ has, (has[:, own] * labels[:, None].astype(np.float32)).T @ has
+        far = [(bad - both * r) ** 2 / np.maximum(both * r * (1 - r), 1e-9) for r in (rate[own, None], rate[None, :])]
+        # a term without the other ones of a pair says nothing about it, so texts with just one are needed too
+        apart = np.minimum(counts[most][own, None] - both, counts[most][None, :] - both) >= PAIR_CHI2 / 4
+        found[most[own]] |= ((np.minimum(*far) >= PAIR_CHI2) & apart).any(axis=1)
+    return found
+
+
 def fit(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epochs: int = EPOCHS, least: float = LEAST_CHI2) -> Machine:
     """Adagrad on the logistic loss, one text at a time in a fixed shuffled order; both classes weigh the same.
 
-    Only terms whose presence goes with the label (chi-squared of at least ``least``) get weights: the many
-    others can't be told from chance, and in long texts they would drown the few that count.
+    Terms get weights if their presence goes with the label (chi-squared of at least ``least``), or that of a pair which they
+    are part of does: the many others can't be told from chance, and in long texts they would drown the few that count.
     """
     rng = np.random.default_rng(SEED)
     every = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64)
     index, where, counts = np.unique(every, return_inverse=True, return_counts=True)
     toxic = np.bincount(where, weights=np.repeat(labels, [len(t) for t in texts]), minlength=len(index))
-    index = index[_chi_squared(toxic, counts, float(labels.sum()), len(labels)) >= least]
+    ends = np.cumsum([len(t) for t in texts]) if texts else np.empty(0, np.int64)
+    numbers = np.split(where, ends[:-1]) if texts else []
+    index = index[(_chi_squared(toxic, counts, float(labels.sum()), len(labels)) >= least) | _paired(labels, numbers, counts, toxic)]
     machine = Machine(index, 0.0, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), factors)))
     positive = float(labels.sum())
     if not len(index) or positive in (0.0, float(len(labels))):
@@ -123,17 +154,22 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A machine fitted on at most ``sample`` labelled rows of the other folds.
 
     The sample is the ids of smallest hash, so it is the same in any run; only it is sent to the readers of
-    ``df``, and only its terms come back.
+    ``df``, and only its terms come back, of the rows of one id those of the first by order.
     """
     ids = (
         labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
         .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id", folds, fold))
         .groupBy("_id").agg(F.max("_y").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_y", "_text")
-    found = map_batches(rows, _term_rows, "y int, terms binary").limit(2 * sample).collect()
-    found = sorted((r.y, bytes(r.terms)) for r in found)
+    # the first by hash lie under this share of all hashes, unless they are fewer: then no row is left out before the sort
+    share = min(1.0, 2 * sample / max(1, ids.count()))
+    if share < 1:
+        under = ids.where(F.xxhash64("_id") < int(-(2**63) + share * 2**64))
+        ids = under if under.count() >= sample else ids
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).join(F.broadcast(ids), "_id").select(F.struct("_id", "_y").alias("y"), "_text")
+    found = map_batches(rows, _term_rows, "y struct<_id:long,_y:int>, terms binary").groupBy("y").agg(F.min("terms").alias("terms")).collect()
+    found = sorted((r.y["_y"], bytes(r.terms)) for r in found)
     return fit(np.array([y for y, _ in found], np.float64), [np.frombuffer(t, np.int32).astype(np.int64) for _, t in found])
 
 
@@ -182,8 +218,9 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Per row: id, held_out, score and predicted (1 from 0.5 on).
 
     Labels of rows whose crc32 of the id, as text, is ``fold`` modulo ``folds`` are never used; a null id is not
-    held out and has no label. Ids labelled twice count with the higher label. Without labels, or with
-    labels of one kind, all texts get one score.
+    held out and has no label. Ids labelled twice count with the higher label, and of an id's repeated rows one is learned
+    from. Without labels, or with labels of one kind, all texts get one score. Whole texts are scored, of any length; texts
+    of the same words get the same score, and an empty table gives no rows. Other columns are ignored.
     """
     machine = learn(df, labels, id_col, text_col, label_col, folds, fold, sample)
     row = F.struct(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds, fold).alias("held_out"))
