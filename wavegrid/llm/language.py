@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from codecs import getincrementaldecoder
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.scan import map_batches, slices, utf8
+from wavegrid.session import ensure_checkpoint_dir
 
 #: Letters are space, a to z and this many classes of other letters, by code point.
 OTHERS = 37
@@ -19,11 +22,12 @@ LETTERS = 1 + 26 + OTHERS
 NGRAM = 3
 DIMENSIONS = 2048
 SEED = 20_240_131
-#: Most languages that a model may have; their names and profiles are what is sent to the workers.
-LANGUAGES = 1000
+#: Most languages of a model, those of the most text, ties by name: what is sent to the workers is their table of LETTERS^3
+#: numbers each, 200 MB at most. Texts of any further language are judged as the nearest of these.
+LANGUAGES = 200
 #: Code points whose letter class a worker remembers, one byte each.
 POINTS = 0x110000
-#: Code points handled at once.
+#: Bytes decoded at once; n-grams over the cuts are counted like any other.
 PIECE = 1 << 20
 
 _classes: list[np.ndarray] = []
@@ -42,17 +46,24 @@ def letter_classes() -> np.ndarray:
     return _classes[0]
 
 
+def gram_pieces(text: bytes) -> Iterator[np.ndarray]:
+    """Numbers of the text's letter n-grams, piece by piece; runs of other characters are one space, and spaces stand around it."""
+    decode, held = getincrementaldecoder("utf-8")("replace").decode, np.zeros(1, np.int64)
+    for at in range(0, max(1, len(text)), PIECE):
+        last = at + PIECE >= len(text)
+        points = np.frombuffer(decode(text[at : at + PIECE], last).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.concatenate((held, letter_classes()[points], [0] if last else [])).astype(np.int64)
+        letters = letters[np.r_[True, (letters[1:] != 0) | (letters[:-1] != 0)]]
+        grams = letters[: max(0, len(letters) - NGRAM + 1)].copy()
+        for k in range(1, NGRAM):
+            grams = grams * LETTERS + letters[k : len(grams) + k]
+        held = letters[-(NGRAM - 1) :]
+        yield grams
+
+
 def ngrams(text: bytes) -> np.ndarray:
-    """Numbers of the text's letter n-grams; runs of other characters are one space, and spaces stand around it."""
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    letters = np.concatenate(([0], letter_classes()[points], [0])).astype(np.int64)
-    letters = letters[np.r_[True, (letters[1:] != 0) | (letters[:-1] != 0)]]
-    if len(letters) < NGRAM:
-        return np.empty(0, np.int64)
-    grams = letters[: len(letters) - NGRAM + 1].copy()
-    for k in range(1, NGRAM):
-        grams = grams * LETTERS + letters[k : len(letters) - NGRAM + 1 + k]
-    return grams
+    """All of a text's n-grams in order."""
+    return np.concatenate([*gram_pieces(text)])
 
 
 def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
@@ -70,11 +81,11 @@ def _count(batches):
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = counts.setdefault(lang, np.zeros(LETTERS**NGRAM, np.int64))
-            grams = ngrams(text)
-            if len(grams) * 8 > LETTERS**NGRAM:
-                own += np.bincount(grams, minlength=len(own))
-            else:
-                np.add.at(own, grams, 1)
+            for grams in gram_pieces(text):
+                if len(grams) * 8 > LETTERS**NGRAM:
+                    own += np.bincount(grams, minlength=len(own))
+                else:
+                    np.add.at(own, grams, 1)
     for lang, own in counts.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "gram", "n"])
@@ -84,19 +95,19 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
     """Languages, their profiles' inner products with every n-gram vector, and the profiles' lengths.
 
     All rows with a text and a language are counted. A language's profile is the sum of its n-gram vectors;
-    what reaches the driver is a count for each language and n-gram (at most LANGUAGES x 64^3, whatever
-    the number of rows; usually some thousand each). The mean profile is taken from each, so that what
+    what reaches the driver is a count for each of LANGUAGES languages and n-gram, summed over all rows, some thousand
+    each and 64^3 at most, whatever the number of rows. The mean profile is taken from each, so that what
     languages share does not count.
     """
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), utf8(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = map_batches(rows, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = sorted(r.lang for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = map_batches(rows, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
+    said = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    found = counts.join(F.broadcast(said.select("lang")), "lang").toPandas()
+    names = sorted(found["lang"].unique())
     profiles = np.zeros((len(names), dimensions))
     sizes = np.zeros(len(names))
     where = {n: i for i, n in enumerate(names)}
-    found = counts.toPandas()
     for i, own in found.groupby(found["lang"].map(where)):
         grams, n = own["gram"].to_numpy(), own["n"].to_numpy(np.float64)
         sizes[i] = np.sqrt((n**2).sum())
@@ -120,20 +131,19 @@ def cosines(text: bytes, table: np.ndarray, norms: np.ndarray, dimensions: int)
     length takes different n-gram vectors as orthogonal, which random ones nearly are, and is the same
     for all languages, so that it does not change which is first.
     """
-    total, counts, some = np.zeros(table.shape[1]), {}, False
-    for at in range(0, max(1, len(text)), PIECE):
-        # overlaps would count n-grams twice; a cut may lose NGRAM-1 of a million
-        grams = ngrams(text[at : at + PIECE])
+    total, counts, some = np.zeros(table.shape[1]), None, False
+    for grams in gram_pieces(text):
         some = some or bool((grams % LETTERS > 0).any() or (grams // LETTERS % LETTERS > 0).any())
         total += table[grams].sum(axis=0, dtype=np.float64)
         if len(text) <= PIECE:
-            counts = np.unique(grams, return_counts=True)[1]
+            grams = np.sort(grams)
+            counts = np.diff(np.r_[np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]), len(grams)]) if len(grams) else grams
         else:
-            for g, n in zip(*np.unique(grams, return_counts=True), strict=True):
-                counts[g] = counts.get(g, 0) + n
+            own = np.bincount(grams, minlength=LETTERS**NGRAM)
+            counts = own if counts is None else counts + own
     if not some:
         return None
-    n = np.array(list(counts.values()) if isinstance(counts, dict) else counts, np.float64)
+    n = np.asarray(counts, np.float64)
     return total / np.maximum(norms * np.sqrt((n**2).sum() * dimensions), 1e-12)
 
 
@@ -167,8 +177,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Profiles come from the rows whose crc32 of the id, as text, is not ``fold`` modulo ``folds``; rows with a
     null id are not held out. Predictions see the text only. The score is the best language's share of the
     exponentials of eight times the cosines; ties go to the first name. A text that is null or has no
-    letter is ``und`` with score 0, as all are if there is nothing to learn from. Other columns are ignored;
-    nothing but n-gram counts is shuffled.
+    letter is ``und`` with score 0, as all are if there is nothing to learn from. Learning and predicting take the same
+    n-grams of whole texts, however long. Repeated rows are learned from and predicted each. An empty table gives no rows.
+    Other columns are ignored; nothing but n-gram counts is shuffled.
     """
     spark = df.sparkSession
     kept_out = held_out(id_col, folds, fold)
