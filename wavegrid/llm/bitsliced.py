@@ -6,7 +6,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.llm.scan import map_batches
@@ -20,17 +21,33 @@ QUERIES = 256
 #: High bits of each attribute that are sliced; what the lower bits can add decides which rows are scored exactly.
 SLICES = 5
 
+#: Bounds of components and scores: those beyond count as the bound itself, which a 64-bit number holds.
+LARGEST = 1 << 62
+
 Bits = np.ndarray  # rows of 64-bit words
 
 
-def quantised(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """floor(SCALE * x) of the usable vectors, zeros after shorter ones, and which are usable."""
-    use = np.array([v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) for v in vectors], bool)
-    width = max((len(v) for v, u in zip(vectors, use, strict=True) if u), default=0)
-    out = np.zeros((int(use.sum()), width), np.int64)
-    for row, v in zip(out, (v for v, u in zip(vectors, use, strict=True) if u), strict=True):
-        row[: len(v)] = np.floor(SCALE * np.asarray(v, np.float64))
-    return out, use
+def quantised(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(SCALE * x) of the usable vectors, zeros after shorter ones, which are usable, and the lengths of those."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(vectors)
+    bad = ~np.isfinite(pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    use = (sizes > 0) & (np.bincount(owner[bad], minlength=len(sizes)) == 0)
+    out = np.zeros((int(use.sum()), int(sizes[use].max()) if use.any() else 0), np.int64)
+    kept = use[owner]
+    x = np.floor(SCALE * pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)[kept]) if len(owner) else np.empty(0)
+    starts = np.cumsum(sizes) - sizes
+    out[(np.cumsum(use) - 1)[owner[kept]], (np.arange(len(owner)) - starts[owner])[kept]] = np.clip(x, -LARGEST, LARGEST).astype(np.int64)
+    return out, use, sizes[use]
+
+
+def products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, exact; those beyond LARGEST count as that."""
+    largest = sum(map(abs, query.tolist())) * int(np.abs(values).max(initial=0))
+    if largest <= LARGEST:
+        return values @ query
+    return np.array([max(-LARGEST, min(LARGEST, int(x))) for x in values.astype(object) @ query.astype(object)], np.int64)
 
 
 def slices_of(values: np.ndarray, bits: int) -> Bits:
@@ -105,7 +122,7 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
         self.least = self.values.min(axis=0)
-        above = (self.values - self.least).astype(np.uint64)
+        above = self.values.astype(np.uint64) - self.least.astype(np.uint64)
         top = int(above.max()).bit_length()
         self.low = max(0, top - SLICES)
         self.bits = max(1, top - self.low)
@@ -136,20 +153,20 @@ class Block:
             rows = np.flatnonzero(others)
         else:
             sums = self.scores(query)
-            slack = int(np.abs(query).sum()) if self.low else 0
+            slack = sum(map(abs, query.tolist())) if self.low else 0
             every = np.packbits(others, bitorder="little").view("<u8")
             found = at_least(sums, kth_largest(sums, k, every) - slack, every)
             rows = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(self.ids)])
-        exact = self.values[rows] @ query
+        exact = products(self.values[rows], query)
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][best], exact[best]
 
 
 def _usable(batches):
     for batch in batches:
-        values, use = quantised(batch.column(1).to_pylist())
+        values, use, sizes = quantised(batch.column(1))
         ids = batch.column(0).filter(pa.array(use))
-        rows = [r.astype("<i8").tobytes() for r in values]
+        rows = [r[:n].astype("<i8").tobytes() for r, n in zip(values, sizes.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary()), pa.array([len(r) // 8 for r in rows], pa.int32())], ["id", "q", "width"])
 
 
@@ -175,7 +192,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     inner product of the vectors floor(256 x), ties to the smaller id; fewer if there are fewer.
 
     Null vectors, vectors with null or non-finite components, empty vectors and null ids take no part. Shorter
-    vectors count as ending in zeros. Rows that repeat an id are candidates each, though never for a
+    vectors count as ending in zeros. Components and scores beyond 2^62 count as 2^62, with their sign. Rows that repeat an id are candidates each, though never for a
     query of that id. The index is cut into blocks of about ``block`` rows by a hash of id, vector and row, the
     queries into blocks of about ``queries``; each pair of blocks is one task's work and leaves at most k rows a
     query, so what is shuffled is (rows x query blocks + queries x blocks). All rows are indexed and results exact.
@@ -201,6 +218,5 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         .cogroup(wanted.repartition(min(parts, 2000), "b", "g").groupBy("b", "g"))
         .applyInArrow(lambda key, left, right: meet(key, left, right), "query_id long, id long, score long")
     )
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id")))
-    found = met.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
-    return found.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("id"), (-F.col("hit.minus")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
