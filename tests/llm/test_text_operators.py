@@ -277,10 +277,74 @@ def test_url_words_come_from_text_and_not_from_whole_labels(spark):
 
 def test_url_totals_count_all_tokens(spark):
     letters = "abcdefghij"
-    urls = [f"http://{host}/{letters[i // 10]}{letters[i % 10]}xx" for i in range(100) for host in ("casino.com", "q.org/fr")]
+    urls = [f"http://{host}/{letters[i // 10]}{letters[i % 10]}xx" for i in range(100) for host in ("casino.net", "q.org/fr")] + ["http://q.org/fr/zzxx"] * 5
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    whole, cut = (urlfilter.learn(df, "url", None, size=n)[1] for n in (1000, 4))
-    assert len(cut) < len(whole) and all(abs(whole[t] - w) < 1e-9 for t, w in cut.items())
+    whole, cut = (urlfilter.learn(df, "url", None, limit=n)[1] for n in (1 << 20, 1000))
+    assert "p:zzxx" in cut and len(cut) < len(whole) and all(abs(whole[t] - w) < 1e-9 for t, w in cut.items())
+
+
+def test_frequent_names_are_cut_at_one_count_by_bytes(spark):
+    counts = {f"w{i:03d}": 1 + i * i % 97 for i in range(300)}
+    df = spark.createDataFrame(list(counts.items()), "name string, n long")
+    for limit in (0, 103, 104, 1000, 5000, 10**6):
+        least = min((k for k in range(1, 200) if sum(104 for n in counts.values() if n >= k) <= limit), default=None)
+        assert {r.name for r in urlfilter.frequent(df, "name", limit).collect()} == {w for w, n in counts.items() if n >= least}
+    assert urlfilter.frequent(df.limit(0), "name", 9).count() == 0
+
+
+def test_url_verdicts_match_plain_naive_bayes(spark):
+    rng = np.random.default_rng(14)
+    bad, good = ["slots", "pills", "zloan", "quickwin"], ["garden", "school", "river", "zmusic"]
+    rows = []
+    for i in range(600):
+        kind, words = i % 3, [str(w) for w in rng.choice(bad if rng.random() < 0.5 else good, 2)]
+        host, path = "".join(words), f"/{rng.choice(bad if words[0] in bad else good)}"
+        if kind < 2:
+            rows.append((i, f"http://{host}.net{path}" if words[0] in bad else f"http://{host}.org/fr{path}"))
+        else:
+            rows.append((i, f"http://{host}.info{path}"))
+    df = spark.createDataFrame([(i, u, " ".join(bad + good)) for i, u in rows], "page_id long, url string, html string")
+    got = {r.id: r for r in urlfilter.judge(df).collect()}
+    counts = {True: defaultdict(int), False: defaultdict(int)}
+    pages = {True: 0, False: 0}
+    for i, _ in rows:
+        if got[i]["rule"]:
+            block = got[i]["rule"] == "net/"
+            pages[block] += 1
+            for t in [f"h:{w}" for w in got[i].host_words.split()] + [f"p:{w}" for w in re.findall("[a-z]+", got[i].path.removeprefix("/fr/"))]:
+                counts[block][t] += 1
+    kinds = set(counts[True]) | set(counts[False])
+    size = {b: sum(counts[b].values()) + len(kinds) + 1 for b in counts}
+    right = 0
+    for i, _ in rows:
+        if not got[i]["rule"]:
+            words = [f"h:{w}" for w in got[i].host_words.split()] + [f"p:{w}" for w in re.findall("[a-z]+", got[i].path)]
+            odds = np.log((pages[True] + 1) / (pages[False] + 1))
+            for t in words:
+                if t in kinds or t[2:] in urlfilter.SEEDS:
+                    odds += np.log((counts[True][t] + 1 + (t[2:] in urlfilter.SEEDS)) / size[True]) - np.log((counts[False][t] + 1) / size[False])
+            assert abs(odds - got[i].log_odds) < 1e-9 and got[i].verdict == ("block" if odds > 0 else "allow")
+            right += (got[i].verdict == "block") == (got[i].host_words.split()[0] in bad)
+    assert right >= 195
+
+
+def brute_split(run, cost, unknown):
+    best = {"": (0.0, [])}
+    for end in range(1, len(run) + 1):
+        best[run[:end]] = min((best[run[:s]][0] + cost.get(run[s:end], unknown + 3.0 * (end - s)), best[run[:s]][1] + [run[s:end]]) for s in range(max(0, end - urlfilter.LONGEST), end))
+    return best[run]
+
+
+def test_segmentation_matches_brute_force():
+    rng = np.random.default_rng(15)
+    segmenter = urlfilter.Segmenter({w: int(n) for w, n in zip(["a", "ab", "abc", "b", "bca", "cab", "ca"], rng.integers(1, 50, 7), strict=True)})
+    for _ in range(100):
+        run = "".join(rng.choice(list("abc"), rng.integers(1, 30)))
+        words = segmenter.split(run)
+        assert "".join(words) == run
+        cost = sum(segmenter.cost.get(w, segmenter.unknown + 3.0 * len(w)) for w in words)
+        assert abs(cost - brute_split(run, segmenter.cost, segmenter.unknown)[0]) < 1e-9
+    assert segmenter.split("abc" * 500) != ["abc" * 500]
 
 
 def test_licenses_match_exact_containment(spark):
@@ -401,3 +465,98 @@ def test_packing_with_a_tokenizer_of_another_kind(spark):
         own = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.id == i), key=lambda r: r.start))
         assert np.frombuffer(own, "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_toxicity_of_pairs_that_no_single_term_tells(spark):
+    rng = np.random.default_rng(21)
+    plain, texts, labels = [f"plain{i}" for i in range(200)], [], []
+    for i in range(1200):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([*rng.choice(plain, 12), *(["zinsult"] if insult else []), *(["qgroup"] if group else [])]))
+        labels.append((i, int(insult != group)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.id: r for r in toxicity.score_documents(df, marks).collect()}
+    held = [i for i, _ in labels if got[i].held_out]
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.95
+    y = np.array([x for i, x in labels if not got[i].held_out], float)
+    rows = [toxicity.terms(t.encode()) for i, t in enumerate(texts) if not got[i].held_out]
+    linear = toxicity.fit(y, rows, factors=0)
+    right = [((linear.bias + linear.weight[np.isin(linear.index, toxicity.terms(texts[i].encode()))].sum()) > 0) == labels[i][1] for i in held]
+    assert np.mean(right) < 0.8  # three of four cases at best
+    repeated = df.union(df.limit(300)).union(spark.createDataFrame([(0, None), (None, "zinsult")], "doc_id long, text string"))
+    assert toxicity.score_documents(repeated, marks.union(marks)).count() == 1502
+
+
+def test_language_of_long_texts_is_that_of_all_their_ngrams(spark, monkeypatch):
+    texts = ["ab\u00e9 \u3042\u3044 x, yz " * 50, "", "a", " 12 ", "\u3042" * 333, "a" + " " * 200 + "b"]
+    whole = [language.ngrams(t.encode()).tolist() for t in texts]
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert [language.ngrams(t.encode()).tolist() for t in texts] == whole
+    rng = np.random.default_rng(1)
+    table, norms = rng.normal(size=(language.LETTERS**3, 3)).astype(np.float32), np.ones(3)
+    for t in texts:
+        cut = language.cosines(t.encode(), table, norms, 64)
+        monkeypatch.setattr(language, "PIECE", 1 << 20)
+        one = language.cosines(t.encode(), table, norms, 64)
+        monkeypatch.setattr(language, "PIECE", 7)
+        assert (cut is None and one is None) or np.allclose(cut, one)
+
+
+def test_language_matches_whole_vectors(spark):
+    dims, said = 256, {"x": ["the cat sat on the mat", "a cat and a hat"], "y": ["der hund und die katze", "ein hund"]}
+    vector = {n: language.gram_vectors(language.ngrams(" ".join(t).encode()) if False else np.array([g for s in t for g in language.ngrams(s.encode())]), dims).astype(float).sum(axis=0) for n, t in said.items()}
+    length = {n: np.sqrt((np.unique([g for s in t for g in language.ngrams(s.encode())], return_counts=True)[1] ** 2).sum()) for n, t in said.items()}
+    profile = {n: v / length[n] for n, v in vector.items()}
+    mean = sum(profile.values()) / 2
+    names, table, norms = language.learn(spark.createDataFrame([(s, n) for n, t in said.items() for s in t], "text string, lang string"), dimensions=dims)
+    assert names == ["x", "y"]
+    for text in ("the hat", "hund katze", "ab"):
+        own = language.gram_vectors(language.ngrams(text.encode()), dims).astype(float).sum(axis=0)
+        for i, n in enumerate(names):
+            assert abs(table[language.ngrams(text.encode()), i].sum() - own @ (profile[n] - mean)) < 0.05 * dims and abs(norms[i] - np.linalg.norm(profile[n] - mean)) < 1e-3
+
+
+def test_top_k_of_huge_components(spark):
+    vectors = [[1e17, 1.0], [1.0, 0.0], [2.0, 0.0], [-1e300, 3.0], [1e300, 1.0]]
+    df = spark.createDataFrame([(i + 20, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.id, r.score) for r in sorted(bitsliced.top_k(df, every=20).collect(), key=lambda r: r["rank"])]
+    top = bitsliced.LARGEST
+    assert got == [(1, 24, top), (2, 22, top), (3, 21, top), (4, 23, -top)] or [g[1] for g in got[:3]] == [21, 22, 24] and got[3][1] == 23
+
+
+def test_decontamination_of_null_ids_repeats_and_offsets(spark):
+    passage = " ".join(f"w{i}" for i in range(24))
+    items = [(None, passage), (4, "tiny item"), (4, "tiny item"), (5, "tiny item")]
+    texts = ["Ä, " + passage.upper() + " é", "Tiny-ITEM tiny", "w0 w1 w2 w3 w4 w5 w6 w7 w8", None, "", "Tiny-ITEM tiny"]
+    got = sorted(decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect(), key=lambda r: r.id)
+    assert [(r.n_hit, r.n_items, r.items) for r in got] == [(24, 0, []), (2, 2, ["4", "5"]), (0, 0, []), (0, 0, []), (0, 0, []), (2, 2, ["4", "5"])]
+    assert [texts[r.id][s.a : s.b] for r in got for s in r.spans] == [passage.upper(), "Tiny-ITEM", "Tiny-ITEM"]
+
+
+def test_decontamination_of_many_overlaps_matches_brute_force(spark):
+    rng = np.random.default_rng(17)
+    items = [(i, " ".join(rng.choice(list("ab"), rng.integers(1, 40)))) for i in range(25)]
+    texts = [" ".join(rng.choice(list("abc"), 80, p=[0.47, 0.47, 0.06])) for _ in range(30)]
+    got = {r.id: r for r in decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].n_hit, got[i].items) == brute_contamination(t, items)
+
+
+def test_links_of_secrets_match_a_plain_join():
+    rng = np.random.default_rng(18)
+    for _ in range(300):
+        at, base, weak = 0, [], []
+        for _ in range(rng.integers(0, 14)):
+            at += int(rng.integers(0, 60))
+            kind, n = int(rng.integers(0, 6)), int(rng.integers(1, 9))
+            (base if kind < 3 else weak).append((at, kind, at + n))
+            at += n
+        bounds = [0, *sorted(int(x) for x in rng.integers(1, max(2, at), 2))]
+        home = lambda s: sum(b <= s[0] for b in bounds)
+        gap = lambda a, b: b[0] - a[2] if b[0] >= a[2] else a[0] - b[2]
+        want = []
+        for w in weak:
+            near = [(gap(w, o), o) for o in base + weak if o[1] in credentials.COMPLEMENT[w[1]] and gap(w, o) >= 0 and gap(w, o) <= 50 and home(o) == home(w)]
+            want += [(w, min(near)[0])] if near else []
+        assert [(w, gap(w, o)) for w, o in credentials.linked(base, weak, bounds, 50)] == want
