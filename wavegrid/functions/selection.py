@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Range = tuple[float | None, float | None]
@@ -134,3 +134,19 @@ def selection_statistics(df: DataFrame, chosen: Column) -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(chosen).alias("n_selected"))
     share = F.when(F.col("n_total") > 0, 100.0 * F.col("n_selected") / F.col("n_total")).otherwise(0.0)
     return counted.withColumn("percent", share).withColumn("warning", F.when(F.col("n_selected") == 0, "none").when(F.col("percent") < 10.0, "few").otherwise(""))
+
+
+def combined(parts: list[Column], how: str = "and") -> Column:
+    """All conditions, or any of them with ``or``; without a condition every row is selected."""
+    out = None
+    for c in parts:
+        out = c if out is None else (out & c if how == "and" else out | c)
+    return F.lit(True) if out is None else out
+
+
+def tiles(spark: SparkSession, x: list[float], y: list[float]) -> DataFrame:
+    """(i, j, x0, x1, y0, y1): every pair of neighbouring edges of one axis with every one of the other."""
+    nx, ny = len(x) - 1, len(y) - 1
+    at = lambda edges, k: F.get(F.array(*map(F.lit, edges)), k.cast("int"))
+    i, j = F.floor(F.col("id") / max(ny, 1)), F.col("id") % max(ny, 1)
+    return spark.range(max(nx, 0) * max(ny, 0)).select(i.alias("i"), j.alias("j"), at(x, i).alias("x0"), at(x, i + 1).alias("x1"), at(y, j).alias("y0"), at(y, j + 1).alias("y1"))

@@ -114,3 +114,8 @@ def table_lookup(table: list[tuple[float, float]], t: Column) -> Column:
     for (ta, va), (tb, vb) in reversed(list(zip(table, table[1:], strict=False))):
         out = F.when(t <= tb, va + (vb - va) * (t - ta) / (tb - ta)).otherwise(out)
     return F.when(t <= table[0][0], table[0][1]).otherwise(out)
+
+
+def eta_to_thomsen(eta: Column, delta: float = 0.05) -> tuple[Column, Column]:
+    """Epsilon and delta of a weakly anisotropic medium, for a delta taken as known."""
+    return eta + delta, F.lit(delta)

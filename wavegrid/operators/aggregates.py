@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.operators.quality import quantiles
+
 
 def circular_mean(degrees: Column) -> Column:
     """Mean direction in [0, 360), from sums of sines and cosines."""
@@ -18,10 +20,14 @@ def bin_headers(df: DataFrame, ix: Column, iy: Column) -> DataFrame:
 
 
 def fold_map(df: DataFrame, size: float, x: str = "mx", y: str = "my") -> DataFrame:
-    """Rows per square cell, counted from the smallest coordinates."""
-    low = df.agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))
-    cell = lambda c, at: F.floor((F.col(c) - F.col(at)) / size).cast("long")
-    return df.crossJoin(F.broadcast(low)).groupBy(cell(x, "_x0").alias("cx"), cell(y, "_y0").alias("cy")).agg(F.count(F.lit(1)).alias("fold"))
+    """Rows per square cell, counted from the smallest coordinates; the last cells hold the largest coordinates too."""
+    ends = df.agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.max(x).alias("_x1"), F.max(y).alias("_y1"))
+
+    def cell(c: str, low: str, high: str) -> Column:
+        last = F.greatest(F.ceil((F.col(high) - F.col(low)) / size), F.lit(1)) - 1
+        return F.least(F.floor((F.col(c) - F.col(low)) / size), last).cast("long")
+
+    return df.crossJoin(F.broadcast(ends)).groupBy(cell(x, "_x0", "_x1").alias("cx"), cell(y, "_y0", "_y1").alias("cy")).agg(F.count(F.lit(1)).alias("fold"))
 
 
 def histogram(df: DataFrame, value: Column, low: float, width: float, bins: int) -> DataFrame:
@@ -32,8 +38,8 @@ def histogram(df: DataFrame, value: Column, low: float, width: float, bins: int)
 
 
 def offset_statistics(df: DataFrame) -> DataFrame:
-    o = F.col("offset")
-    return df.agg(F.min(o).alias("offset_min"), F.max(o).alias("offset_max"), F.avg(o).alias("offset_mean"), F.stddev_pop(o).alias("offset_std"), F.expr("percentile(`offset`, 0.5)").alias("offset_median"))
+    o, (median,) = F.col("offset"), quantiles(df, "offset", [0.5])
+    return df.agg(F.min(o).alias("offset_min"), F.max(o).alias("offset_max"), F.avg(o).alias("offset_mean"), F.stddev_pop(o).alias("offset_std"), F.lit(median).cast("double").alias("offset_median"))
 
 
 def dominant_bin(counts: DataFrame) -> DataFrame:
@@ -83,8 +89,8 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def robust_mean(df: DataFrame, value: str) -> DataFrame:
     """Mean of the values from the 5th to the 95th percentile."""
-    limits = df.agg(F.expr(f"percentile(`{value}`, 0.05)").alias("_a"), F.expr(f"percentile(`{value}`, 0.95)").alias("_b"))
-    return df.crossJoin(F.broadcast(limits)).where(F.col(value).between(F.col("_a"), F.col("_b"))).agg(F.avg(value).alias("robust_mean"), F.count(F.lit(1)).alias("n"))
+    a, b = quantiles(df, value, [0.05, 0.95])
+    return df.where(F.col(value).between(a, b)).agg(F.avg(value).alias("robust_mean"), F.count(F.lit(1)).alias("n"))
 
 
 def volume_statistics(df: DataFrame, value: str, *keys: str) -> DataFrame:

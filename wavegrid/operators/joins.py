@@ -35,10 +35,16 @@ def rectangle_join(points: DataFrame, boxes: DataFrame, cell: float, px: str = "
 
 
 def interval_join(rows: DataFrame, bins: DataFrame, value: Column, low: str, high: str, width: float) -> DataFrame:
-    """Every (row, bin) with the value in the closed interval; intervals go to all buckets of ``width`` they touch."""
-    wide = bins.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
+    """Every (row, bin) with the value in the closed interval, open where an end is null; intervals go to all buckets of ``width`` they touch.
+
+    Ends beyond all values are moved to those first, so that a bin goes to no more buckets than the values lie in.
+    """
+    ends = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    held = bins.crossJoin(F.broadcast(ends)).withColumns({"_low": F.greatest(F.coalesce(low, "_low"), "_low"), "_high": F.least(F.coalesce(high, "_high"), "_high")}).where("_low <= _high")
+    wide = held.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / width).cast("long"), F.floor(F.col("_high") / width).cast("long")))).drop("_low", "_high")
     met = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col("_v") / width).cast("long")).join(wide, "_b")
-    return met.where(F.col("_v").between(F.col(low), F.col(high))).drop("_b", "_v")
+    inside = (F.col(low).isNull() | (F.col("_v") >= F.col(low))) & (F.col(high).isNull() | (F.col("_v") <= F.col(high)))
+    return met.where(inside).drop("_b", "_v")
 
 
 def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, point_id: str, query_id: str, **names: str) -> DataFrame:

@@ -9,6 +9,7 @@ from wavegrid.functions import geometry as G
 from wavegrid.functions import selection as S
 from wavegrid.operators import aggregates as A
 from wavegrid.operators import joins as J
+from wavegrid.operators.binsize import spacings
 from wavegrid.plans.registry import query
 from wavegrid.sources.survey import grid, header_statistics, headers, literal_table, traces, with_scalar
 
@@ -125,7 +126,7 @@ def header_stats(spark, d):
     return r6(header_statistics(headers(spark, d)), "azimuth_min", "azimuth_max", "offset_min", "offset_max", "offset_mean")
 
 
-@query("WITH {headers} SELECT CAST(floor((mx-(SELECT min(mx) FROM headers))/50) AS BIGINT) AS cx, CAST(floor((my-(SELECT min(my) FROM headers))/50) AS BIGINT) AS cy, count(*) AS fold FROM headers GROUP BY ALL")
+@query("WITH {headers}, l AS (SELECT min(mx) AS ax, max(mx) AS bx, min(my) AS ay, max(my) AS \"by\" FROM headers) SELECT least(CAST(floor((mx-ax)/50) AS BIGINT), greatest(CAST(ceil((bx-ax)/50) AS BIGINT),1)-1) AS cx, least(CAST(floor((my-ay)/50) AS BIGINT), greatest(CAST(ceil((\"by\"-ay)/50) AS BIGINT),1)-1) AS cy, count(*) AS fold FROM headers, l GROUP BY ALL")
 def fold_map_query(spark, d):
     return A.fold_map(headers(spark, d), 50.0)
 
@@ -192,8 +193,8 @@ def shot_line_azimuth(spark, d):
 
 @query("WITH {headers} SELECT round(x,6) AS spacing, count(*) AS n FROM (SELECT sx - lag(sx) OVER (ORDER BY sx) AS x FROM (SELECT DISTINCT sx FROM headers)) WHERE x >= 1 GROUP BY ALL")
 def coordinate_spacings(spark, d):
-    x = headers(spark, d).select("sx").distinct().withColumn("spacing", F.col("sx") - F.lag("sx").over(Window.orderBy("sx")))
-    return r6(x.where("spacing >= 1").groupBy("spacing").agg(F.count(F.lit(1)).alias("n")), "spacing")
+    gaps = spacings(headers(spark, d), "sx")
+    return r6(gaps.groupBy(F.col("gap").alias("spacing")).agg(F.count(F.lit(1)).alias("n")), "spacing")
 
 
 def _points(spark):
