@@ -31,7 +31,7 @@ WORDS = 100_000
 LEAST_CHI2 = 20.0
 PAIR_CHI2 = 30.0
 #: Terms of the sample, the most frequent, whose pairs are looked at, and how many of them at once.
-PAIRED = 2048
+PAIRED = 1024
 PAIRED_AT_ONCE = 512
 #: Bytes of the word beginnings that are terms.
 BEGINNINGS = (4, 5)
@@ -117,7 +117,7 @@ def fit(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epo
     are part of does: the many others can't be told from chance, and in long texts they would drown the few that count.
     """
     rng = np.random.default_rng(SEED)
-    every = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64)
+    every = np.concatenate([np.empty(0, np.int32), *texts])
     index, where, counts = np.unique(every, return_inverse=True, return_counts=True)
     toxic = np.bincount(where, weights=np.repeat(labels, [len(t) for t in texts]), minlength=len(index))
     ends = np.cumsum([len(t) for t in texts]) if texts else np.empty(0, np.int64)
@@ -170,7 +170,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = df.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("_text")).join(F.broadcast(ids), "_id").select(F.struct("_id", "_y").alias("y"), "_text")
     found = map_batches(rows, _term_rows, "y struct<_id:long,_y:int>, terms binary").groupBy("y").agg(F.min("terms").alias("terms")).collect()
     found = sorted((r.y["_y"], bytes(r.terms)) for r in found)
-    return fit(np.array([y for y, _ in found], np.float64), [np.frombuffer(t, np.int32).astype(np.int64) for _, t in found])
+    return fit(np.array([y for y, _ in found], np.float64), [np.frombuffer(t, np.int32) for _, t in found])
 
 
 def _dense(machine: Machine) -> tuple:
