@@ -196,5 +196,26 @@ def hilbert(ix: C, iy: C, order: int) -> Column:
     return F.aggregate(sizes, start, step, lambda at: at["d"])
 
 
+def hilbert_cell(d: C, order: int) -> tuple[Column, Column]:
+    """The cell at a distance along the Hilbert curve of 2^order x 2^order cells."""
+
+    def step(at: Column, s: Column) -> Column:
+        part = F.floor(_c(d) / (s * s)).cast("long") % 4
+        rx = F.floor(part / 2).cast("long")
+        ry = part.bitwiseXOR(rx) % 2
+        turned = ry == 0
+        mx, my = (F.when(turned & (rx == 1), s - 1 - at[c]).otherwise(at[c]) for c in ("x", "y"))
+        return F.struct((F.when(turned, my).otherwise(mx) + s * rx).alias("x"), (F.when(turned, mx).otherwise(my) + s * ry).alias("y"))
+
+    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    found = F.aggregate(F.array(*[F.lit(1 << k).cast("long") for k in range(order)]), start, step)
+    return found["x"], found["y"]
+
+
+def aperture_corners(corners: list[tuple[float, float]], offset: float, dip_degrees: float) -> list[tuple[float, float]]:
+    """Corners pushed out by the aperture of an offset: as far as the dip asks for, the offset at most."""
+    return extended_corners(corners, min(offset * math.tan(math.radians(dip_degrees)), offset))
+
+
 def clamp(x: C, low: float, high: float) -> Column:
     return F.least(F.greatest(_c(x), F.lit(low)), F.lit(high))

@@ -77,3 +77,13 @@ SAME_AS = {"sinc": "sinc8", "spline": "cubic", "lanczos": "lanczos3"}
 def interpolate(method: str, samples: Column, s: Column) -> Column:
     """By name; unknown names are linear."""
     return METHODS.get(SAME_AS.get(method, method), linear)(samples, s)
+
+
+def recommended(priority: str = "balanced", frequency: float | None = None, dt_ms: float | None = None) -> str:
+    """A method: linear for speed, sinc8 for quality, else by the frequency's share of the highest one, sinc4 where that is not known."""
+    if priority in ("speed", "quality"):
+        return {"speed": "linear", "quality": "sinc8"}[priority]
+    if frequency is None or dt_ms is None:
+        return "sinc4"
+    share = frequency * dt_ms / 500.0
+    return "sinc8" if share > 0.7 else "cubic" if share > 0.4 else "linear"

@@ -76,6 +76,21 @@ def far(offset: Column) -> Column:
 NORTH_SOUTH = [(0.0, 45.0, None, None), (315.0, 360.0, None, None), (135.0, 225.0, None, None)]
 EAST_WEST = [(45.0, 135.0, None, None), (225.0, 315.0, None, None)]
 
+# Named expressions for compile_expression.
+EXPRESSIONS = {
+    "near_offsets": "offset < 1500",
+    "far_offsets": "offset > 2500",
+    "mid_offsets": "(offset >= 1000) and (offset <= 3000)",
+    "ns_azimuths": "(azimuth < 45) or (azimuth > 315)",
+    "ew_azimuths": "(azimuth >= 45) and (azimuth <= 135)",
+    "quadrant_1_ne": "(offset_x > 0) and (offset_y > 0)",
+    "quadrant_2_nw": "(offset_x < 0) and (offset_y > 0)",
+    "quadrant_3_sw": "(offset_x < 0) and (offset_y < 0)",
+    "quadrant_4_se": "(offset_x > 0) and (offset_y < 0)",
+    "positive_offset_x": "offset_x > 0",
+    "negative_offset_x": "offset_x < 0",
+}
+
 _FUNCTIONS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "floor": F.floor, "ceil": F.ceil, "log": F.log, "log10": F.log10, "exp": F.exp,
     "round": F.rint, "min": F.least, "max": F.greatest, "mod": lambda a, b: F.pmod(a, b),

@@ -119,3 +119,10 @@ def table_lookup(table: list[tuple[float, float]], t: Column) -> Column:
 def eta_to_thomsen(eta: Column, delta: float = 0.05) -> tuple[Column, Column]:
     """Epsilon and delta of a weakly anisotropic medium, for a delta taken as known."""
     return eta + delta, F.lit(delta)
+
+
+def curved_ratio(offset: Column, z: Column, v0: float, k: float) -> Column:
+    """One-way time of the curved ray over that of a straight one at the mean velocity, at half the offset; 1 where a time is 0."""
+    h = offset / 2.0
+    straight, curved = straight_ray(h, z, v0 + k * z / 2.0), curved_ray(h, z, v0, k)
+    return F.when((straight <= 0) | (curved <= 0), 1.0).otherwise(curved / straight)

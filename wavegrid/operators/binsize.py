@@ -64,3 +64,34 @@ def by_histogram(df: DataFrame, x: str = "mx", y: str = "my", azimuth: float = 0
     found = found.select(F.lit(raw_dx).alias("raw_dx"), F.lit(raw_dy).alias("raw_dy"), standard_bin(F.lit(raw_dx)).alias("dx"), standard_bin(F.lit(raw_dy)).alias("dy"), F.lit((sure_x + sure_y) / 2).alias("confidence"), "n", "width", "height")
     many = lambda size, of: F.greatest(F.floor(F.coalesce(F.col(of), F.lit(0.0)) / F.col(size)), F.lit(1))
     return found.withColumn("fold", F.col("n") / (many("dx", "width") * many("dy", "height"))).drop("width", "height")
+
+
+def by_neighbours(df: DataFrame, ident: str, x: str = "mx", y: str = "my") -> DataFrame:
+    """One row: raw size (the median distance to the nearest other point over the root of two), size, confidence, fold and n.
+
+    ``ident`` is unique. The confidence falls as distances differ; fewer than two points give 25 and 0.
+    """
+    from wavegrid.operators.joins import nearest_join
+    from wavegrid.operators.quality import quantiles
+
+    points = df.select(F.col(ident).alias("p"), F.col(x).cast("double").alias("mx"), F.col(y).cast("double").alias("my")).where("mx IS NOT NULL AND my IS NOT NULL")
+    n, width, height = points.agg(F.count(F.lit(1)), F.max("mx") - F.min("mx"), F.max("my") - F.min("my")).first()
+    median, spread = 0.0, 0.0
+    if n > 1:
+        queries = points.select(F.col("p").alias("q"), F.col("mx").alias("x"), F.col("my").alias("y"))
+        near = nearest_join(points, queries, 2, max(math.sqrt(width * height / n), (width + height) / n, LEAST), "p", "q").where("p <> q").groupBy("q").agg(F.min("dist").alias("dist"))
+        median = quantiles(near, "dist", [0.5])[0]
+        spread = near.agg(F.stddev_pop("dist")).first()[0]
+    raw = median / math.sqrt(2.0) if n > 1 else 25.0
+    found = df.sparkSession.range(1).select(F.lit(raw).alias("raw"), standard_bin(F.lit(raw)).alias("size"), F.lit(max(0.0, 1.0 - spread / median) if median > 0 else 0.0).alias("confidence"), F.lit(n).cast("long").alias("n"))
+    area = F.lit((width or 0.0) * (height or 0.0))
+    return found.withColumn("fold", F.when(area > 0, F.col("n") / (area / (F.col("size") * F.col("size")))).otherwise(0.0))
+
+
+def ensemble(df: DataFrame, ident: str, x: str = "mx", y: str = "my") -> DataFrame:
+    """One row (raw_dx, raw_dy, dx, dy, confidence): sizes by histogram and by neighbours, weighted by their confidence; the first if neither has any."""
+    a, b = by_histogram(df, x, y).first(), by_neighbours(df, ident, x, y).first()
+    total = a.confidence + b.confidence
+    one, other = (a.confidence / total, b.confidence / total) if total > 0 else (1.0, 0.0)
+    raw = [F.lit(r * one + b.raw * other) for r in (a.raw_dx, a.raw_dy)]
+    return df.sparkSession.range(1).select(raw[0].alias("raw_dx"), raw[1].alias("raw_dy"), standard_bin(raw[0]).alias("dx"), standard_bin(raw[1]).alias("dy"), F.lit(max(a.confidence, b.confidence)).alias("confidence"))

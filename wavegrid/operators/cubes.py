@@ -55,6 +55,68 @@ def at_points(points: DataFrame, cube: DataFrame, x: Axis, y: Axis, t: Axis, px:
     return own.join(held, ["_cx", "_cy"], "left").withColumn(out, value).drop("_cx", "_cy", "_p", "corners")
 
 
+def pillars(points: DataFrame, cube: DataFrame, x: Axis, y: Axis, px: str = "x", py: str = "y", out: str = "velocities") -> DataFrame:
+    """``points`` with the array over time between the four pillars around each, bilinear and clamped to the cube; null if one is missing."""
+    (cx, fx), (cy, fy) = x.position(F.col(px)), y.position(F.col(py))
+    own = points.withColumns({"_cx": cx, "_cy": cy, "_f": F.struct(fx.alias("x"), fy.alias("y"))})
+    held = cells(cube, x, y).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "corners")
+    mix = lambda a, b, f: F.zip_with(a, b, lambda p, q: p * (1.0 - f) + q * f)
+    corner = [F.get("corners", F.lit(k)) for k in range(4)]
+    f = F.col("_f")
+    value = F.when(F.size("corners") == 4, mix(mix(corner[0], corner[1], f["x"]), mix(corner[2], corner[3], f["x"]), f["y"]))
+    return own.join(held, ["_cx", "_cy"], "left").withColumn(out, value).drop("_cx", "_cy", "_f", "corners")
+
+
+def at_node(queries: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """``queries`` (il, xl) with the value of the nearest node at most one line away on both axes, else null; ties to the smaller (il, xl).
+
+    Each query meets the nine places around it by an equi-join; nodes without a value take no part.
+    """
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    found = nodes.where(F.col(value).isNotNull()).select(F.col("il").alias("_il"), F.col("xl").alias("_xl"), F.col(value).alias("_value"))
+    wide = queries.select("il", "xl").distinct().withColumn("_n", F.explode(around))
+    wide = wide.select("il", "xl", (F.col("il") + F.col("_n.i")).alias("_il"), (F.col("xl") + F.col("_n.j")).alias("_xl"), (F.abs("_n.i") + F.abs("_n.j")).alias("_far"))
+    best = wide.join(found, ["_il", "_xl"]).groupBy("il", "xl").agg(F.min_by("_value", F.struct("_far", "_il", "_xl")).alias(value))
+    return queries.join(best, ["il", "xl"], "left")
+
+
+def along_line(targets: DataFrame, nodes: DataFrame, line: str, at: str, value: str) -> DataFrame:
+    """``targets`` with a value linear between the nodes of their line and on beyond them; one node holds along its line, none gives null.
+
+    A line's nodes, the picks of an interpreter, are one array.
+    """
+    from wavegrid.functions.sampling import on_line
+
+    own = nodes.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(value).alias("v")))).alias("_nodes"))
+    return targets.join(own, line, "left").withColumn(value, on_line(F.col("_nodes"), F.col(at).cast("double"))).drop("_nodes")
+
+
+def coverage(points: DataFrame, x: Axis, y: Axis, px: str = "x", py: str = "y") -> DataFrame:
+    """One row: points, those outside the cube's rectangle, percent, and the widest gaps beyond each side (0 if none)."""
+    end = lambda a: a.start + a.step * (a.n - 1)
+    outside = ~(F.col(px).between(x.start, end(x)) & F.col(py).between(y.start, end(y)))
+    gap = lambda c: F.greatest(c, F.lit(0.0))
+    out = points.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("n_outside"), gap(x.start - F.min(px)).alias("gap_x_low"), gap(F.max(px) - end(x)).alias("gap_x_high"),
+        gap(y.start - F.min(py)).alias("gap_y_low"), gap(F.max(py) - end(y)).alias("gap_y_high"),
+    )
+    return out.withColumn("percent_outside", F.when(F.col("n") > 0, 100.0 * F.col("n_outside") / F.col("n")).otherwise(0.0))
+
+
+def interval_gradient(df: DataFrame, keys: list[str], t_ms: str, v: str) -> DataFrame:
+    """(keys, v0, k) of a straight line of interval velocities over depth, which half their sum over time approximates; both are clamped.
+
+    One velocity gives itself and k 0. A key's velocities are one function of time.
+    """
+    w = Window.partitionBy(*keys).orderBy(t_ms)
+    t, before, after = F.col(t_ms) / 1000.0, F.lag(t_ms).over(w) / 1000.0, F.lead(t_ms).over(w) / 1000.0
+    step = F.coalesce((after - before) / 2.0, after - t, t - before)
+    rows = df.select(*keys, t_ms, v, (F.col(v) * step).alias("_dz"))
+    rows = rows.withColumn("_z", F.sum("_dz").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 2.0)
+    line = rows.groupBy(*keys).agg(F.regr_slope(v, "_z").alias("_k"), F.regr_intercept(v, "_z").alias("_b"), F.avg(v).alias("_m"))
+    return line.select(*keys, clamp(F.coalesce("_b", "_m"), 1000.0, 6000.0).alias("v0"), clamp(F.coalesce("_k", F.lit(0.0)), 0.0, 2.0).alias("k"))
+
+
 def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Runs of equal values along ``order``, per key: (keys, run from 0, value, first, last, n)."""
     w = Window.partitionBy(*keys).orderBy(order)

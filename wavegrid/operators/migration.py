@@ -25,12 +25,19 @@ class Options:
     method: str = "linear"
     spreading: bool = False
     obliquity: bool = True
-    #: "time" opens the aperture with time, "constant" uses the largest everywhere.
+    #: "time" opens the aperture with time and dip, "open" from the least one by half the path, "constant" uses the largest everywhere.
     aperture_mode: str = "time"
     #: (t0, source distance, receiver distance, velocity) to time; straight rays if None.
     travel_time: Callable[[Column, Column, Column, Column], Column] | None = None
     dominant_frequency: float | None = None
     grid_spacing: float = 25.0
+    #: Columns of the image points that ``velocity`` and ``travel_time`` read besides it and t0, such as arrays over it.
+    pillar: tuple[str, ...] = ()
+
+
+def at_sample(column: str) -> Callable[[Column], Column]:
+    """A velocity for Options from an array over ``it`` that each image point has."""
+    return lambda t0: F.get(F.col(column), F.col("it").cast("int"))
 
 
 def contributions(traces: DataFrame, grid: DataFrame, times: DataFrame, options: Options, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
@@ -42,10 +49,11 @@ def contributions(traces: DataFrame, grid: DataFrame, times: DataFrame, options:
     o = options
     met = radius_join(traces, grid, o.max_aperture)
     square = lambda a, b: (F.col(a) - F.col("x")) * (F.col(a) - F.col("x")) + (F.col(b) - F.col("y")) * (F.col(b) - F.col("y"))
-    met = met.select(*keys, "samples", "dist", square("sx", "sy").alias("ds2"), square("rx", "ry").alias("dr2"))
+    met = met.select(*keys, *o.pillar, "samples", "dist", square("sx", "sy").alias("ds2"), square("rx", "ry").alias("dr2"))
     rows = met.crossJoin(F.broadcast(times))
     v, t0, d = o.velocity(F.col("t0")), F.col("t0"), F.col("dist")
-    reach = T.aperture(t0, v, o.dip, o.min_aperture, o.max_aperture) if o.aperture_mode == "time" else F.lit(o.max_aperture)
+    opening = {"time": T.aperture(t0, v, o.dip, o.min_aperture, o.max_aperture), "open": F.least(o.min_aperture + v * t0 / 2.0, F.lit(o.max_aperture))}
+    reach = opening.get(o.aperture_mode, F.lit(o.max_aperture))
     t = o.travel_time(t0, F.sqrt("ds2"), F.sqrt("dr2"), v) if o.travel_time else T.dsr(t0, F.col("ds2"), F.col("dr2"), v)
     rows = rows.withColumns({"v": v, "reach": reach, "t": t}).where(F.col("dist") <= F.col("reach"))
     rows = rows.withColumn("s", (F.col("t") - o.t_start) / o.dt).where((F.col("s") >= 0) & (F.col("s") < F.size("samples") - 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells that a range of values is cut into while a quantile is looked for.
@@ -88,3 +88,48 @@ def coordinate_report(df: DataFrame, x: str, y: str) -> DataFrame:
     usable = ~(F.col(x).isNull() | F.col(y).isNull() | F.isnan(x) | F.isnan(y))
     out = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~usable).alias("n_unusable"), F.count_if((F.col(x) == 0) & (F.col(y) == 0)).alias("n_origin"), (F.max(x) - F.min(x)).alias("width"), (F.max(y) - F.min(y)).alias("height"))
     return out.withColumn("valid", (F.col("n") > F.col("n_unusable")) & (F.greatest("width", "height") > 0))
+
+
+def outlier_report(df: DataFrame, corners: list[tuple[float, float]], x: str = "mx", y: str = "my", buffer: float = 0.0, acceptable: float = 0.05) -> DataFrame:
+    """One row: points in and outside counter-clockwise ``corners`` and ``buffer``, outside ones by quadrant around their centre,
+    the farthest distance, a buffer that would hold all (5 % more), and how to treat them.
+
+    Up to a thousandth or the acceptable share they are excluded, up to 15 % the grid is better extended, above it is to be reviewed.
+    """
+    from wavegrid.functions.geometry import quad_distance
+
+    cx, cy = (sum(c) / len(corners) for c in zip(*corners, strict=True))
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"), quad_distance(x, y, corners).alias("d"))
+    out = F.col("d") > buffer
+    east, north = F.col("x") >= cx, F.col("y") >= cy
+    sides = {"n_ne": east & north, "n_se": east & ~north, "n_sw": ~east & ~north, "n_nw": ~east & north}
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("n_outside"), *[F.count_if(out & c).alias(n) for n, c in sides.items()], F.max("d").alias("farthest"))
+    share = F.when(F.col("n") > 0, F.col("n_outside") / F.col("n")).otherwise(0.0)
+    whole = whole.withColumns({"share": share, "suggested_buffer": F.when(F.col("n_outside") > 0, F.col("farthest") * 1.05).otherwise(buffer)})
+    return whole.withColumn("handling", F.when(F.col("share") <= max(0.001, acceptable), "exclude").when(F.col("share") <= 0.15, "extend").otherwise("review"))
+
+
+def rotated_extent(df: DataFrame, degrees: float, x: str = "mx", y: str = "my", buffer: float = 0.005) -> DataFrame:
+    """One row (x0, y0 to x3, y3): corners, counter-clockwise, of the rectangle along ``degrees`` that holds all points and a margin."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    u, v = F.col(x) * c + F.col(y) * s, F.col(y) * c - F.col(x) * s
+    ends = df.agg(F.min(u).alias("a"), F.max(u).alias("b"), F.min(v).alias("p"), F.max(v).alias("q"))
+    wide, high = (F.col("b") - F.col("a")) * buffer, (F.col("q") - F.col("p")) * buffer
+    ends = ends.select((F.col("a") - wide).alias("a"), (F.col("b") + wide).alias("b"), (F.col("p") - high).alias("p"), (F.col("q") + high).alias("q"))
+    at = [("a", "p"), ("b", "p"), ("b", "q"), ("a", "q")]
+    return ends.select(*[e for k, (i, j) in enumerate(at) for e in ((F.col(i) * c - F.col(j) * s).alias(f"x{k}"), (F.col(i) * s + F.col(j) * c).alias(f"y{k}"))])
+
+
+def numbered(df: DataFrame, key: Column, tie: str, name: str = "rank", cells: int = 16384) -> DataFrame:
+    """Rows numbered from 0 over the whole table by a long ``key`` of at least 0, ties by the column ``tie``.
+
+    Keys are cut into at most ``cells`` ranges of equal width; rows are sorted within a range, and ranges start where the
+    counts of those before end, so that no task sorts the table and only the counts are sorted as a whole.
+    """
+    rows = df.withColumn("_key", key)
+    most = rows.agg(F.max("_key")).first()[0] or 0
+    rows = rows.withColumn("_cell", F.floor(F.col("_key") / F.lit(most // cells + 1)))
+    counts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", tie)) - 1
+    return rows.withColumn("_own", own).join(F.broadcast(starts), "_cell").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_cell", "_key", "_own", "_start")
