@@ -131,7 +131,7 @@ def _curvature(spark, d):
     return V.curvature(g, ["ix"], F.col("bin") * 100 + 50.0, 8.0, 48.0)
 
 
-@query(f"WITH {{traces}}, {_CURVE} SELECT ix, CAST(pos AS BIGINT) AS "at", round(k*1e6,4) AS curvature FROM c")
+@query(f"WITH {{traces}}, {_CURVE} SELECT ix, CAST(pos AS BIGINT) AS \"at\", round(k*1e6,4) AS curvature FROM c")
 def gather_curvature(spark, d):
     return _curvature(spark, d).select("ix", "at", F.round(F.col("curvature") * 1e6, 4).alias("curvature"))
 
@@ -179,10 +179,10 @@ def migrate_time_windows(spark, d):
     return _rounded(_window_image(spark, d))
 
 
-@query("""WITH {headers}, s AS (SELECT shot_id, trace_idx % 16 AS k, round(avg("offset"),6) AS v FROM headers WHERE trace_idx % 16 IN (0,3,4,9,15) GROUP BY ALL), f AS (SELECT shot_id, list({'t': k, 'v': v} ORDER BY k) AS p FROM s GROUP BY ALL), g AS (SELECT shot_id, p, unnest(range(20)) AS it FROM f), r AS (SELECT *, len([z FOR z IN p IF z.t <= it]) AS n FROM g)
+@query("""WITH {headers}, s AS (SELECT shot_id, trace_idx % 16 AS k, avg("offset") AS v FROM headers WHERE trace_idx % 16 IN (0,3,4,9,15) GROUP BY ALL), f AS (SELECT shot_id, list({'t': k, 'v': v} ORDER BY k) AS p FROM s GROUP BY ALL), g AS (SELECT shot_id, p, unnest(range(20)) AS it FROM f), r AS (SELECT *, len([z FOR z IN p IF z.t <= it]) AS n FROM g)
     SELECT shot_id, it, round(CASE WHEN n=0 THEN p[1].v WHEN n>=len(p) THEN p[len(p)].v ELSE p[n].v+(p[n+1].v-p[n].v)*(it-p[n].t)/(p[n+1].t-p[n].t) END,4) AS v FROM r""")
 def uniform_sampling(spark, d):
-    rows = headers(spark, d).withColumn("it", F.col("trace_idx") % 16).where(F.col("it").isin(0, 3, 4, 9, 15)).groupBy("shot_id", "it").agg(F.round(F.avg("offset"), 6).alias("v"))
+    rows = headers(spark, d).withColumn("it", F.col("trace_idx") % 16).where(F.col("it").isin(0, 3, 4, 9, 15)).groupBy("shot_id", "it").agg(F.avg("offset").alias("v"))
     return r6(P.uniform(rows, ["shot_id"], "v", 20), "v", digits=4)
 
 
@@ -290,5 +290,5 @@ def bins_of_written_gathers(spark, d):
 @query()
 def band_pass_then_gain(spark, d):
     """Band-pass and gain one after the other, each on a trace alone."""
-    t = traces(spark, d).withColumn("o", X.agc(X.band_pass(5.0, 40.0, DT)(F.col("samples")), 8))
+    t = traces(spark, d).withColumn("f", X.band_pass(5.0, 40.0, DT)(F.col("samples"))).withColumn("o", X.agc(F.col("f"), 8))
     return r6(volumes.exploded(t, ["trace_idx"], "o"), "v")
