@@ -72,7 +72,19 @@ def geometry_morton(spark, d):
     return headers(spark, d).select("trace_idx", G.morton(c("mx").bitwiseAND(F.lit(65535)), c("my").bitwiseAND(F.lit(65535))).alias("morton"))
 
 
-@query()
+def hilbert_sql(order: int) -> str:
+    """CTEs c0 to c<order> over ``headers``: the last has the distance d of each trace's 25 m cell along the curve."""
+    cell = lambda c: f"CAST(least(greatest(floor({c}/25),0),{2**order - 1}) AS BIGINT)"
+    out = [f"c0 AS (SELECT trace_idx, {cell('mx')} AS x, {cell('my')} AS y, CAST(0 AS BIGINT) AS d FROM headers)"]
+    for k in range(order):
+        s = 2 ** (order - 1 - k)
+        parts = f"SELECT trace_idx, d, x//{s} AS p, y//{s} AS q, x%{s} AS a, y%{s} AS b FROM c{k}"
+        side = lambda v: f"CASE WHEN p=1 THEN {s - 1}-{v} ELSE {v} END"
+        out.append(f"c{k + 1} AS (SELECT trace_idx, CASE WHEN q=0 THEN {side('b')} ELSE a END AS x, CASE WHEN q=0 THEN {side('a')} ELSE b END AS y, d+{s * s}*xor(3*p,q) AS d FROM ({parts}))")
+    return ", ".join(out)
+
+
+@query(f"WITH {{headers}}, {hilbert_sql(7)} SELECT trace_idx, d AS hilbert FROM c7")
 def geometry_hilbert(spark, d):
     c = lambda x: G.clamp(F.floor(F.col(x) / 25.0), 0, 127).cast("long")
     return headers(spark, d).select("trace_idx", G.hilbert(c("mx"), c("my"), 7).alias("hilbert"))

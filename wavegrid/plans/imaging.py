@@ -91,7 +91,13 @@ def migrate_curved_ray(spark, d):
     return _rounded(M.migrate(traces(spark, d), _image_points(spark), _times(spark), o))
 
 
-@query()
+_CUBIC_PART = "CASE WHEN i>=1 AND i+2<len(samples) THEN samples[i+1]::DOUBLE+0.5e0*(s-i)*(samples[i+2]::DOUBLE-samples[i]::DOUBLE+(s-i)*(2*samples[i]::DOUBLE-5*samples[i+1]::DOUBLE+4*samples[i+2]::DOUBLE-samples[i+3]::DOUBLE+(s-i)*(3*(samples[i+1]::DOUBLE-samples[i+2]::DOUBLE)+samples[i+3]::DOUBLE-samples[i]::DOUBLE))) ELSE"
+_SINE = "(dist/sqrt(dist*dist+(v*t0/2)*(v*t0/2)))"
+_ALIAS = f"(t0/t)*CASE WHEN {_SINE}<0.01e0 THEN 1 ELSE greatest(0,1-30.0e0/least(v/(100.0e0*least({_SINE},0.999e0)),500)) END"
+_LINEAR_PART = "(CAST(samples[i+1] AS DOUBLE)*(1-(s-i)) + CAST(samples[i+2] AS DOUBLE)*(s-i))"
+
+
+@query(_migration_sql(_DSR, _REACH, weight=_ALIAS).replace(_LINEAR_PART, f"({_CUBIC_PART} {_LINEAR_PART} END)"))
 def migrate_antialiased(spark, d):
     return _rounded(M.migrate(traces(spark, d), _image_points(spark), _times(spark), M.Options(dominant_frequency=30.0, method="cubic")))
 
@@ -142,6 +148,24 @@ def interpolate_cubic(spark, d):
     return _sampled(spark, d, "cubic")
 
 
+_SINC = "CASE WHEN abs(x)<1e-8 THEN 1 ELSE sin(pi()*x)/(pi()*x) END"
+
+
+def _kernel_sql(method: str) -> str:
+    """Weights of a window around a sample, normalised; linear where the window leaves the trace."""
+    if method.startswith("sinc"):
+        half = int(method[4:]) // 2
+        first, last, centre, weight = -half, half, "CAST(floor(s+0.5e0) AS BIGINT)", f"({_SINC})*0.5e0*(1+cos(pi()*x/{half}))"
+        inside, near = f"c>={half} AND c+{half}<n", f"abs(x)<={half}"
+    else:
+        half = int(method[7:])
+        first, last, centre, weight = 1 - half, half, "i", f"({_SINC})*({_SINC.replace('x)', f'x/{half})')})"
+        inside, near = f"c>={half - 1} AND c+{half}<n", f"abs(x)<{half}"
+    return f"""WITH {{traces}}, {_POS}, c AS (SELECT *, {centre} AS c FROM q), w AS (SELECT trace_idx, s, c, n, samples, unnest(range({first},{last + 1})) AS k FROM c), x AS (SELECT *, s-(c+k) AS x FROM w WHERE {inside}),
+        y AS (SELECT trace_idx, c, CASE WHEN {near} THEN {weight} ELSE 0 END AS w, CAST(samples[c+k+1] AS DOUBLE) AS a FROM x), z AS (SELECT trace_idx, CASE WHEN abs(sum(w))>1e-10 THEN sum(w*a)/sum(w) ELSE 0 END AS a FROM y GROUP BY trace_idx)
+        SELECT q.trace_idx, round(CASE WHEN z.trace_idx IS NULL THEN {_LINEAR} ELSE z.a END,6) AS a FROM q LEFT JOIN z USING (trace_idx)"""
+
+
 def _register_kernels() -> None:
     for method in ("sinc4", "sinc8", "sinc16", "lanczos3", "lanczos5"):
 
@@ -149,7 +173,7 @@ def _register_kernels() -> None:
             return _sampled(spark, d, method)
 
         run.__name__ = f"interpolate_{method}"
-        query()(run)
+        query(_kernel_sql(method))(run)
 
 
 _register_kernels()
@@ -190,7 +214,11 @@ def resample_linear(spark, d):
     return _long(traces(spark, d).withColumn("o", X.resample(F.col("samples"), 0.008, 0.005, 100)), "o")
 
 
-@query()
+# the filter as a circular convolution: its kernel is the inverse transform of the response at 33 frequencies of 64 samples
+_RESPONSE = "w AS (SELECT k, k/(64*0.008e0) AS f FROM range(33) t(k)), r AS (SELECT k, 0.25e0*(1-cos(pi()*least(greatest((f-0.0e0)/5,0),1)))*(1-cos(pi()*least(greatest((45.0e0-f)/5,0),1)))*CASE WHEN k IN (0,32) THEN 1 ELSE 2 END AS g FROM w), c AS (SELECT m, sum(g*cos(2*pi()*k*m/64))/64 AS c FROM r, range(64) t(m) GROUP BY m)"
+
+
+@query(f"WITH {{traces}}, {_RESPONSE}, x AS (SELECT trace_idx, unnest(range(64)) AS j, unnest(samples)::DOUBLE AS x FROM traces), o AS (SELECT trace_idx, (j+m)%64 AS i, sum(x*c) AS a FROM x, c GROUP BY ALL) SELECT trace_idx, CAST(i AS BIGINT) AS i, round(a,6) AS a FROM o")
 def filter_band_pass(spark, d):
     return _long(traces(spark, d).withColumn("o", X.band_pass(5.0, 40.0, 0.008)(F.col("samples"))), "o")
 

@@ -16,7 +16,7 @@ from wavegrid.operators import migration as M
 from wavegrid.operators import quality as Q
 from wavegrid.operators import velocity as V
 from wavegrid.operators import volumes
-from wavegrid.plans.headers import r6
+from wavegrid.plans.headers import hilbert_sql, r6
 from wavegrid.plans.imaging import _DSR, _REACH, _image_points, _migration_sql, _rounded, _times
 from wavegrid.plans.registry import query
 from wavegrid.plans.volumes import _U, _folder, _image, _picks
@@ -45,7 +45,7 @@ def survey_order_morton(spark, d):
     return Q.numbered(headers(spark, d), G.morton(_cell("mx"), _cell("my")), "trace_idx").select("trace_idx", "rank")
 
 
-@query()
+@query(f"WITH {{headers}}, {hilbert_sql(7)} SELECT trace_idx, row_number() OVER (ORDER BY d, trace_idx)-1 AS rank FROM c7")
 def survey_order_hilbert(spark, d):
     return Q.numbered(headers(spark, d), G.hilbert(_cell("mx"), _cell("my"), 7), "trace_idx").select("trace_idx", "rank")
 
