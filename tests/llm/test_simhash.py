@@ -92,3 +92,10 @@ def test_long_chains_are_one_component(spark):
     df = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = connected_components(df.union(spark.createDataFrame([(None, 3), (900, 900)], "a long, b long"))).collect()
     assert {r.component for r in got} == {0} and len(got) == 400
+
+
+def test_hubs_and_repeated_links(spark):
+    hub = [(i, 5_000) for i in range(0, 3_000, 3)] + [(1, i) for i in range(1, 3_000, 3)]
+    links = spark.createDataFrame(hub * 2 + [(2, 5), (5, 2)], "a long, b long").repartition(7)
+    got = dict(connected_components(links).select("node", "component").collect())
+    assert got == {i: i % 3 for i in (*range(0, 3_000, 3), *range(1, 3_000, 3), 2, 5)} | {5_000: 0}

@@ -12,6 +12,8 @@ from wavegrid.session import ensure_checkpoint_dir
 
 #: Links that one worker folds into a local forest before it passes them on.
 FOREST_LINKS = 500_000
+#: A node with more than this part of all link ends is a hub; there are fewer hubs than this.
+HUBS = 1_000
 
 
 class _Forest:
@@ -51,19 +53,29 @@ def local_forests(batches):
     yield forest.rows()
 
 
+def _with_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their u. Of at most HUBS * hub rows fewer than HUBS nodes have over ``hub``: those
+    are broadcast, so that no task joins all links of a hub."""
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
+    met = rows.join(hubs, "u", "left")
+    return met.where(F.col("m").isNotNull()).union(met.where(F.col("m").isNull()).drop("m").join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: every round is joins and minima over the
-    links, so no component is ever gathered in one place. Rounds grow with the logarithm of
+    links, so no component is ever gathered in one place, nor the links of one node. Rounds grow with the logarithm of
     the longest chain. Links with a null end and loops are ignored.
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
     start = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull())
-    # shuffled first, so that no task runs the worker that makes links and this one at once
-    edges = map_batches(start.repartition("v"), local_forests, "u long, v long").distinct().checkpoint()
+    # shuffled first, so that no task runs the worker that makes links and this one at once, by both ends, so that
+    # a hub's links spread, and sorted, so that a task that is run again folds the same links together
+    dealt = start.repartition("u", "v").sortWithinPartitions("v", "u")
+    edges = map_batches(dealt, local_forests, "u long, v long").distinct().checkpoint()
     before = None
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -71,10 +83,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
         before = state
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small).distinct().checkpoint()
+        hub = 2 * state[0] // HUBS
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = _with_least(both, least, hub).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        edges = _with_least(large, small, hub).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct().checkpoint()
 
 
 def unsigned(x: np.ndarray) -> np.ndarray:
