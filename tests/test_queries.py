@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,18 @@ def test_butterworth_passes_the_band_only(spark):
     assert got[0.0] == [] and got[1.0] == [0.0]
     assert max(abs(a - b) for a, b in zip(got[30.0][100:400], waves[30.0][100:400], strict=True)) < 0.02
     assert all(max(map(abs, got[f][100:400])) < 0.02 for f in (2.0, 110.0))
+
+
+def test_nearest_join_equals_brute_force(spark):
+    rng = random.Random(3)
+    spots = [(rng.choice((0.0, 900.0)) + rng.random() * 10, rng.choice((0.0, 1200.0)) + rng.random() * 10) for _ in range(300)] + [(5.0, 5.0)] * 6
+    asked = [(450.0, 600.0), (-1e6, 3.0), (5.0, 5.0), (905.0, 5.0), (460.0, 1205.0), (1e5, 1e5)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(900, None, 1.0), (901, float("nan"), 1.0)], "trace_idx long, mx double, my double")
+    queries = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)] + [(90, float("inf"), 1.0), (91, 1.0, None)], "q long, x double, y double")
+    for k in (4, 400):
+        got = {}
+        for r in J.nearest_join(points, queries, k, 2.0, "trace_idx", "q").orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.trace_idx)
+        want = {q: [i for _, i in sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), i) for i, (x, y) in enumerate(spots))][:k] for q, (a, b) in enumerate(asked)}
+        assert got == want
+    assert J.nearest_join(points.limit(0), queries, 3, 2.0, "trace_idx", "q").count() == 0

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.session import ensure_checkpoint_dir
 
+#: Most cells of a level that are broadcast: 40 bytes each.
+BROADCAST_CELLS = 1 << 16
+
 
 def _cells(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumns({"_cx": F.floor(F.col(x) / size).cast("long"), "_cy": F.floor(F.col(y) / size).cast("long")})
@@ -47,31 +52,66 @@ def interval_join(rows: DataFrame, bins: DataFrame, value: Column, low: str, hig
     return met.where(inside).drop("_b", "_v")
 
 
+def _finite(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(f"abs(`{x}`) < double('infinity') AND abs(`{y}`) < double('infinity')")
+
+
+def _nearest_cells(cells: DataFrame, left: DataFrame, k: int, origin: tuple[float, float], size: float, levels: int, slack: float, query_id: str, qx: str, qy: str) -> DataFrame:
+    """``left`` with the cells (_cx, _cy) that can hold one of the k nearest points, from counts (_cx, _cy, _n) of points.
+
+    From one cell over all points, cells are halved in both directions. Those whose farthest corners are nearest
+    and that hold k points together bound the distance; cells beyond it go, so that few stay with a query.
+    """
+    held = left.withColumns({"_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    own = Window.partitionBy(query_id)
+    for level in range(levels - 1, -1, -1):
+        width = size * 2.0**level
+        finer = cells.groupBy(F.shiftright("_cx", level).alias("_x"), F.shiftright("_cy", level).alias("_y")).agg(F.sum("_n").alias("_n"))
+        finer = finer.withColumns({"_cx": F.shiftright("_x", 1), "_cy": F.shiftright("_y", 1)})
+        small = 4 ** (levels - level) <= BROADCAST_CELLS
+        held = held.join(F.broadcast(finer) if small else finer, ["_cx", "_cy"]).drop("_cx", "_cy").withColumnsRenamed({"_x": "_cx", "_y": "_cy"})
+        near, far = F.lit(0.0), F.lit(0.0)
+        for q, c, o in ((qx, "_cx", origin[0]), (qy, "_cy", origin[1])):
+            low = F.col(c) * width + o - F.col(q)
+            inside, beyond = F.greatest(low, -(low + width), F.lit(0.0)), F.greatest(F.abs(low), F.abs(low + width))
+            near, far = near + inside * inside, far + beyond * beyond
+        held = held.withColumns({"_near": F.sqrt(near), "_far": F.sqrt(far)})
+        held = held.withColumn("_sum", F.sum("_n").over(own.orderBy("_far")))
+        held = held.withColumn("_bound", F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(own))
+        held = held.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") + slack)).drop("_near", "_far", "_sum", "_bound", "_n")
+        if level % 8 == 7:
+            held = held.checkpoint()
+    return held
+
+
 def nearest_join(points: DataFrame, queries: DataFrame, k: int, radius: float, point_id: str, query_id: str, **names: str) -> DataFrame:
-    """The k nearest points of each query, with ``dist`` and ``rank``, ties to the smaller id.
+    """The k nearest points of each query (all, if fewer), with ``dist`` and ``rank``, ties to the smaller id; ids are unique.
 
-    Queries that find fewer than k points in ``radius`` are tried again at twice the radius, until all have
-    k or the radius spans the points; each round joins only those left. At most k rows a query are kept of a
-    round, and they are checkpointed, so that a later round's plan doesn't hold the earlier ones.
+    Most queries should find k points in ``radius``. Those that don't are not tried at larger ones, which could hold
+    all points: counts of points by cells tell which cells they need (``_nearest_cells``), and only those are joined.
+    Points and queries without finite coordinates take no part.
     """
-    x0, x1, y0, y1, n = points.agg(F.min(names.get("px", "mx")), F.max(names.get("px", "mx")), F.min(names.get("py", "my")), F.max(names.get("py", "my")), F.count(F.lit(1))).first()
-    bounds = queries.agg(F.min(names.get("qx", "x")), F.max(names.get("qx", "x")), F.min(names.get("qy", "y")), F.max(names.get("qy", "y"))).first()
-    if not n or bounds[0] is None:
-        return radius_join(points, queries, radius, **names).withColumn("rank", F.lit(0))
-    span = max(x1, bounds[1]) - min(x0, bounds[0]) + max(y1, bounds[3]) - min(y0, bounds[2]) + 1.0
+    px, py, qx, qy = (names.get(c, d) for c, d in (("px", "mx"), ("py", "my"), ("qx", "x"), ("qy", "y")))
+    points, queries = _finite(points, px, py), _finite(queries, qx, qy)
     ensure_checkpoint_dir(points.sparkSession)
     own = Window.partitionBy(query_id)
-    order, found, left = own.orderBy("dist", point_id), None, queries
-    while True:
-        last = radius >= span
-        near = radius_join(points, left, radius, **names).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-        near = near.withColumn("_n", F.count(F.lit(1)).over(own)).checkpoint()
-        done = near if last else near.where(F.col("_n") >= k)
-        found = done if found is None else found.unionByName(done)
-        if last:
-            break
-        left = left.join(done.select(query_id).distinct(), query_id, "left_anti").checkpoint()
-        if left.isEmpty():
-            break
-        radius *= 2.0
-    return found.drop("_n")
+
+    def ranked(met: DataFrame) -> DataFrame:
+        return met.withColumn("rank", F.row_number().over(own.orderBy("dist", point_id)).cast("long")).where(F.col("rank") <= k)
+
+    near = ranked(radius_join(points, queries, radius, **names)).withColumn("_n", F.count(F.lit(1)).over(own)).checkpoint()
+    done = near.where(F.col("_n") >= k).drop("_n")
+    left = queries.join(done.select(query_id).distinct(), query_id, "left_anti").select(queries.columns).checkpoint()
+    x0, x1, y0, y1 = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
+    if x0 is None or left.isEmpty():
+        return done
+    u0, u1, w0, w1 = left.agg(F.min(qx), F.max(qx), F.min(qy), F.max(qy)).first()
+    span = max(x1 - x0, y1 - y0)
+    slack = 1e-9 * max(abs(v) for v in (x0, x1, y0, y1, u0, u1, w0, w1, radius))
+    levels = max(0, math.ceil(math.log2(max(span, radius) / radius))) + 1
+    cell = {"_cx": F.floor((F.col(px) - x0) / radius).cast("long"), "_cy": F.floor((F.col(py) - y0) / radius).cast("long")}
+    cells = points.select(*[c.alias(n) for n, c in cell.items()]).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    wanted = _nearest_cells(cells, left, k, (x0, y0), radius, levels, slack, query_id, qx, qy)
+    dx, dy = F.col(px) - F.col(qx), F.col(py) - F.col(qy)
+    met = points.withColumns(cell).join(wanted, ["_cx", "_cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).drop("_cx", "_cy")
+    return done.unionByName(ranked(met))
