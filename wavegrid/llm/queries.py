@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import bitsliced, credentials, decontaminate, language, licenses, linededup, packing, simhash, toxicity, urlfilter
+from wavegrid.llm import bitsliced, credentials, decontaminate, exactdedup, language, licenses, linededup, packing, simhash, toxicity, urlfilter, variants, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,53 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["name"]), ",").alias("licenses"), "matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lines, op4_language, op5_secrets, op6_topk, op7_urls, op8_toxicity, op9_packing, op10_licenses)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"id": "doc_id", "keep": "keep_id", "size": "group_size", "sha": "text_sha256"}
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnsRenamed(names)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lines, op4_language, op5_secrets, op6_topk, op7_urls, op8_toxicity, op9_packing, op10_licenses, op11_codes, op12_copies, op13_variants)}
+
+
+def _codes_sql() -> str:
+    """Product codes: two rounds of assignment and means, then the codes."""
+    apart = "CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q, c)]) AS BIGINT) AS d"
+    step = lambda k: f"""
+        m{k} AS (SELECT vec_id, p, any_value(q) AS q, arg_min(struct_pack(e := e, d := d), d * 64 + e) AS m
+                 FROM (SELECT v.vec_id, v.p, v.q, c.e, {apart} FROM parts v JOIN c{k} c USING (p)) GROUP BY vec_id, p),"""
+    move = lambda k: f"""
+        s{k} AS (SELECT p, m.e AS e, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM m{k}),
+        t{k} AS (SELECT p, e, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM s{k} GROUP BY p, e, j),
+        u{k} AS (SELECT p, e, list(x ORDER BY j) AS c FROM t{k} GROUP BY p, e),
+        c{k + 1} AS (SELECT p, e, coalesce(u.c, o.c) AS c FROM c{k} o LEFT JOIN u{k} u USING (p, e)),"""
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+            WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), parts AS (SELECT vec_id, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS q FROM v, (SELECT unnest(range(16)) AS p)),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v),
+        c0 AS (SELECT p, e, q AS c FROM parts JOIN f USING (vec_id) WHERE e < 64),
+        {step(0)}{move(0)}{step(1)}{move(1)}{step(2)}
+        h AS (SELECT sha256(string_agg(x, ',' ORDER BY p, e)) AS h FROM (SELECT p, e, array_to_string(c, ',') AS x FROM c2)),
+        r AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM m2 GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (vec_id), h"""
+
+
 #: DuckDB's SQL for the queries that it can express.
 ORACLE = {
+    "op11_codes": _codes_sql(),
+    "op12_copies": """
+        WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM t
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
