@@ -86,6 +86,25 @@ def test_diffractor_focuses(spark):
     assert (best.ix, best.iy) == (2, 2) and abs(best.it - 100) <= 1
 
 
+def test_image_does_not_depend_on_tiles_and_units(spark):
+    rows = [(i, *(float(v) for v in ((i * 37) % 400, (i * 53) % 390, (i * 41) % 410, (i * 29) % 380)), [math.sin(i + k) for k in range(40 + i % 5)]) for i in range(120)]
+    rows += [(1000 + i, 100.0, 100.0, 140.0, 100.0, [float(i % 3)] * 40) for i in range(150)] + [(2000, None, 1.0, 1.0, 1.0, [1.0]), (2001, 1.0, 1.0, 1.0, 1.0, None), (2002, 1.0, 1.0, 1.0, 1.0, [])]
+    traces = spark.createDataFrame(rows, "trace_idx long, sx double, sy double, rx double, ry double, samples array<double>").withColumns({"mx": F.expr("(sx + rx) / 2"), "my": F.expr("(sy + ry) / 2")})
+    points = survey.grid(spark, 6, 5, 60.0, 70.0).withColumn("vs", F.expr("array_repeat(1500D + ix, 30)"))
+    times = spark.range(0, 36).select(F.col("id").alias("it"), (F.col("id") * 0.008).alias("t0"))
+    for o in (M.Options(max_aperture=150.0, velocity="vs", method="sinc8"), M.Options(max_aperture=90.0, velocity=lambda t: 1500.0 + 100.0 * t, aperture_mode="open", spreading=True)):
+        whole, its = M.migrate_points(traces, points, times, o)
+        cut, _ = M.migrate_points(traces, points, times, o, tile_values=150, unit_traces=20)
+        want, got = ({(r.ix, r.iy): r for r in df.collect()} for df in (whole, cut))
+        assert its == list(range(36)) and want.keys() == got.keys() and len(got) > 10
+        for k, r in want.items():
+            assert list(r.fold) == list(got[k].fold) and all(abs(a - b) < 1e-9 for a, b in zip(r.amp, got[k].amp, strict=True))
+        if o.velocity == "vs":
+            # an index beyond a profile's end images nothing
+            assert all(not any(r.fold[30:]) for r in got.values())
+    assert M.migrate(traces.limit(0), points, times, M.Options()).count() == 0
+
+
 def test_nearest_join_reaches_far_points(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0), (3, 9000.0, 9000.0)], "trace_idx long, mx double, my double")
     queries = spark.createDataFrame([(0, 10.0, 0.0)], "q long, x double, y double")

@@ -1,63 +1,60 @@
-"""Sampling an array column at a fractional position, as Column expressions with a fixed number of terms."""
+"""Sampling an array column, or ``dual.Gathered`` traces, at a fractional position, with a fixed number of terms."""
 
 from __future__ import annotations
 
 import math
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def _at(samples: Column, i: Column) -> Column:
-    return F.get(samples, i.cast("int")).cast("double")
+from wavegrid.functions.dual import absolute, at, cos, floor, sin, size, where
 
 
 def nearest(samples: Column, s: Column) -> Column:
-    i = F.floor(s + 0.5)
-    return F.when((i >= 0) & (i < F.size(samples)), _at(samples, i)).otherwise(0.0)
+    i = floor(s + 0.5)
+    return where((i >= 0) & (i < size(samples)), at(samples, i), 0.0)
 
 
 def linear(samples: Column, s: Column) -> Column:
     """0 unless 0 <= s < n - 1."""
-    i = F.floor(s)
+    i = floor(s)
     f = s - i
-    return F.when((s >= 0) & (s < F.size(samples) - 1), _at(samples, i) * (1.0 - f) + _at(samples, i + 1) * f).otherwise(0.0)
+    return where((s >= 0) & (s < size(samples) - 1), at(samples, i) * (1.0 - f) + at(samples, i + 1) * f, 0.0)
 
 
 def cubic(samples: Column, s: Column) -> Column:
     """Catmull-Rom; linear where a neighbour is missing."""
-    i = F.floor(s)
+    i = floor(s)
     f = s - i
-    p0, p1, p2, p3 = (_at(samples, i + k) for k in (-1, 0, 1, 2))
+    p0, p1, p2, p3 = (at(samples, i + k) for k in (-1, 0, 1, 2))
     inner = p1 + 0.5 * f * (p2 - p0 + f * (2.0 * p0 - 5.0 * p1 + 4.0 * p2 - p3 + f * (3.0 * (p1 - p2) + p3 - p0)))
-    return F.when((i >= 1) & (i + 2 < F.size(samples)), inner).otherwise(linear(samples, s))
+    return where((i >= 1) & (i + 2 < size(samples)), inner, linear(samples, s))
 
 
 def _kernel_sum(samples: Column, first: Column, weights: list[Column]) -> Column:
     total = sum(weights[1:], weights[0])
-    value = sum((w * _at(samples, first + k) for k, w in list(enumerate(weights))[1:]), weights[0] * _at(samples, first))
-    return F.when(F.abs(total) > 1e-10, value / total).otherwise(0.0)
+    value = sum((w * at(samples, first + k) for k, w in list(enumerate(weights))[1:]), weights[0] * at(samples, first))
+    return where(absolute(total) > 1e-10, value / total, 0.0)
 
 
 def _sinc(x: Column) -> Column:
     a = math.pi * x
-    return F.when(F.abs(x) < 1e-8, 1.0).otherwise(F.sin(a) / a)
+    return where(absolute(x) < 1e-8, 1.0, sin(a) / a)
 
 
 def sinc(samples: Column, s: Column, half: int) -> Column:
     """Hann-windowed sinc around the nearest sample, weights summing to one; linear near the ends."""
-    centre = F.floor(s + 0.5)
+    centre = floor(s + 0.5)
     x = [s - (centre + k) for k in range(-half, half + 1)]
-    weights = [F.when(F.abs(d) <= half, _sinc(d) * 0.5 * (1.0 + F.cos(math.pi * d / half))).otherwise(0.0) for d in x]
-    return F.when((centre >= half) & (centre + half < F.size(samples)), _kernel_sum(samples, centre - half, weights)).otherwise(linear(samples, s))
+    weights = [where(absolute(d) <= half, _sinc(d) * 0.5 * (1.0 + cos(math.pi * d / half)), 0.0) for d in x]
+    return where((centre >= half) & (centre + half < size(samples)), _kernel_sum(samples, centre - half, weights), linear(samples, s))
 
 
 def lanczos(samples: Column, s: Column, a: int) -> Column:
     """Lanczos of a lobes around the sample below, weights summing to one; linear near the ends."""
-    low = F.floor(s)
+    low = floor(s)
     x = [s - (low + k) for k in range(1 - a, a + 1)]
-    weights = [F.when(F.abs(d) < a, _sinc(d) * _sinc(d / a)).otherwise(0.0) for d in x]
-    return F.when((low >= a - 1) & (low + a < F.size(samples)), _kernel_sum(samples, low - a + 1, weights)).otherwise(linear(samples, s))
+    weights = [where(absolute(d) < a, _sinc(d) * _sinc(d / a), 0.0) for d in x]
+    return where((low >= a - 1) & (low + a < size(samples)), _kernel_sum(samples, low - a + 1, weights), linear(samples, s))
 
 
 METHODS = {

@@ -1,4 +1,4 @@
-"""Travel times, weights and apertures as Column expressions. Times are seconds, lengths metres, unless named otherwise."""
+"""Travel times, weights and apertures of Columns or NumPy arrays. Times are seconds, lengths metres, unless named otherwise."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wavegrid.functions.dual import cos, exp, greatest, least, log, sqrt, where
+
 #: Times below this have no weight.
 LEAST_TIME = 0.001
 
@@ -14,45 +16,45 @@ LEAST_TIME = 0.001
 def dsr(t0: Column, source_sq: Column, receiver_sq: Column, v: Column) -> Column:
     """Double square root time from squared distances of source and receiver to the image point."""
     half, v2 = t0 * t0 / 4.0, v * v
-    return F.sqrt(half + source_sq / v2) + F.sqrt(half + receiver_sq / v2)
+    return sqrt(half + source_sq / v2) + sqrt(half + receiver_sq / v2)
 
 
 def spreading(v: Column, t: Column) -> Column:
-    return F.when(t < LEAST_TIME, 0.0).otherwise(1.0 / (v * t))
+    return where(t < LEAST_TIME, 0.0, 1.0 / (v * t))
 
 
 def obliquity(t0: Column, t: Column) -> Column:
-    return F.when(t < LEAST_TIME, 0.0).otherwise(t0 / t)
+    return where(t < LEAST_TIME, 0.0, t0 / t)
 
 
-def aperture(t0: Column, v: Column, dip_degrees: float, least: float, most: float) -> Column:
-    return F.least(F.greatest(v * t0 / 2.0 * math.tan(math.radians(dip_degrees)), F.lit(least)), F.lit(most))
+def aperture(t0: Column, v: Column, dip_degrees: float, low: float, most: float) -> Column:
+    return least(greatest(v * t0 / 2.0 * math.tan(math.radians(dip_degrees)), low), most)
 
 
 def taper(d: Column, aperture: Column, share: float) -> Column:
     """1 inside, 0 at the aperture and beyond, a cosine over its outer ``share``."""
     start = aperture * (1.0 - share)
-    return F.when(d >= aperture, 0.0).when(d <= start, 1.0).otherwise(0.5 * (1.0 + F.cos(F.lit(math.pi) * (d - start) / (aperture - start))))
+    return where(d >= aperture, 0.0, where(d <= start, 1.0, 0.5 * (1.0 + cos(math.pi * (d - start) / (aperture - start)))))
 
 
 def straight_ray(x: Column, z: Column, v: Column) -> Column:
-    return F.sqrt(x * x + z * z) / v
+    return sqrt(x * x + z * z) / v
 
 
 def curved_ray(x: Column, z: Column, v0: float, k: float) -> Column:
     """One-way time where velocity is v0 + k z."""
     if abs(k) < 1e-10:
-        return straight_ray(x, z, F.lit(v0))
+        return straight_ray(x, z, v0)
     vz, kx2 = v0 + k * z, k * k * x * x
-    return F.log((vz + F.sqrt(vz * vz + kx2)) / (v0 + F.sqrt(v0 * v0 + kx2))) / k
+    return log((vz + sqrt(vz * vz + kx2)) / (v0 + sqrt(v0 * v0 + kx2))) / k
 
 
 def time_to_depth(t: Column, v0: float, k: float) -> Column:
-    return t * v0 if abs(k) < 1e-10 else (v0 / k) * (F.exp(k * t) - 1.0)
+    return t * v0 if abs(k) < 1e-10 else (v0 / k) * (exp(k * t) - 1.0)
 
 
 def depth_to_time(z: Column, v0: float, k: float) -> Column:
-    return z / v0 if abs(k) < 1e-10 else F.log((v0 + k * z) / v0) / k
+    return z / v0 if abs(k) < 1e-10 else log((v0 + k * z) / v0) / k
 
 
 def curved_dsr(t0: Column, source: Column, receiver: Column, v0: float, k: float) -> Column:
@@ -67,7 +69,7 @@ def _eta_term(t0: Column, x: Column, v: Column, eta: Column) -> Column:
 
 def vti_leg(t0: Column, x: Column, v: Column, eta: Column) -> Column:
     """One leg of a VTI travel time: t0 is that leg's vertical time."""
-    return F.sqrt(F.greatest(t0 * t0 + x * x / (v * v) - _eta_term(t0, x, v, eta), F.lit(0.0)))
+    return sqrt(greatest(t0 * t0 + x * x / (v * v) - _eta_term(t0, x, v, eta), 0.0))
 
 
 def vti_dsr(t0: Column, source: Column, receiver: Column, v: Column, eta: Column) -> Column:
@@ -76,11 +78,11 @@ def vti_dsr(t0: Column, source: Column, receiver: Column, v: Column, eta: Column
 
 def vti_moveout(t0: Column, x: Column, v: Column, eta: Column) -> Column:
     """Non-hyperbolic moveout time; t0 where t0 or v is not positive."""
-    return F.when((t0 <= 0) | (v <= 0), t0).otherwise(vti_leg(t0, x, v, eta))
+    return where((t0 <= 0) | (v <= 0), t0, vti_leg(t0, x, v, eta))
 
 
 def hyperbola(t0: Column, x: Column, v: Column) -> Column:
-    return F.sqrt(t0 * t0 + x * x / (v * v))
+    return sqrt(t0 * t0 + x * x / (v * v))
 
 
 def residual_moveout(t0: Column, x: Column, v: Column, eta: Column) -> Column:
@@ -92,16 +94,16 @@ def thomsen_to_eta(epsilon: Column, delta: Column) -> Column:
 
 
 def common_offset_time(t0: Column, half_offset: Column, d: Column, v: Column) -> Column:
-    return F.sqrt(t0 * t0 + 4.0 * half_offset * half_offset / (v * v) + 4.0 * d * d / (v * v))
+    return sqrt(t0 * t0 + 4.0 * half_offset * half_offset / (v * v) + 4.0 * d * d / (v * v))
 
 
 def alias_frequency(v: Column, dx: float, sin_theta: Column) -> Column:
     """Highest frequency without spatial aliasing; 500 Hz at most and where the ray is nearly vertical."""
-    return F.when(sin_theta < 0.01, 500.0).otherwise(F.least(v / (4.0 * dx * F.least(sin_theta, F.lit(0.999))), F.lit(500.0)))
+    return where(sin_theta < 0.01, 500.0, least(v / (4.0 * dx * least(sin_theta, 0.999)), 500.0))
 
 
 def alias_weight(v: Column, dx: float, sin_theta: Column, dominant: float) -> Column:
-    return F.when(sin_theta < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - dominant / alias_frequency(v, dx, sin_theta)))
+    return where(sin_theta < 0.01, 1.0, greatest(0.0, 1.0 - dominant / alias_frequency(v, dx, sin_theta)))
 
 
 def linear_velocity(v0: float, k: float, t: Column) -> Column:

@@ -15,15 +15,15 @@ from wavegrid.sources.survey import grid, headers, traces
 
 
 
-def _times(spark, n: int = 16, dt: float = 0.008):
-    return spark.range(1, n + 1).select(F.col("id").alias("it"), (F.col("id") * dt).alias("t0"))
+def _times(spark, n: int = 64, dt: float = 0.008):
+    return spark.range(n).select(F.col("id").alias("it"), (F.col("id") * dt).alias("t0"))
 
 
 def _image_points(spark):
     return grid(spark, 10, 10, 250.0, 250.0)
 
 
-_GRID = "pts AS (SELECT CAST(i AS BIGINT) AS ix, CAST(j AS BIGINT) AS iy, i*250.0e0 AS x, j*250.0e0 AS y FROM range(10) a(i), range(10) b(j)), tm AS (SELECT CAST(k AS BIGINT) AS it, k*0.008e0 AS t0 FROM range(1,17) c(k))"
+_GRID = "pts AS (SELECT CAST(i AS BIGINT) AS ix, CAST(j AS BIGINT) AS iy, i*250.0e0 AS x, j*250.0e0 AS y FROM range(10) a(i), range(10) b(j)), tm AS (SELECT CAST(k AS BIGINT) AS it, k*0.008e0 AS t0 FROM range(64) c(k))"
 _MET = "met AS (SELECT *, sqrt((mx-x)*(mx-x)+(my-y)*(my-y)) AS dist, (sx-x)*(sx-x)+(sy-y)*(sy-y) AS ds2, (rx-x)*(rx-x)+(ry-y)*(ry-y) AS dr2 FROM traces, pts, tm WHERE (mx-x)*(mx-x)+(my-y)*(my-y) <= 250000.0e0)"
 
 
@@ -76,7 +76,7 @@ def _vti_sql(x: str) -> str:
 
 @query(_migration_sql(f"{_vti_sql('ds2')}+{_vti_sql('dr2')}", "500.0e0"))
 def migrate_vti(spark, d):
-    o = M.Options(aperture_mode="constant", travel_time=lambda t0, s, r, v: T.vti_dsr(t0, s, r, v, F.lit(0.1)))
+    o = M.Options(aperture_mode="constant", travel_time=lambda t0, s, r, v: T.vti_dsr(t0, s, r, v, 0.1))
     return _rounded(M.migrate(traces(spark, d), _image_points(spark), _times(spark), o))
 
 
@@ -295,3 +295,17 @@ def semblance_scan(spark, d):
     from wavegrid.operators.velocity import semblance
 
     return semblance(traces(spark, d), ["shot_id"], [1500.0 + 250.0 * k for k in range(7)], 0.008, 64, 2).withColumn("semblance", F.round("semblance", 5))
+
+
+def survey_traces(spark, d, every: int = 1):
+    """Long traces at the headers of every so many rows of lineitem: the samples of one embedding after the other, 500 of them."""
+    h = headers(spark, d).where(F.col("trace_idx") % every == 0)
+    e = traces(spark, d).select(F.col("trace_idx").alias("_e"), F.slice(F.flatten(F.array_repeat("samples", 8)), 1, 500).alias("samples"))
+    n = e.agg(F.max("_e").alias("_n"))
+    return h.crossJoin(F.broadcast(n)).withColumn("_e", F.col("trace_idx") % (F.col("_n") + 1)).join(e, "_e").drop("_e", "_n")
+
+
+def survey_image(spark, d, every: int):
+    """The image of 500 times under 32 x 32 points from those traces, as arrays; the largest aperture is 500 m."""
+    points, _ = M.migrate_points(survey_traces(spark, d, every), grid(spark, 32, 32, 75.0, 75.0), _times(spark, 500), M.Options())
+    return points

@@ -156,10 +156,10 @@ def running_average_triangle(spark, d):
     return r6(volumes.exploded(t, ["trace_idx"], "o"), "v")
 
 
-WINDOWS = [(0.008, 0.008, 8), (0.08, 0.016, 4)]
+WINDOWS = [(0.0, 0.008, 16), (0.128, 0.016, 24)]
 
 
-@query("SELECT CAST(CASE WHEN k < 8 THEN 0 ELSE 1 END AS BIGINT) AS \"window\", CAST(CASE WHEN k < 8 THEN k ELSE k-8 END AS BIGINT) AS i, CAST(CASE WHEN k < 8 THEN k+1 ELSE 10+2*(k-8) END AS BIGINT) AS it, round(CASE WHEN k < 8 THEN (k+1)*0.008e0 ELSE 0.08e0+(k-8)*0.016e0 END,9) AS t0, round(127/12.0e0,9) AS speedup FROM range(12) t(k)")
+@query("SELECT CAST(CASE WHEN k < 16 THEN 0 ELSE 1 END AS BIGINT) AS \"window\", CAST(CASE WHEN k < 16 THEN k ELSE k-16 END AS BIGINT) AS i, CAST(CASE WHEN k < 16 THEN k ELSE 16+2*(k-16) END AS BIGINT) AS it, round(CASE WHEN k < 16 THEN k*0.008e0 ELSE 0.128e0+(k-16)*0.016e0 END,9) AS t0, round(127/40.0e0,9) AS speedup FROM range(40) t(k)")
 def sampling_windows(spark, d):
     found = P.times(spark, WINDOWS, DT, 64).withColumn("speedup", F.lit(P.speedup(WINDOWS, 0.0, 1.016, DT)))
     return r6(found, "t0", "speedup", digits=9)
@@ -171,7 +171,7 @@ def _window_image(spark, d):
 
 
 _OPEN = "least(100.0e0+v*t0/2,500.0e0)"
-_WINDOWED = _migration_sql(_DSR, _OPEN).replace("FROM range(1,17) c(k)", "FROM range(1,17) c(k) WHERE k <= 8 OR k % 2 = 0")
+_WINDOWED = _migration_sql(_DSR, _OPEN).replace("FROM range(64) c(k)", "FROM range(64) c(k) WHERE k < 16 OR k % 2 = 0")
 
 
 @query(_WINDOWED)
@@ -195,7 +195,7 @@ _CUBE_V = f"(({_AT(0, 0)}*(1-{_FX})+{_AT(1, 0)}*{_FX})*(1-{_FY})+({_AT(0, 1)}*(1
 def _cube_points(spark):
     """Image points with velocities between the pillars of a small cube, and etas."""
     x, y = cubes.Axis(0.0, 500.0, 5), cubes.Axis(0.0, 400.0, 6)
-    value = F.expr("transform(sequence(0, 16), k -> cast(1600 + 60 * ix + 25 * iy + (ix * iy % 3) * 40 + 9 * k AS double))")
+    value = F.expr("transform(sequence(0, 63), k -> cast(1600 + 60 * ix + 25 * iy + (ix * iy % 3) * 40 + 9 * k AS double))")
     cube = spark.range(30).select((F.col("id") % 5).alias("ix"), F.floor(F.col("id") / 5).alias("iy")).withColumn("v", value)
     points = cubes.pillars(_image_points(spark), cube, x, y)
     return points.withColumn("etas", F.transform("velocities", lambda v: (F.col("ix") % 3) * 0.01 + 0.05))
@@ -203,7 +203,7 @@ def _cube_points(spark):
 
 @query(_migration_sql(_DSR, _REACH, v=_CUBE_V))
 def migrate_velocity_cube(spark, d):
-    o = M.Options(pillar=("velocities",), velocity=M.at_sample("velocities"))
+    o = M.Options(velocity="velocities")
     return _rounded(M.migrate(traces(spark, d), _cube_points(spark), _times(spark), o))
 
 
@@ -214,8 +214,7 @@ def _vti_leg(x: str) -> str:
 
 @query(_migration_sql(f"{_vti_leg('ds2')}+{_vti_leg('dr2')}", "500.0e0", v=_CUBE_V))
 def migrate_eta_cube(spark, d):
-    eta = M.at_sample("etas")
-    o = M.Options(pillar=("velocities", "etas"), velocity=M.at_sample("velocities"), aperture_mode="constant", travel_time=lambda t0, s, r, v: T.vti_dsr(t0, s, r, v, eta(t0)))
+    o = M.Options(velocity="velocities", pillar=("etas",), aperture_mode="constant", travel_time=T.vti_dsr)
     return _rounded(M.migrate(traces(spark, d), _cube_points(spark), _times(spark), o))
 
 
