@@ -518,11 +518,22 @@ def test_language_matches_whole_vectors(spark):
 
 
 def test_top_k_of_huge_components(spark):
-    vectors = [[1e17, 1.0], [1.0, 0.0], [2.0, 0.0], [-1e300, 3.0], [1e300, 1.0]]
-    df = spark.createDataFrame([(i + 20, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    got = [(r["rank"], r.id, r.score) for r in sorted(bitsliced.top_k(df, every=20).collect(), key=lambda r: r["rank"])]
-    top = bitsliced.LARGEST
-    assert got == [(1, 24, top), (2, 22, top), (3, 21, top), (4, 23, -top)] or [g[1] for g in got[:3]] == [21, 22, 24] and got[3][1] == 23
+    rng = np.random.default_rng(21)
+    sets = [[[1e17, 1.0], [1.0, 0.0], [2.0, 0.0], [-1e300, 3.0], [1e300, 1.0], [1.7e308, 0.0], [-1.7e308, 0.0]], [[2.0**27 - 1, 3.0], [2.0**20 * 1.37, 1.0], [2.0**20 * 1.39, -1.0], [-(2.0**20) * 1.5, 0.5]]]
+    sets.append((rng.integers(-9, 9, (12, 5)) * rng.choice([1.0, 1e9, 1e15], (12, 5)) / 3).tolist())
+    for vectors in sets:
+        exact = [[int(x) * 256 if abs(x) > 2**53 else int(np.floor(256 * x)) for x in v] for v in vectors]
+        score = [sum(a * b for a, b in zip(exact[0], v, strict=True)) for v in exact]
+        want = sorted(range(1, len(vectors)), key=lambda i: (-score[i], i))[:5]
+        df = spark.createDataFrame([(i + 20, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = [(r.id - 20, r.score) for r in sorted(bitsliced.top_k(df, every=20, block=3).where("query_id = 20").collect(), key=lambda r: r["rank"])]
+        assert got == [(i, score[i] if abs(score[i]) < 1 << 63 else None) for i in want]
+
+
+def test_top_k_between_half_and_whole_longs(spark):
+    rows = [(20, [98566.0]), (21, [1e9]), (22, [1.012766e9])]
+    got = [(r.id, r.score) for r in sorted(bitsliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect(), key=lambda r: r["rank"])]
+    assert got == [(22, 98566 * 256 * 1012766000 * 256), (21, 98566 * 256 * 10**9 * 256)] and all(1 << 62 < s < 1 << 63 for _, s in got)
 
 
 def test_decontamination_of_null_ids_repeats_and_offsets(spark):

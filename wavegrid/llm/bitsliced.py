@@ -21,33 +21,50 @@ QUERIES = 256
 #: High bits of each attribute that are sliced; what the lower bits can add decides which rows are scored exactly.
 SLICES = 5
 
-#: Bounds of components and scores: those beyond count as the bound itself, which a 64-bit number holds.
+#: Up to this size, components are 64-bit numbers; beyond it they are Python's, and so are scores beyond a long.
 LARGEST = 1 << 62
+LONG = (1 << 63) - 1
 
 Bits = np.ndarray  # rows of 64-bit words
 
 
 def quantised(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """floor(SCALE * x) of the usable vectors, zeros after shorter ones, which are usable, and the lengths of those."""
+    """floor(SCALE * x) / SCALE of the usable vectors, which doubles hold exactly, zeros after shorter ones, which are usable, and the lengths of those."""
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(vectors)
     bad = ~np.isfinite(pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float64))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     use = (sizes > 0) & (np.bincount(owner[bad], minlength=len(sizes)) == 0)
-    out = np.zeros((int(use.sum()), int(sizes[use].max()) if use.any() else 0), np.int64)
+    out = np.zeros((int(use.sum()), int(sizes[use].max()) if use.any() else 0))
     kept = use[owner]
-    x = np.floor(SCALE * pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)[kept]) if len(owner) else np.empty(0)
+    x = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(np.float64)[kept] if len(owner) else np.empty(0)
+    small = np.abs(x) < 2.0**45
     starts = np.cumsum(sizes) - sizes
-    out[(np.cumsum(use) - 1)[owner[kept]], (np.arange(len(owner)) - starts[owner])[kept]] = np.clip(x, -LARGEST, LARGEST).astype(np.int64)
+    out[(np.cumsum(use) - 1)[owner[kept]], (np.arange(len(owner)) - starts[owner])[kept]] = np.where(small, np.floor(SCALE * np.where(small, x, 0.0)) / SCALE, x)
     return out, use, sizes[use]
 
 
+def whole(values: np.ndarray) -> np.ndarray:
+    """SCALE times quantised components, as 64-bit numbers if all fit, else as Python's."""
+    if np.abs(values).max(initial=0) * SCALE <= LARGEST:
+        return (values * SCALE).astype(np.int64)
+    return np.array([int(x) * SCALE if abs(x) >= 2.0**45 else int(x * SCALE) for x in values.ravel().tolist()] + [None], object)[:-1].reshape(values.shape)
+
+
 def products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, exact; those beyond LARGEST count as that."""
-    largest = sum(map(abs, query.tolist())) * int(np.abs(values).max(initial=0))
-    if largest <= LARGEST:
-        return values @ query
-    return np.array([max(-LARGEST, min(LARGEST, int(x))) for x in values.astype(object) @ query.astype(object)], np.int64)
+    """Inner products, exact, as Python's numbers where a long may not hold them."""
+    if sum(map(abs, query.tolist())) * int(np.abs(values).max(initial=0)) <= LONG:
+        return values.astype(np.int64) @ query.astype(np.int64)
+    return values.astype(object) @ query.astype(object)
+
+
+def beyond(score: int) -> tuple[int, bytes]:
+    """Where a score is among those that a long holds (0) or doesn't (-1, 1), and bytes that order the latter."""
+    if abs(score) <= LONG:
+        return 0, b""
+    size = -(-abs(score).bit_length() // 8)
+    rank = size.to_bytes(4) + abs(score).to_bytes(size)
+    return (1, rank) if score > 0 else (-1, bytes(255 - x for x in rank))
 
 
 def slices_of(values: np.ndarray, bits: int) -> Bits:
@@ -122,11 +139,11 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
         self.least = self.values.min(axis=0)
-        above = self.values.astype(np.uint64) - self.least.astype(np.uint64)
+        above = self.values - self.least
         top = int(above.max()).bit_length()
         self.low = max(0, top - SLICES)
         self.bits = max(1, top - self.low)
-        self.slices = slices_of(above >> np.uint64(self.low), self.bits)
+        self.slices = slices_of((above >> self.low).astype(np.uint64), self.bits)
         self.inverse = ~self.slices
         self.every = slices_of(np.ones((len(ids), 1), np.uint64), 1)[0, 0]
 
@@ -158,7 +175,7 @@ class Block:
             found = at_least(sums, kth_largest(sums, k, every) - slack, every)
             rows = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(self.ids)])
         exact = products(self.values[rows], query)
-        best = np.lexsort((self.ids[rows], -exact))[:k]
+        best = np.lexsort((self.ids[rows], -exact))[:k] if exact.dtype != object else np.array(sorted(range(len(rows)), key=lambda i: (-exact[i], self.ids[rows[i]]))[:k], np.int64)
         return self.ids[rows][best], exact[best]
 
 
@@ -166,25 +183,30 @@ def _usable(batches):
     for batch in batches:
         values, use, sizes = quantised(batch.column(1))
         ids = batch.column(0).filter(pa.array(use))
-        rows = [r[:n].astype("<i8").tobytes() for r, n in zip(values, sizes.tolist(), strict=True)]
+        rows = [r[:n].astype("<f8").tobytes() for r, n in zip(values, sizes.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary()), pa.array([len(r) // 8 for r in rows], pa.int32())], ["id", "q", "width"])
 
 
 def _meet(key, index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], [], []]
     if index.num_rows and queries.num_rows:
         width = max(len(x) for t in (index, queries) for x in t.column("q").to_pylist()) // 8
 
         def matrix(t: pa.Table) -> np.ndarray:
-            return np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in t.column("q").to_pylist()), "<i8").reshape(-1, width)
+            return whole(np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in t.column("q").to_pylist()), "<f8").reshape(-1, width))
 
         block = Block(index.column("id").to_numpy(), matrix(index))
         for query_id, query in zip(queries.column("id").to_pylist(), matrix(queries), strict=True):
             ids, scores = block.top(query_id, query, k)
             out[0] += [query_id] * len(ids)
             out[1] += ids.tolist()
-            out[2] += scores.tolist()
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), out, strict=True)})
+            scores = scores.tolist()
+            far = list(map(beyond, scores))
+            out[2] += [x if not f else None for x, (f, _) in zip(scores, far, strict=True)]
+            out[3] += [f for f, _ in far]
+            out[4] += [b for _, b in far]
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "id", "score", "side", "far"), out, kinds, strict=True)})
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
@@ -192,8 +214,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     inner product of the vectors floor(256 x), ties to the smaller id; fewer if there are fewer.
 
     Null vectors, vectors with null or non-finite components, empty vectors and null ids take no part. Shorter
-    vectors count as ending in zeros. Components and scores beyond 2^62 count as 2^62, with their sign. Rows that repeat an id are candidates each, though never for a
-    query of that id. The index is cut into blocks of about ``block`` rows by a hash of id, vector and row, the
+    vectors count as ending in zeros. Components may be of any size and ranks are by exact scores; a score that a long doesn't
+    hold is null. Rows that repeat an id are candidates each, though never for a query of that id; several query rows of one id
+    share one ranking. The index is cut into blocks of about ``block`` rows by a hash of id, vector and row, the
     queries into blocks of about ``queries``; each pair of blocks is one task's work and leaves at most k rows a
     query, so what is shuffled is (rows x query blocks + queries x blocks). All rows are indexed and results exact.
     """
@@ -216,7 +239,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     met = (
         index.repartition(min(parts, 2000), "b", "g").groupBy("b", "g")
         .cogroup(wanted.repartition(min(parts, 2000), "b", "g").groupBy("b", "g"))
-        .applyInArrow(lambda key, left, right: meet(key, left, right), "query_id long, id long, score long")
+        .applyInArrow(lambda key, left, right: meet(key, left, right), "query_id long, id long, score long, side int, far binary")
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("far"), "id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
