@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.llm.buckets import near_links
 from wavegrid.llm.components import connected_components
-from wavegrid.llm.scan import map_batches, slices, small_or_plain, utf8
+from wavegrid.llm.scan import hot_join, map_batches, slices, small_or_plain, utf8
 from wavegrid.session import ensure_checkpoint_dir
 
 BITS = 64
@@ -83,12 +83,12 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = fingerprints(df, id_col, text_col, ngram).checkpoint()
-    texts = rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null").checkpoint()
+    texts = rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).checkpoint()
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(radius))])
-    keyed = texts.select(F.explode(keys).alias("bucket"), "fp", "node")
+    keyed = texts.where("node IS NOT NULL").select(F.explode(keys).alias("bucket"), "fp", "node")
     found = connected_components(near_links(keyed, radius))
-    named = texts.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")).checkpoint()
-    return rows.join(named, "fp", "left").select("id", "fp", "component")
+    named = texts.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n").checkpoint()
+    return hot_join(rows, named, ["fp"], "n").select("id", "fp", "component")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, ngram: int = 4) -> DataFrame:
