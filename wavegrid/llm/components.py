@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.scan import map_batches
+from wavegrid.llm.scan import SMALL_BYTES, map_batches
 from wavegrid.session import ensure_checkpoint_dir
 
 #: Links that one worker folds into a local forest before it passes them on.
 FOREST_LINKS = 500_000
 #: A node with more than this part of all link ends is a hub; there are fewer hubs than this.
 HUBS = 1_000
+#: Bytes of a node and its smallest neighbour, sent to every executor.
+NODE_BYTES = 64
 
 
 class _Forest:
@@ -55,7 +57,9 @@ def local_forests(batches):
 
 def _with_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     """``rows`` (u, v) with the ``m`` of their u. Of at most HUBS * hub rows fewer than HUBS nodes have over ``hub``: those
-    are broadcast, so that no task joins all links of a hub."""
+    are broadcast, so that no task joins all links of a hub; all nodes are, where so few rows can't have many."""
+    if HUBS * hub * NODE_BYTES <= SMALL_BYTES:
+        return rows.join(F.broadcast(least.select("u", "m")), "u")
     hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
     met = rows.join(hubs, "u", "left")
     return met.where(F.col("m").isNotNull()).union(met.where(F.col("m").isNull()).drop("m").join(least.where(F.col("n") <= hub).select("u", "m"), "u"))
@@ -83,7 +87,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
         before = state
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        hub = 2 * state[0] // HUBS
+        hub = -(-2 * state[0] // HUBS)
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
         large = _with_least(both, least, hub).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
