@@ -187,6 +187,113 @@ def test_butterworth_passes_the_band_only(spark):
     assert all(max(map(abs, got[f][100:400])) < 0.02 for f in (2.0, 110.0))
 
 
+def test_butterworth_sections_have_the_named_response():
+    import cmath
+
+    dt = 0.004
+    for low, high, order in ((10.0, 60.0, 4), (10.0, 60.0, 3), (None, 40.0, 4), (0, 40.0, 5), (15.0, None, 3), (15.0, 200.0, 4), (20.0, 30.0, 1)):
+        sections = X.butterworth_sections(low, high, dt, order)
+
+        def response(f, sections=sections):
+            z = cmath.exp(2j * math.pi * f * dt)
+            return math.prod(abs(b[0] + b[1] / z + b[2] / z**2) / abs(1 + a[0] / z + a[1] / z**2) for b, a in sections)
+
+        w = lambda f: math.tan(math.pi * f * dt)
+        a, b = (w(low) if low else None), (w(high) if high and high < 125 else None)
+        for f in (1.0, 12.0, 25.0, 38.0, 77.0, 120.0):
+            u = (w(f) ** 2 - a * b) / (w(f) * (b - a)) if a and b else a / w(f) if a else w(f) / b
+            assert abs(response(f) - 1 / math.sqrt(1 + u ** (2 * order))) < 1e-9
+        assert len(sections) == (order if a and b else (order + 1) // 2)
+        assert all(abs(p) < 1 for _, (c, e) in sections for p in ((-c + cmath.sqrt(c * c - 4 * e)) / 2, (-c - cmath.sqrt(c * c - 4 * e)) / 2))
+    assert X.butterworth_sections(None, 500.0, dt) == [] and X.padding(X.butterworth_sections(10.0, 60.0, dt), 500) == 27
+
+
+def test_spectrum_of_axes_is_that_of_the_plane(spark):
+    import numpy as np
+    from wavegrid.operators import spectrum
+
+    rng = np.random.default_rng(8)
+    grid = (rng.random((12, 9)) < 0.3) * rng.integers(1, 5, (12, 9))
+    cells = spark.createDataFrame([(int(i), int(j), int(grid[i, j])) for i, j in zip(*np.nonzero(grid), strict=True)] + [(-1, 0, 5), (0, 9, 5)], "i long, j long, n long")
+    got = {(r.k, r.l): complex(r.re, r.im) for r in spectrum.spectrum(cells, 12, 9).collect()}
+    want = np.fft.fft2(grid)
+    assert len(got) == want.size and all(abs(got[k, l] - want[k, l]) < 1e-9 for k, l in got)
+    ends = cells.where("i >= 0 AND j < 9").selectExpr("stack(2, 'x', i, 12, n, 'y', j, 9, n) AS (axis, c, s, n)")
+    power = {(r.axis, r.k): r.power for r in spectrum.axis_power(ends, "axis", "c", "n", "s").collect()}
+    assert len(power) == 6 + 5 and all(abs(p - abs(want[k, 0] if a == "x" else want[0, k]) ** 2) < 1e-9 for (a, k), p in power.items())
+    assert spectrum.spectrum(cells.limit(0), 4, 4).count() == 0
+
+
+def test_bin_size_by_fourier_of_an_even_survey(spark):
+    # points by threes around the lattice, so that its own period is stronger than half of it
+    spread = "element_at(array(-5D, 0D, 0D, 5D), cast(1 + {} % 4 AS int))".format
+    points = spark.range(24000).selectExpr(f"(id div 4 % 60) * 25D + {spread('id')} AS mx", f"(id div 240) * 50D + {spread('(id * 7 div 3)')} AS my")
+    got = B.by_fourier(points).first()
+    assert abs(got.raw_dx - 25) < 0.6 and abs(got.raw_dy - 50) < 1.0 and (got.dx, got.dy, got.n) == (25.0, 50.0, 24000) and got.confidence > 0.5
+    few = points.limit(500)
+    assert B.by_fourier(few).first() == B.by_histogram(few).first()
+
+
+def test_quantiles_of_endless_and_close_values(spark):
+    from wavegrid.operators.quality import quantiles
+
+    inf, tiny = float("inf"), 5e-324
+    for values in ([1.0, inf, 2.0, 3.0], [-inf, -inf, 1.0], [inf], [None, float("nan")], [1e308, -1e308, 0.0, 3.0], [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0], [tiny, 2 * tiny, 0.0], [float(i % 7) for i in range(40)]):
+        kept = sorted(v for v in values if v is not None and v == v)
+        got = quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.0, 1 / 3, 1.0], cells=4)
+        for share, q in zip([0.0, 1 / 3, 1.0], got, strict=True):
+            at = (len(kept) - 1) * share
+            a, b = (kept[math.floor(at)], kept[math.ceil(at)]) if kept else (None, None)
+            assert q == (a if a == b else a + (b - a) * (at - math.floor(at)))
+
+
+def test_scattered_values_of_a_plane_and_of_any_tiles(spark):
+    from wavegrid.operators import scattered
+
+    rng = random.Random(5)
+    spots = [(rng.random() * 1000, rng.random() * 700) for _ in range(150)] + [(100.0 * i, 100.0 * j) for i in range(11) for j in range(8)] + [(100.0, 100.0)]
+    rows = [(i, x, y, [3 * x - 2 * y + 5, x * y / 1000]) for i, (x, y) in enumerate(spots)] + [(900, None, 1.0, [0.0, 0.0]), (901, 5.0, float("nan"), [0.0, 0.0]), (902, 500.0, 350.0, None)]
+    nodes = spark.createDataFrame(rows, "node long, x double, y double, v array<double>")
+    asked = [(i, rng.random() * 1100 - 50, rng.random() * 800 - 50) for i in range(120)] + [(200, 100.0, 100.0), (201, 500.0, 0.0), (202, None, 1.0), (203, 1e6, 1e6)]
+    targets = spark.createDataFrame(asked, "t long, x double, y double")
+    got = {r.t: r for r in scattered.interpolate(nodes, targets).collect()}
+    assert len(got) == 123
+    for t, x, y in asked:
+        if t == 202:
+            continue
+        inside = 0 <= x <= 1000 and 0 <= y <= 700
+        assert got[t].how == ("linear" if inside else "nearest")
+        if inside:
+            assert abs(got[t].v[0] - (3 * x - 2 * y + 5)) < 1e-6
+        else:
+            best = min(range(len(spots)), key=lambda i: (math.hypot(spots[i][0] - x, spots[i][1] - y), i))
+            assert got[t].v == rows[best][3]
+    for tile in (60.0, 5000.0):
+        other = {r.t: r for r in scattered.interpolate(nodes, targets, tile=tile).collect()}
+        assert all(abs(a - b) < 1e-9 for t in got for a, b in zip(got[t].v, other[t].v, strict=True))
+    assert scattered.interpolate(nodes.limit(0), targets).count() == 0
+    line = scattered.interpolate(nodes.where("node < 2"), targets.where("t < 3"))
+    assert {r.how for r in line.collect()} == {"nearest"}
+
+
+def test_triangles_are_delaunay():
+    import numpy as np
+    from wavegrid.operators import scattered
+
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        xy = rng.random((rng.integers(4, 30), 2)) * 100
+        q = rng.random(2) * 100
+        found = scattered.around(q, xy, ((xy - q) ** 2).sum(axis=1))
+        triples = [(a, b, c) for a in range(len(xy)) for b in range(a) for c in range(b)]
+        holds = [t for t in triples if (w := scattered._weights(xy[list(t)], q)) is not None and (w >= 0).all()]
+        if found is None:
+            assert not holds
+            continue
+        rows, weights, radius, centre = found
+        assert np.allclose(weights @ xy[rows], q) and (np.hypot(*(xy - centre).T) >= radius - 1e-6).all()
+
+
 def test_nearest_join_equals_brute_force(spark):
     rng = random.Random(3)
     spots = [(rng.choice((0.0, 900.0)) + rng.random() * 10, rng.choice((0.0, 1200.0)) + rng.random() * 10) for _ in range(300)] + [(5.0, 5.0)] * 6

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import cmath
 import math
 
 import numpy as np
@@ -137,28 +138,96 @@ def band_pass(low: float, high: float, dt: float, ramp: float = 5.0):
     return run
 
 
-def butterworth(low: float, high: float, dt: float, order: int = 4):
-    """A pandas UDF: zero-phase Butterworth band-pass, as run forward and backward.
+def butterworth_sections(low: float | None, high: float | None, dt: float, order: int = 4) -> list[tuple[tuple[float, float, float], tuple[float, float]]]:
+    """Second-order sections ((b0, b1, b2), (a1, a2)) of a Butterworth filter by the bilinear transform, edges at half power.
 
-    The squared response of the bilinear filter is applied by Fourier transform to the trace, continued at both ends by
-    its point reflection, so that values differ from a recursive filter's near the ends only.
+    Without ``low`` (or one of 0) it passes what is below ``high``, without ``high`` (or one from the Nyquist frequency on) what
+    is above ``low``, and without both everything: no sections. An odd order of a one-sided filter has a first-order section.
     """
-    a, b = math.tan(math.pi * low * dt), math.tan(math.pi * high * dt)
+    low = low if low and low > 0 else None
+    high = high if high is not None and high < 0.5 / dt else None
+    if low is None and high is None:
+        return []
+    edge = lambda f: math.tan(math.pi * f * dt)
+    halves = [cmath.exp(1j * math.pi * (2 * k + order + 1) / (2 * order)) for k in range(order)]
+    halves = [p for p in halves if p.imag > -1e-12]
+    digital = lambda s: (1 + s) / (1 - s)
+    pairs: list[tuple[complex, complex | None]] = []
+    if low is not None and high is not None:
+        centre2, width = edge(low) * edge(high), edge(high) - edge(low)
+        for p in halves:
+            root = cmath.sqrt((p * width / 2) ** 2 - centre2)
+            r, q = digital(p * width / 2 + root), digital(p * width / 2 - root)
+            pairs += [(r, q)] if abs(p.imag) < 1e-12 else [(r, r.conjugate()), (q, q.conjugate())]
+        zeros, at = (1.0, -1.0), cmath.exp(2j * math.atan(math.sqrt(centre2)))
+    else:
+        w = edge(high if low is None else low)
+        for p in halves:
+            r = digital(p * w if low is None else w / p)
+            pairs.append((r, None) if abs(p.imag) < 1e-12 else (r, r.conjugate()))
+        zeros, at = ((-1.0, -1.0), 1.0) if low is None else ((1.0, 1.0), -1.0)
+    out = []
+    for r, q in pairs:
+        b = (1.0, -(zeros[0] + zeros[1]), zeros[0] * zeros[1]) if q is not None else (1.0, -zeros[0], 0.0)
+        a = (-(r + q).real, (r * q).real) if q is not None else (-r.real, 0.0)
+        out.append((b, a))
+    gain = math.prod(abs(1 + a[0] / at + a[1] / at**2) / abs(b[0] + b[1] / at + b[2] / at**2) for b, a in out)
+    share = gain ** (1 / len(out))
+    return [(tuple(x * share for x in b), a) for b, a in out]
+
+
+def padding(sections: list, n: int) -> int:
+    """Samples that a trace of n is continued by at both ends: three times the filter's length, one less than the trace at most."""
+    short = sum(b[2] == 0 and a[1] == 0 for b, a in sections)
+    return min(3 * (2 * len(sections) + 1 - short), n - 1)
+
+
+def run_sections(x: np.ndarray, sections: list) -> np.ndarray:
+    """Rows of traces through sections one after the other, each starting at rest at the row's first value."""
+    for (b0, b1, b2), (a1, a2) in sections:
+        first = x[:, 0]
+        still = first * (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = b2 * first - a2 * still
+        z1 = b1 * first - a1 * still + z2
+        y = np.empty_like(x)
+        for t in range(x.shape[1]):
+            now = x[:, t]
+            y[:, t] = out = b0 * now + z1
+            z1, z2 = b1 * now - a1 * out + z2, b2 * now - a2 * out
+        x = y
+    return x
+
+
+def both_ways(x: np.ndarray, sections: list) -> np.ndarray:
+    """Rows of traces through the sections forward and backward, continued at both ends by their point reflection."""
+    if not sections:
+        return x
+    if x.shape[1] < 2:
+        return x * 0.0
+    n = padding(sections, x.shape[1])
+    whole = np.concatenate([2 * x[:, :1] - x[:, n:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -n - 2 : -1]], axis=1)
+    forth = run_sections(whole, sections)
+    return run_sections(forth[:, ::-1], sections)[:, ::-1][:, n : n + x.shape[1]]
+
+
+def butterworth(low: float | None, high: float | None, dt: float, order: int = 4):
+    """A pandas UDF: zero-phase recursive Butterworth filter, run forward and backward.
+
+    All traces of one length in a batch take each step together. NaN and nulls count as 0; a null trace gives an empty one.
+    """
+    sections = butterworth_sections(low, high, dt, order)
 
     @F.pandas_udf("array<double>")
     def run(column: pd.Series) -> pd.Series:
-        out = []
-        for x in column:
-            x = np.nan_to_num(np.asarray(x if x is not None else [], np.float64))
-            if len(x) < 2:
-                out.append(x * 0.0)
-                continue
-            whole = np.r_[2 * x[0] - x[:0:-1], x, 2 * x[-1] - x[-2::-1]]
-            w = np.tan(np.pi * np.minimum(np.fft.rfftfreq(len(whole), dt) * dt, 0.5 - 1e-9))
-            w[0] = 1e-12
-            with np.errstate(over="ignore"):
-                weight = 1.0 / (1.0 + ((w * w - a * b) / ((b - a) * w)) ** (2 * order))
-            out.append(np.fft.irfft(np.fft.rfft(whole) * weight, len(whole))[len(x) - 1 : 2 * len(x) - 1])
+        rows = [np.nan_to_num(np.asarray(x if x is not None else [], np.float64)) for x in column]
+        out = list(rows)
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(rows):
+            by.setdefault(len(x), []).append(i)
+        for n, own in by.items():
+            if n:
+                for i, y in zip(own, both_ways(np.stack([rows[i] for i in own]), sections), strict=True):
+                    out[i] = y
         return pd.Series(out)
 
     return run

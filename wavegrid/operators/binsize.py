@@ -88,10 +88,56 @@ def by_neighbours(df: DataFrame, ident: str, x: str = "mx", y: str = "my") -> Da
     return found.withColumn("fold", F.when(area > 0, F.col("n") / (area / (F.col("size") * F.col("size")))).otherwise(0.0))
 
 
-def ensemble(df: DataFrame, ident: str, x: str = "mx", y: str = "my") -> DataFrame:
-    """One row (raw_dx, raw_dy, dx, dy, confidence): sizes by histogram and by neighbours, weighted by their confidence; the first if neither has any."""
-    a, b = by_histogram(df, x, y).first(), by_neighbours(df, ident, x, y).first()
-    total = a.confidence + b.confidence
-    one, other = (a.confidence / total, b.confidence / total) if total > 0 else (1.0, 0.0)
-    raw = [F.lit(r * one + b.raw * other) for r in (a.raw_dx, a.raw_dy)]
-    return df.sparkSession.range(1).select(raw[0].alias("raw_dx"), raw[1].alias("raw_dy"), standard_bin(raw[0]).alias("dx"), standard_bin(raw[1]).alias("dy"), F.lit(max(a.confidence, b.confidence)).alias("confidence"))
+#: Fewer points, or cells of an axis, have no spectrum worth reading.
+LEAST_POINTS, LEAST_CELLS = 1000, 32
+#: Frequencies near 0 that are the survey's outline.
+OUTLINE = 3
+
+
+def by_fourier(df: DataFrame, x: str = "mx", y: str = "my", resolution: float = 5.0) -> DataFrame:
+    """One row: raw_dx, raw_dy, dx, dy, confidence, fold and n, from the strongest periods of the density of points.
+
+    Cells of ``resolution`` are counted along each axis; their power spectra are those of the two-dimensional density where the
+    other frequency is 0. The strongest frequency beyond OUTLINE (the lowest of equals) gives the period, over all cells and one
+    more; periods outside 5 to 500 count as 25. The confidence is a twentieth of how far the peaks stand above the means of
+    their spectra, 1 at most. With few points or cells it is ``by_histogram``. Rows without two finite coordinates take no part.
+    """
+    finite = df.select(F.col(x).cast("double").alias("mx"), F.col(y).cast("double").alias("my")).where("abs(mx) < double('infinity') AND abs(my) < double('infinity')")
+    n, x0, x1, y0, y1 = finite.agg(F.count(F.lit(1)), F.min("mx"), F.max("mx"), F.min("my"), F.max("my")).first()
+    cells = {c: max(1, math.ceil((b - a) / resolution)) for c, a, b in (("mx", x0, x1), ("my", y0, y1)) if n}
+    if n < LEAST_POINTS or min(cells.values()) + 1 < LEAST_CELLS:
+        return by_histogram(finite)
+    from wavegrid.operators.spectrum import axis_power
+
+    at = lambda c, low: F.least(F.floor((F.col(c) - low) / resolution), F.lit(cells[c] - 1)).cast("long")
+    ends = F.array(*[F.struct(F.lit(c).alias("axis"), at(c, low).alias("i"), F.lit(cells[c]).alias("size")) for c, low in (("mx", x0), ("my", y0))])
+    counts = finite.select(F.inline(ends)).groupBy("axis", "i", "size").agg(F.count(F.lit(1)).alias("n"))
+    power = axis_power(counts, "axis", "i", "n", "size").withColumn("power", F.when(F.col("k") > OUTLINE, F.col("power")).otherwise(0.0))
+    peak = F.min(F.when(F.col("k") > 0, F.struct((-F.col("power")).alias("p"), "k")))
+    found = {r.axis: r for r in power.groupBy("axis").agg(peak.alias("peak"), F.avg("power").alias("mean")).collect()}
+    raw, rise = {}, 0.0
+    for c, r in found.items():
+        period = (cells[c] + 1) * resolution / max(1, r.peak.k)
+        raw[c] = period if 5.0 <= period <= 500.0 else 25.0
+        rise += -r.peak.p / r.mean if r.mean > 0 else 0.0
+    out = df.sparkSession.range(1).select(F.lit(raw["mx"]).alias("raw_dx"), F.lit(raw["my"]).alias("raw_dy"), standard_bin(F.lit(raw["mx"])).alias("dx"), standard_bin(F.lit(raw["my"])).alias("dy"), F.lit(min(1.0, rise / 20.0)).alias("confidence"), F.lit(n).cast("long").alias("n"))
+    return out.withColumn("fold", F.col("n") / ((F.lit(x1 - x0) / F.col("dx")) * (F.lit(y1 - y0) / F.col("dy"))))
+
+
+#: Points from which the spectrum has a say in the ensemble.
+SPECTRUM_POINTS = 10_000
+
+
+def ensemble(df: DataFrame, ident: str, x: str = "mx", y: str = "my", azimuth: float = 0.0, spectrum_points: int = SPECTRUM_POINTS) -> DataFrame:
+    """One row (raw_dx, raw_dy, dx, dy, confidence): sizes by histogram, by neighbours and, from ``spectrum_points`` points on,
+    by spectrum, weighted by their confidence; those by histogram if none has any."""
+    found = [by_histogram(df, x, y, azimuth).first()]
+    near = by_neighbours(df, ident, x, y).first()
+    sizes = [(r.raw_dx, r.raw_dy, r.confidence) for r in found] + [(near.raw, near.raw, near.confidence)]
+    if found[0].n >= spectrum_points:
+        r = by_fourier(df, x, y).first()
+        sizes.append((r.raw_dx, r.raw_dy, r.confidence))
+    total = sum(c for *_, c in sizes)
+    weight = [c / total for *_, c in sizes] if total > 0 else [1.0] + [0.0] * (len(sizes) - 1)
+    raw = [F.lit(sum(s[k] * w for s, w in zip(sizes, weight, strict=True))) for k in (0, 1)]
+    return df.sparkSession.range(1).select(raw[0].alias("raw_dx"), raw[1].alias("raw_dy"), standard_bin(raw[0]).alias("dx"), standard_bin(raw[1]).alias("dy"), F.lit(max(c for *_, c in sizes)).alias("confidence"))

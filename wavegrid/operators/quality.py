@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.session import ensure_checkpoint_dir
+
 #: Cells that a range of values is cut into while a quantile is looked for.
 CELLS = 4096
 
@@ -15,17 +17,29 @@ def quantiles(df: DataFrame, value: str, shares: list[float], cells: int = CELLS
     """Exact quantiles, linear between neighbours, by counting cells and looking closer at the one that holds the rank.
 
     Each pass is an aggregation whose result has ``cells`` rows at most, so that no task holds the values; nulls and NaN take
-    no part, and without values each quantile is None.
+    no part, infinite values rank at the ends, and without values each quantile is None.
     """
-    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    ensure_checkpoint_dir(df.sparkSession)
+    endless = float("inf")
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)").checkpoint()
+    inner = x.where(F.abs("x") < endless)
+    below, above = x.agg(F.count_if(F.col("x") == -endless), F.count_if(F.col("x") == endless)).first()
+    m, low, high = inner.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    n = below + m + above
 
     def of_rank(k: int) -> float:
-        a, b, before = low, high, 0
+        if k < below or k >= below + m:
+            return -endless if k < below else endless
+        a, b, before = low, high, below
         while a < b:
-            step = (b - a) / cells
-            at = F.least(F.floor((F.col("x") - a) / step), F.lit(cells - 1))
-            for row in x.where(F.col("x").between(a, b)).groupBy(at.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("c").collect():
+            # halves, so that a range as wide as all doubles has a width
+            step = b / cells - a / cells
+            at = F.least(F.floor(F.col("x") / step - a / step), F.lit(cells - 1)) if step > 0 else F.lit(0)
+            held = inner.where(F.col("x").between(a, b)).groupBy(at.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("a").collect()
+            if len(held) == 1:
+                # neighbouring doubles that a cell can't tell apart: their different values are few
+                held = inner.where(F.col("x").between(a, b)).groupBy("x").agg(F.count(F.lit(1)).alias("n")).select("n", F.col("x").alias("a"), F.col("x").alias("b")).orderBy("a").collect()
+            for row in held:
                 if before + row.n > k:
                     a, b = row.a, row.b
                     break
@@ -43,7 +57,7 @@ def quantiles(df: DataFrame, value: str, shares: list[float], cells: int = CELLS
             if k not in known:
                 known[k] = of_rank(k)
         a, b = known[math.floor(at)], known[math.ceil(at)]
-        out.append(a + (b - a) * (at - math.floor(at)))
+        out.append(a if a == b else a + (b - a) * (at - math.floor(at)))
     return out
 
 

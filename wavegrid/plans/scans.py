@@ -17,7 +17,7 @@ from wavegrid.operators import quality as Q
 from wavegrid.operators import velocity as V
 from wavegrid.operators import volumes
 from wavegrid.plans.headers import hilbert_sql, r6
-from wavegrid.plans.imaging import _DSR, _REACH, _image_points, _migration_sql, _rounded, _times
+from wavegrid.plans.imaging import _DSR, _REACH, _RESPONSE, _image_points, _migration_sql, _rounded, _times
 from wavegrid.plans.registry import query
 from wavegrid.plans.volumes import _U, _folder, _image, _picks
 from wavegrid.sources import tables
@@ -267,11 +267,6 @@ def bin_size_by_neighbours(spark, d):
     return r6(B.by_neighbours(traces(spark, d), "trace_idx").select("n", "raw", "confidence"), "raw", "confidence")
 
 
-@query()
-def bin_size_ensemble(spark, d):
-    return B.ensemble(traces(spark, d), "trace_idx")
-
-
 @query("""WITH {headers} SELECT trace_idx, round(CASE WHEN "offset" < 100 THEN 20 WHEN "offset" < 300 THEN 20+180*("offset"-100)/200 WHEN "offset" < 450 THEN 200+150*("offset"-300)/150 ELSE 350 END,6) AS mute_ms FROM headers""")
 def mute_table_from_csv(spark, d):
     home = _folder(spark)
@@ -286,7 +281,8 @@ def bins_of_written_gathers(spark, d):
     return r6(tables.bins(spark, home), "offset_avg")
 
 
-@query()
+# the band-pass of filter_band_pass and then the gain of eight samples to both sides
+@query(f"WITH {{traces}}, {_RESPONSE}, x AS (SELECT trace_idx, unnest(range(64)) AS j, unnest(samples)::DOUBLE AS x FROM traces), o AS (SELECT trace_idx, (j+m)%64 AS i, sum(x*c) AS a FROM x, c GROUP BY ALL), g AS (SELECT *, sqrt(avg(a*a) OVER (PARTITION BY trace_idx ORDER BY i ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)) AS rms FROM o) SELECT trace_idx, CAST(i AS BIGINT) AS it, round(CASE WHEN rms>1e-10 THEN a/rms ELSE 0 END,6) AS v FROM g")
 def band_pass_then_gain(spark, d):
     """Band-pass and gain one after the other, each on a trace alone."""
     t = traces(spark, d).withColumn("f", X.band_pass(5.0, 40.0, DT)(F.col("samples"))).withColumn("o", X.agc(F.col("f"), 8))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wavegrid.functions import profiles
 from wavegrid.functions import signal as X
-from wavegrid.operators import binsize, gathers
+from wavegrid.operators import binsize, gathers, scattered, spectrum, volumes
+from wavegrid.plans.headers import r6
 from wavegrid.plans.registry import query
 from wavegrid.sources.survey import headers, traces
 
@@ -51,6 +52,89 @@ def gather_extraction(spark, d):
     return found.select("offset_bin", "inline", "xline", "offset", "rank", "n_offsets", F.round(F.get("samples", F.lit(0)).cast("double"), 6).alias("first_sample"))
 
 
-@query()
+def recursive_sql(sections, n: int, table: str, column: str, out: str) -> str:
+    """WITH parts that run sections forward and backward over lists of n samples: two recursions over time, a state of two numbers a section."""
+    pad = X.padding(sections, n)
+    whole = f"[2*x[1]-x[i+1] FOR i IN range({pad}, 0, -1)] || x || [2*x[{n}]-x[{n - 1}-i] FOR i IN range({pad})]"
+
+    def part(name: str, source: str, length: int) -> str:
+        first, start, x = "x[1]", [], "x[1]"
+        for k, ((b0, b1, b2), (a1, a2)) in enumerate(sections):
+            still = f"({first}*{(b0 + b1 + b2) / (1 + a1 + a2)!r}::DOUBLE)"
+            start += [f"{first}*{b2!r}::DOUBLE-{still}*{a2!r}::DOUBLE+{first}*{b1!r}::DOUBLE-{still}*{a1!r}::DOUBLE AS p{k}", f"{first}*{b2!r}::DOUBLE-{still}*{a2!r}::DOUBLE AS q{k}"]
+            first = still
+        steps = [f"SELECT id, x, t+1 AS t, y AS ys, x[t+1] AS v, {', '.join(f'p{k}, q{k}' for k in range(len(sections)))} FROM {name} WHERE t < {length}"]
+        for k, ((b0, b1, b2), (a1, a2)) in enumerate(sections):
+            rest = ", ".join(f"p{j}, q{j}" for j in range(len(sections)) if j != k)
+            steps.append(f"SELECT id, x, t, ys, w AS v, v*{b1!r}::DOUBLE-w*{a1!r}::DOUBLE+q{k} AS p{k}, v*{b2!r}::DOUBLE-w*{a2!r}::DOUBLE AS q{k}{', ' + rest if rest else ''} FROM (SELECT *, v*{b0!r}::DOUBLE+p{k} AS w FROM ({steps[-1]}))")
+        names = ", ".join(f"p{k}, q{k}" for k in range(len(sections)))
+        return f"{name} AS (SELECT id, x, 0 AS t, CAST([] AS DOUBLE[]) AS y, {', '.join(start)} FROM {source} UNION ALL SELECT id, x, t, ys || [v] AS y, {names} FROM ({steps[-1]}))"
+
+    long = n + 2 * pad
+    return f"""{out}_w AS (SELECT id, {whole} AS x FROM (SELECT trace_idx AS id, [CAST(v AS DOUBLE) FOR v IN {column}] AS x FROM {table})), {part(f"{out}_f", f"{out}_w", long)},
+        {out}_b AS (SELECT id, list_reverse(y) AS x FROM {out}_f WHERE t = {long}), {part(f"{out}_r", f"{out}_b", long)},
+        {out} AS (SELECT id AS trace_idx, list_reverse(y)[{pad + 1}:{pad + n}] AS o FROM {out}_r WHERE t = {long})"""
+
+
+_SECTIONS = X.butterworth_sections(5.0, 40.0, 0.008)
+
+
+@query(f"WITH RECURSIVE {{traces}}, {recursive_sql(_SECTIONS, 64, 'traces', 'samples', 'z')} SELECT trace_idx, CAST(unnest(range(64)) AS BIGINT) AS it, round(unnest(o), 6) AS v FROM z")
 def band_pass_butterworth(spark, d):
-    return traces(spark, d).select("trace_idx", X.butterworth(5.0, 40.0, 0.008)(F.col("samples")).alias("samples"))
+    t = traces(spark, d).select("trace_idx", X.butterworth(5.0, 40.0, 0.008)(F.col("samples")).alias("o"))
+    return r6(volumes.exploded(t, ["trace_idx"], "o"), "v")
+
+
+def _axis_sql(axis: str, table: str, name: str = "") -> str:
+    """Marginal counts of cells of 5 m along an axis, their power spectrum and its peak, beyond three frequencies."""
+    a = name or axis
+    return f"""{a}e AS (SELECT min({axis}) AS lo, CAST(greatest(ceil((max({axis})-min({axis}))/5), 1) AS BIGINT) AS n FROM {table}),
+    {a}c AS (SELECT CAST(least(floor(({axis}-lo)/5), n-1) AS BIGINT) AS i, any_value(n) AS n, count(*) AS c FROM {table}, {a}e GROUP BY 1),
+    {a}f AS (SELECT k, power(sum(c*cos(2*pi()*((k*i)%n)/n)),2)+power(sum(c*sin(2*pi()*((k*i)%n)/n)),2) AS w FROM {a}c, (SELECT unnest(range((n+1)//2)) AS k FROM {a}e) GROUP BY k),
+    {a}m AS (SELECT k, CASE WHEN k > 3 THEN w ELSE 0 END AS w FROM {a}f),
+    {a}p AS (SELECT k, w, w/(SELECT avg(w) FROM {a}m) AS prominence FROM {a}m WHERE k > 0 ORDER BY w DESC, k LIMIT 1),
+    {a}r AS (SELECT (n+1)*5.0e0/k AS period, prominence FROM {a}p, {a}e), {a}s AS (SELECT CASE WHEN period BETWEEN 5 AND 500 THEN period ELSE 25 END AS raw, prominence FROM {a}r)"""
+
+
+_DENSE = "q AS (SELECT sx + (trace_idx % 7) AS x, floor(my / 40) * 40 AS y FROM headers)"
+
+
+@query(f"WITH {{headers}}, {_DENSE}, {_axis_sql('x', 'q')}, {_axis_sql('y', 'q')} SELECT round(xs.raw,6) AS raw_dx, round(ys.raw,6) AS raw_dy, round(least(1,(xs.prominence+ys.prominence)/20),6) AS confidence, (SELECT count(*) FROM q) AS n FROM xs, ys")
+def bin_size_fourier(spark, d):
+    points = headers(spark, d).select((F.col("sx") + F.col("trace_idx") % 7).alias("mx"), (F.floor(F.col("my") / 40) * 40).cast("double").alias("my"))
+    return r6(binsize.by_fourier(points).select("raw_dx", "raw_dy", "confidence", "n"), "raw_dx", "raw_dy", "confidence")
+
+
+@query("""WITH {headers}, c AS (SELECT CAST(least(floor(mx/40),63) AS BIGINT) AS i, CAST(least(floor(my/40),63) AS BIGINT) AS j, count(*) AS n FROM headers WHERE mx >= 0 AND my >= 0 GROUP BY ALL),
+    r AS (SELECT i, l, sum(n*cos(-2*pi()*((l*j)%64)/64)) AS a, sum(n*sin(-2*pi()*((l*j)%64)/64)) AS b FROM c, (SELECT unnest(range(64)) AS l) GROUP BY i, l),
+    w AS (SELECT k, l, sum(a*cos(-2*pi()*((k*i)%64)/64)-b*sin(-2*pi()*((k*i)%64)/64)) AS re, sum(a*sin(-2*pi()*((k*i)%64)/64)+b*cos(-2*pi()*((k*i)%64)/64)) AS im FROM r, (SELECT unnest(range(64)) AS k) GROUP BY k, l)
+    SELECT k, l, round(re*re+im*im,2) AS power FROM w""")
+def density_spectrum(spark, d):
+    cell = lambda c: F.least(F.floor(F.col(c) / 40.0), F.lit(63)).cast("long")
+    cells = headers(spark, d).where("mx >= 0 AND my >= 0").groupBy(cell("mx").alias("i"), cell("my").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    return spectrum.spectrum(cells, 64, 64).select("k", "l", F.round("power", 2).alias("power"))
+
+
+@query(f"""WITH q AS (SELECT o_orderkey AS i, sqrt(o_totalprice)*37 AS x, CAST(o_custkey*17 AS DOUBLE)*1.5e0 AS y FROM orders WHERE o_orderkey IS NOT NULL), {_gap_sql("x")}, {_gap_sql("y")}, {_axis_sql("x", "q", "fx")}, {_axis_sql("y", "q", "fy")},
+    nn AS (SELECT a.i, sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM q a JOIN q b ON a.i<>b.i GROUP BY a.i),
+    z AS (SELECT xr.raw AS dx, yr.raw AS dy, (xr.conf+yr.conf)/2 AS c FROM xr, yr UNION ALL SELECT quantile_cont(d,0.5)/sqrt(2), quantile_cont(d,0.5)/sqrt(2), greatest(0,1-stddev_pop(d)/quantile_cont(d,0.5)) FROM nn UNION ALL SELECT fxs.raw, fys.raw, least(1,(fxs.prominence+fys.prominence)/20) FROM fxs, fys)
+    SELECT round(sum(dx*c)/sum(c),4) AS raw_dx, round(sum(dy*c)/sum(c),4) AS raw_dy, round(max(c),6) AS confidence FROM z""")
+def bin_size_ensemble(spark, d):
+    points = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey IS NOT NULL").select("o_orderkey", (F.sqrt("o_totalprice") * 37).alias("mx"), ((F.col("o_custkey") * 17).cast("double") * 1.5).alias("my"))
+    found = binsize.ensemble(points, "o_orderkey", spectrum_points=1000)
+    return found.select(F.round("raw_dx", 4).alias("raw_dx"), F.round("raw_dy", 4).alias("raw_dy"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("""WITH n AS (SELECT s_suppkey AS k, sqrt((s_suppkey*7919)%10007)*25 AS x, sqrt((s_suppkey*104729)%10009)*25 AS y, CAST(s_acctbal AS DOUBLE) AS v FROM supplier),
+    t AS (SELECT CAST(n_nationkey AS BIGINT) AS t, (n_nationkey%5)*550.0e0+130 AS x, (n_nationkey//5)*550.0e0+90 AS y FROM nation),
+    g AS (SELECT t.t, t.x AS qx, t.y AS qy, a.x AS ax, a.y AS ay, b.x AS bxx, b.y AS byy, c.x AS cx, c.y AS cy, a.v AS av, b.v AS bv, c.v AS cv FROM t, n a JOIN n b ON a.k<b.k JOIN n c ON b.k<c.k),
+    w AS (SELECT *, ((byy-cy)*(qx-cx)+(cx-bxx)*(qy-cy))/((byy-cy)*(ax-cx)+(cx-bxx)*(ay-cy)) AS l, ((cy-ay)*(qx-cx)+(ax-cx)*(qy-cy))/((byy-cy)*(ax-cx)+(cx-bxx)*(ay-cy)) AS m FROM g),
+    o AS (SELECT t, arg_min(l*av+m*bv+(1-l-m)*cv, l*((ax-qx)*(ax-qx)+(ay-qy)*(ay-qy))+m*((bxx-qx)*(bxx-qx)+(byy-qy)*(byy-qy))+(1-l-m)*((cx-qx)*(cx-qx)+(cy-qy)*(cy-qy))) AS v FROM w WHERE l>=0 AND m>=0 AND l+m<=1 GROUP BY t),
+    z AS (SELECT t.t, arg_min(n.v, (n.x-t.x)*(n.x-t.x)+(n.y-t.y)*(n.y-t.y)) AS v FROM t, n GROUP BY t.t)
+    SELECT z.t, round(coalesce(o.v, z.v),4) AS v, CASE WHEN o.v IS NULL THEN 'nearest' ELSE 'linear' END AS how FROM z LEFT JOIN o USING (t)""")
+def velocity_regridded(spark, d):
+    """Values of nodes anywhere, at the points of a grid."""
+    place = lambda a, m: f"sqrt((s_suppkey * {a}) % {m}) * 25"
+    nodes = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS node", f"{place(7919, 10007)} AS x", f"{place(104729, 10009)} AS y", "array(cast(s_acctbal AS double)) AS v")
+    points = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey AS long) AS t", "(n_nationkey % 5) * 550D + 130 AS x", "(n_nationkey div 5) * 550D + 90 AS y")
+    return scattered.interpolate(nodes, points).select("t", F.round(F.get("v", F.lit(0)), 4).alias("v"), "how")
