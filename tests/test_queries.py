@@ -294,6 +294,54 @@ def test_triangles_are_delaunay():
         assert np.allclose(weights @ xy[rows], q) and (np.hypot(*(xy - centre).T) >= radius - 1e-6).all()
 
 
+def test_stopped_runs_go_on_and_repeated_batches_change_nothing(spark, tmp_path):
+    from wavegrid.streaming import resume
+
+    schema = "tile string, cx long, cy long, fold long"
+    df = spark.range(400).select((F.col("id") * 7 % 100).cast("double").alias("mx"), (F.col("id") * 3 % 50).cast("double").alias("my"))
+    df.where("mx < 50").repartition(2).write.parquet(str(tmp_path / "in"))
+    run = resume.Run(spark, str(tmp_path / "run"), {"cell": 10.0}, 4)
+    assert run.committed() == [] and run.rows(schema).count() == 0
+    failing = [True]
+
+    def partial(batch):
+        return resume.fold_of_tiles(batch, 10.0, 3)
+
+    def stream(of=run, work=partial):
+        return resume.accumulate(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), of, work)
+
+    commit = resume.Run.commit
+
+    def commit_and_fail(self, rows, batch, tile="tile"):
+        commit(self, rows, batch, tile)
+        if batch == 1 and failing:
+            failing.pop()
+            raise RuntimeError("lost after the rows were written")
+
+    resume.Run.commit = commit_and_fail
+    try:
+        with pytest.raises(Exception, match="lost after"):
+            stream().awaitTermination()
+        assert run.committed() == [0, 1]
+        stream().awaitTermination()
+        df.where("mx >= 50").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream().awaitTermination()
+    finally:
+        resume.Run.commit = commit
+    assert run.committed() == [0, 1, 2, 3]
+    want = sorted(tuple(r) for r in partial(df).collect())
+    assert sorted(tuple(r) for r in run.total(["cx", "cy"], ["fold"], schema).collect()) == want
+    # a batch that was never finished doesn't count
+    (tmp_path / "run" / run.path.rsplit("/", 1)[1] / "batch=9").mkdir()
+    assert run.committed() == [0, 1, 2, 3]
+    tiles = spark.createDataFrame([("0_0",), ("9_9",)], "tile string")
+    assert [r.tile for r in run.missing(tiles, schema).collect()] == ["9_9"]
+    assert run.manifest(schema).agg(F.countDistinct("batch")).first()[0] == 4
+    # other settings, or another number of tiles, start afresh
+    for other in (resume.Run(spark, run.home, {"cell": 20.0}, 4), resume.Run(spark, run.home, {"cell": 10.0}, 5)):
+        assert other.path != run.path and other.committed() == []
+
+
 def test_nearest_join_equals_brute_force(spark):
     rng = random.Random(3)
     spots = [(rng.choice((0.0, 900.0)) + rng.random() * 10, rng.choice((0.0, 1200.0)) + rng.random() * 10) for _ in range(300)] + [(5.0, 5.0)] * 6

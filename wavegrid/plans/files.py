@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wavegrid.plans.registry import query
 from wavegrid.plans.volumes import _folder
 from wavegrid.sources import segy
-from wavegrid.sources.survey import traces
+from wavegrid.sources.survey import headers, traces
+from wavegrid.streaming import resume
 
 _AS_TRACES = ["trace_idx % 50 AS il", "trace_idx div 50 AS xl", "shot_id AS field_record", "trace_idx AS cdp", "`offset` AS offset", "mx AS cdp_x", "my AS cdp_y", "sx", "sy"]
 
@@ -42,3 +43,20 @@ def segy_velocity_nodes(spark, d):
     known = F.filter("velocity", lambda v: v.isNotNull())
     total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v))
     return nodes.select(F.col("il").cast("long").alias("il"), F.col("xl").cast("long").alias("xl"), "dt_ms", F.size("velocity").cast("long").alias("n"), F.size(known).cast("long").alias("known"), F.round(total, 5).alias("total"))
+
+
+@query("WITH {headers}, c AS (SELECT CAST(floor(mx/100) AS BIGINT) AS cx, CAST(floor(my/100) AS BIGINT) AS cy, count(*) AS fold FROM headers GROUP BY ALL) SELECT CAST(floor(cx/8.0e0) AS BIGINT)||'_'||CAST(floor(cy/8.0e0) AS BIGINT) AS tile, cx, cy, fold FROM c")
+def resumed_fold(spark, d):
+    """A fold map from files that come in two parts: the run stops after the first, one batch is repeated, and a second run goes on."""
+    home, schema = _folder(spark), "tile string, cx long, cy long, fold long"
+    rows = headers(spark, d).select("trace_idx", "mx", "my")
+    own = F.pmod(F.xxhash64("trace_idx"), F.lit(4))
+    run = resume.Run(spark, f"{home}/run", {"cell": 100.0}, 16)
+    partial = lambda batch: resume.fold_of_tiles(batch, 100.0, 8)
+    for part in (own < 2, own >= 2):
+        rows.where(part).repartition(2).write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+        resume.accumulate(stream, run, partial).awaitTermination()
+        first = run.committed()[0]
+        run.commit(run.rows(schema).where(F.col("batch") == first).drop("batch").checkpoint(), first)
+    return run.total(["cx", "cy"], ["fold"], schema)
