@@ -8,6 +8,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from wavegrid.llm import bitsliced, buckets, credentials, decontaminate, language, licenses, linededup, packing, scan, toxicity, urlfilter
 
 ODD = [None, "", " \n\t ", "x", "é" * 9000, "word " * 20_000, "\x00\x1f\u2028 ½ ÿ"]
@@ -275,21 +277,37 @@ def test_url_words_come_from_text_and_not_from_whole_labels(spark):
     assert got[0] == "cheap casino" and got[9] == " ".join(["good", "news"] * 40)
 
 
-def test_url_totals_count_all_tokens(spark):
+def test_url_tables_of_any_size_judge_alike(spark):
     letters = "abcdefghij"
-    urls = [f"http://{host}/{letters[i // 10]}{letters[i % 10]}xx" for i in range(100) for host in ("casino.net", "q.org/fr")] + ["http://q.org/fr/zzxx"] * 5
-    df = spark.createDataFrame([(u,) for u in urls], "url string")
-    whole, cut = (urlfilter.learn(df, "url", None, limit=n)[1] for n in (1 << 20, 1000))
-    assert "p:zzxx" in cut and len(cut) < len(whole) and all(abs(whole[t] - w) < 1e-9 for t, w in cut.items())
-
-
-def test_frequent_names_are_cut_at_one_count_by_bytes(spark):
-    counts = {f"w{i:03d}": 1 + i * i % 97 for i in range(300)}
-    df = spark.createDataFrame(list(counts.items()), "name string, n long")
-    for limit in (0, 103, 104, 1000, 5000, 10**6):
-        least = min((k for k in range(1, 200) if sum(104 for n in counts.values() if n >= k) <= limit), default=None)
-        assert {r.name for r in urlfilter.frequent(df, "name", limit).collect()} == {w for w, n in counts.items() if n >= least}
-    assert urlfilter.frequent(df.limit(0), "name", 9).count() == 0
+    urls = [f"http://{letters[i // 10]}{host}/{letters[i % 10]}xx" for i in range(100) for host in ("casino.net", "news.q.org/fr", "wordless--9.com", ".x.com/de")] + ["http://q.org/fr/zzxx"] * 5
+    urls += [None, "", "no scheme", "://", "h://" + "longcasino" * 30 + ".com/a/b/c", "H://Ünder.example.com/é/É"]
+    df = spark.createDataFrame([(i, u, "<p>casino news long under</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    whole, cut = ({r.id: r for r in urlfilter.judge(df, limit=n).collect()} for n in (1 << 20, 100))
+    assert whole.keys() == cut.keys() and len(whole) == len(urls)
+    for i, r in whole.items():
+        assert r[:6] == cut[i][:6] and abs(r.log_odds - cut[i].log_odds) < 1e-9
+    assert urlfilter.judge(df.limit(0)).collect() == [] and urlfilter.judge(df.limit(0), limit=0).collect() == []
+
+
+def test_pages_without_rules_are_not_judged_by_what_rules_look_at(spark):
+    rng = np.random.default_rng(22)
+    bad, good = ["pills", "poker", "zwin", "zrich"], ["garden", "school", "river", "music", "stone"]
+    rows = []
+    for i in range(1200):
+        label, tld = i % 3 == 0, str(rng.choice(["net", "com", "org"]))
+        host = "".join(rng.choice(bad if label else good, 2))
+        rows.append((i, f"http://{rng.choice(['www.', 'm.', ''])}{host}.example.{tld}/{rng.choice(['en', 'de', 'fr', 'es'])}/{i}.html", " ".join(bad + good), label))
+    # rules block bad hosts more often: elsewhere /en/ and /fr/ say nothing
+    rows = [r for r in rows if not (".net" in r[1] and not r[3] and "/en/" not in r[1] and rng.random() < 0.8) and not (r[3] and (".org/fr/" in r[1] or ".net/en/" in r[1]) and rng.random() < 0.8)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    kept = F.col("page_id") % 4 == 0
+    got = {r.id: r for r in urlfilter.judge(df, held=kept).collect()}
+    said = [(r[3], got[r[0]].verdict == "block") for r in rows if not got[r[0]]["rule"]]
+    hit, false, missed = sum(a and b for a, b in said), sum(b and not a for a, b in said), sum(a and not b for a, b in said)
+    assert hit / (hit + false) > 0.95 and hit / (hit + missed) > 0.95
+    for tongue in ("en", "de", "fr", "es"):
+        clean = [got[r[0]].verdict for r in rows if not r[3] and not got[r[0]]["rule"] and f"/{tongue}/" in r[1]]
+        assert len(clean) < 5 or clean.count("block") < 0.1 * len(clean)
 
 
 def test_url_verdicts_match_plain_naive_bayes(spark):

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wavegrid.session import ship_package
 
@@ -37,7 +38,7 @@ def whole_row(df: DataFrame) -> Column:
 BATCH_ROWS = "1000"
 
 
-def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package available to the workers, in batches that long texts don't make huge."""
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf

@@ -6,13 +6,15 @@ import hashlib
 import math
 import pickle
 import re
+from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from wavegrid.llm.scan import map_batches, slices
+from wavegrid.llm.scan import hot_join, map_batches, slices
 from wavegrid.session import ensure_checkpoint_dir
 
 # The rules, as verdict, host and path.
@@ -20,8 +22,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 # Words that count as seen on one more unwanted page each, a prior that pages under rules outweigh.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "farm", "gambling", "jackpot", "loan", "loans", "lottery", "payday", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 
-#: Bytes of a model's words and weights that may be sent to the workers, where each counts ENTRY besides its letters. The least count
-#: of a word or token is the smallest at which all that have it fit, so that no tie is cut; totals are over all of them.
+#: Bytes of words, or of tokens' weights, that may be sent to the workers, where each counts ENTRY besides its letters. Where there are
+#: more, runs of letters and pages are joined with the whole tables instead, to the same result.
 MODEL_BYTES = 8 << 20
 ENTRY = 100
 #: Longest word of the lexicon; a longer one is known by its parts.
@@ -29,7 +31,7 @@ LONGEST = 24
 #: Host names whose words a worker remembers.
 HOSTS = 20_000
 
-_models: dict[str, tuple] = {}
+_models: dict[str, Segmenter | dict] = {}
 _PARTS = re.compile(r"[^a-z\x80-\U0010ffff]+")
 
 
@@ -53,8 +55,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Unigram Viterbi: the split of a run of letters into words of highest product of probabilities."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total)
         self.seen: dict[str, tuple[str, ...]] = {}
@@ -78,62 +80,93 @@ class Segmenter:
             self.seen[host] = tuple(w for run in _PARTS.split(host) if run for w in self.split(run))
         return self.seen[host]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host, and of the path's runs of letters."""
-        return [*(f"h:{w}" for w in self.host(host)), *(f"p:{w}" for w in _PARTS.split(path.lower()) if w)]
 
-
-def _tokens(batches, shared, key: str):
-    segmenter = _model(shared, key)[0]
-    for batch in slices(batches):
-        found = [segmenter.tokens(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["says", "tokens"])
-
-
-def _model(shared, key: str) -> tuple:
+def _model(shared, key: str):
     if key not in _models:
         if len(_models) > 1:
             _models.clear()
-        counts, weights, bias = pickle.loads(shared.value)
-        _models[key] = Segmenter(counts), weights, bias
+        held, total = pickle.loads(shared.value)
+        _models[key] = Segmenter(held, total) if total is not None else held
     return _models[key]
 
 
-def _judge(batches, shared, key: str):
-    segmenter, weights, bias = _model(shared, key)
+def _segmented(batches, shared, key: str):
+    segmenter = _model(shared, key)
     for batch in slices(batches):
-        odds, words = [], []
-        for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            odds.append(bias + sum(weights.get(t, 0.0) for t in segmenter.tokens(host, path)))
-            words.append(" ".join(segmenter.host(host)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.string()), pa.array(odds, pa.float64())], [*batch.schema.names, "host_words", "log_odds"])
+        found = [[list(segmenter.host(h)) for h in batch.column(c).to_pylist()] for c in ("named", "view")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.list_(pa.string())) for f in found)], [*batch.schema.names, "words", "own"])
+
+
+def _split_runs(batches, total: int):
+    for batch in slices(batches):
+        known = batch.column("known").to_pylist()
+        words = [Segmenter({k["word"]: k["n"] for k in own or []}, total).split(run) for run, own in zip(batch.column("run").to_pylist(), known, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("n"), pa.array(words, pa.list_(pa.string()))], ["run", "n", "words"])
+
+
+def _with_tokens(batches):
+    """Words of the host's view, and runs of letters of the path's."""
+    for batch in slices(batches):
+        found = [[*(f"h:{w}" for w in own), *(f"p:{w}" for w in _PARTS.split(path.lower()) if w)] for own, path in zip(batch.column("own").to_pylist(), batch.column("way").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "tokens"])
+
+
+def _scored(batches, shared, key: str):
+    weights = _model(shared, key)
+    for batch in slices(batches):
+        odds = [sum(weights.get(t, 0.0) for t in tokens) for tokens in batch.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], [*batch.schema.names, "odds"])
+
+
+def _fits(df: DataFrame, name: str, limit: int) -> bool:
+    return (df.agg(F.sum(F.octet_length(name) + ENTRY)).first()[0] or 0) <= limit
 
 
-def frequent(counted: DataFrame, name: str, limit: int = MODEL_BYTES) -> DataFrame:
-    """The rows of ``(name, n, ..)`` from the least n on at which their names together take at most ``limit`` bytes.
+def _sent(spark: SparkSession, held: dict, total: int | None = None) -> dict:
+    packed = pickle.dumps((held, total))
+    return {"shared": spark.sparkContext.broadcast(packed), "key": f"{spark.sparkContext.applicationId}:{hashlib.sha256(packed).hexdigest()}"}
 
-    The sizes are added up by powers of two of n and then, within the one that is cut, by n, so that what reaches the driver
-    are at most 64 numbers and then one: a threshold, found from all rows, and not a number of rows.
+
+def _more(df: DataFrame, **columns: str) -> StructType:
+    return StructType([*df.schema.fields, *(StructField(n, ArrayType(StringType()) if t == "words" else DoubleType()) for n, t in columns.items())])
+
+
+def view(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """What is left of a host and a path without all that a rule may have looked at, so that pages which rules judge and others are seen alike.
+
+    The host loses its last label and before it those that a rule names; the path loses as many first directories as a rule's has, whatever they are.
+    """
+    labels = sorted({re.escape(x) for _, on, _ in rules for x in on.split(".")})
+    deep = max((below.count("/") - 1 for *_, below in rules), default=0)
+    return F.regexp_replace(host, rf"(?:(?:^|\.)(?:{'|'.join(labels) or '(?!)'}))*(?:^|\.)[^.]*$", ""), F.regexp_replace(path, rf"^(?:/[^/]*(?=/)){{0,{max(0, deep)}}}", "")
+
+
+def segmented(rows: DataFrame, words: DataFrame, total: int, limit: int = MODEL_BYTES) -> DataFrame:
+    """``rows`` with the words of their ``named`` and ``view`` hosts, as ``words`` and ``own``; the first labels of ``named`` are those of ``view``.
+
+    A lexicon (word, n) within ``limit`` is sent to the workers. A larger one is joined with all short parts of the different
+    runs of letters, so that each run is split by the words that it holds; hosts and runs are split once, however many rows have them.
     """
-    size = F.sum(F.octet_length(name) + ENTRY)
-    steps = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(size.alias("bytes")).orderBy(F.desc("k")).collect()
-    total = 0
-    for step in steps:
-        if total + step.bytes > limit:
-            within = counted.where(F.floor(F.log2("n")).cast("int") == step.k).groupBy("n").agg(size.alias("bytes"))
-            # a step spans n from 2^k to 2^(k+1): halve it until what is above fits
-            low, high = 1 << step.k, 2 << step.k
-            while low < high:
-                middle = (low + high) // 2
-                above = within.where(F.col("n") >= middle).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-                low, high = (low, middle) if total + above <= limit else (middle + 1, high)
-            return counted.where(F.col("n") >= low)
-        total += step.bytes
-    return counted
-
-
-def lexicon(df: DataFrame, url_col: str, html_col: str | None, limit: int = MODEL_BYTES) -> dict[str, int]:
-    """Counts of words of pages, of what follows hosts in URLs and of parts of host labels with hyphens, over all rows.
+    if _fits(words, "word", limit):
+        sent = _sent(rows.sparkSession, {r.word: r.n for r in words.collect()}, total)
+        return map_batches(rows, partial(_segmented, **sent), _more(rows, words="words", own="words"))
+    parts = lambda c: F.filter(F.split(c, r"[^a-z\x{80}-\x{10ffff}]+"), lambda x: x != "")
+    hosts = rows.groupBy("named", "view").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    runs = hosts.select(F.explode(parts("named")).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
+    subs = at.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1)), lambda k: F.substring("run", F.col("i"), k))).alias("word")).distinct().checkpoint()
+    needed = words.join(subs.groupBy("word").agg(F.count(F.lit(1)).alias("many")), "word").checkpoint()
+    known = hot_join(subs, needed, ["word"], "many").groupBy("run").agg(F.collect_list(F.struct("word", F.col("n"))).alias("known"))
+    split = map_batches(runs.join(known, "run", "left").select("run", "n", "known"), partial(_split_runs, total=total), "run string, n long, words array<string>").checkpoint()
+    each = hosts.select("named", "view", F.posexplode(parts("named")).alias("at", "run"))
+    found = hot_join(each, split, ["run"], "n").groupBy("named", "view").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
+    flat = lambda w: F.coalesce(F.flatten(F.transform(w, lambda x: x["words"])), F.array().cast("array<string>"))
+    named = hosts.join(found, ["named", "view"], "left").select("named", "view", "n", flat(F.col("w")).alias("words"), flat(F.slice("w", F.lit(1), F.size(parts("view")))).alias("own")).checkpoint()
+    return hot_join(rows, named, ["named", "view"], "n").select(*rows.columns, "words", "own")
+
+
+def lexicon(df: DataFrame, url_col: str, html_col: str | None) -> DataFrame:
+    """(word, n) of words of pages, of what follows hosts in URLs and of parts of host labels with hyphens, over all rows.
 
     Other host labels are what the segmenter splits, so they don't count as words.
     """
@@ -143,42 +176,49 @@ def lexicon(df: DataFrame, url_col: str, html_col: str | None, limit: int = MODE
     url_words = F.split(F.concat_ws(" ", rest, F.array_join(labels, " ")), r"[^a-z]+")
     page_words = F.split(F.lower(F.coalesce(F.col(html_col).cast("string"), F.lit(""))), r"[^\p{L}]+") if html_col else F.array().cast("array<string>")
     words = df.select(F.explode(F.concat(url_words, page_words)).alias("word")).where(F.length("word").between(2, LONGEST))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    return {r.word: r.n for r in frequent(counted, "word", limit).collect()}
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
 
 
-def learn(df: DataFrame, url_col: str, html_col: str | None, rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None) -> tuple[dict[str, int], dict[str, float], float]:
-    """Word counts, log-odds of tokens for block against allow, and of the classes.
+@dataclass(frozen=True)
+class Model:
+    """Words and their counts, their total, tokens with their log-odds for block against allow, and the log-odds of the classes."""
+
+    words: DataFrame
+    total: int
+    weights: DataFrame
+    bias: float
+
+
+def _tokenised(df: DataFrame, host: Column, path: Column, carried: list[Column], words: DataFrame, total: int, rules, limit: int) -> DataFrame:
+    seen, way = view(host, path, rules)
+    rows = segmented(df.select(*carried, _registered(host).alias("named"), seen.alias("view"), way.alias("way")), words, total, limit)
+    return map_batches(rows, _with_tokens, _more(rows, tokens="words"))
+
+
+def learn(df: DataFrame, url_col: str, html_col: str | None, rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None) -> Model:
+    """Naive Bayes of the pages that rules block and allow.
 
     A page that a rule blocks counts as block, one that a rule allows as allow; ``held`` rows and pages without a rule are not
-    learned from. What the rule itself looks at is no token: the host's last labels and the start of the path that decided
-    tell which rule it was, not what kind of page it is. Token counts are over all such pages, added up before they are
-    shuffled; each token counts once more in each class, seeds twice more as block, and the odds of a token that the model has no room for are those
-    of an unseen one.
+    learned from. Tokens are those of ``view``, which tell no rule from another. Token counts are over all such pages, added up
+    before they are shuffled, and none is dropped; each token counts once more in each class, seeds twice more as block.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    spark = df.sparkSession
-    counts = lexicon(df, url_col, html_col, limit)
+    words = lexicon(df, url_col, html_col)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     host, path = host_and_path(F.col(url_col).cast("string"))
-    rule, says = rule_for(host, path, rules)
-    pages = df.select(says.alias("says"), rule.alias("rule"), host.alias("host"), path.alias("path"), (~F.coalesce(held, F.lit(False)) if held is not None else F.lit(True)).alias("used")).where("used AND says IS NOT NULL")
-    at = F.instr("rule", "/")
-    free_host = F.expr("left(host, greatest(length(host) - instr(rule, '/'), 0))")  # without the rule's host and the dot before it
-    free_path = F.expr("substring(path, length(rule) - instr(rule, '/') + 2)")
-    pages = pages.select("says", F.when(at > 0, free_host).alias("host"), free_path.alias("path"))
-    packed = pickle.dumps((counts, {}, 0.0))
-    key = f"{spark.sparkContext.applicationId}:{hashlib.sha256(packed).hexdigest()}"
-    tokens = map_batches(pages, partial(_tokens, shared=spark.sparkContext.broadcast(packed), key=key), "says string, tokens array<string>")
-    each = tokens.select(F.explode(F.array_append(F.coalesce("tokens", F.array().cast("array<string>")), F.lit(""))).alias("token"), (F.col("says") == "block").alias("block"))
+    says = rule_for(host, path, rules)[1]
+    pages = df.select(says.alias("says"), host.alias("host"), path.alias("path"), (~F.coalesce(held, F.lit(False)) if held is not None else F.lit(True)).alias("used")).where("used AND says IS NOT NULL")
+    tokens = _tokenised(pages, F.col("host"), F.col("path"), [F.col("says")], words, total, rules, limit)
+    each = tokens.select(F.explode(F.array_append("tokens", F.lit(""))).alias("token"), (F.col("says") == "block").alias("block"))
     by = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("b")).checkpoint()
     pages_of = by.where("token = ''").select("n", "b").first() or (0, 0)
-    total, blocked, kinds = by.where("token <> ''").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count(F.lit(1))).first()
-    in_block, in_allow = blocked + kinds + 1, total - blocked + kinds + 1
-    found = frequent(by.where("token <> ''"), "token", limit).unionByName(by.where(F.col("token").isin(*(f"{part}:{w}" for w in SEEDS for part in "hp"))))
-    seen = {f"{part}:{w}": (0, 0) for w in SEEDS for part in "hp"} | {r.token: (r.b, r.n - r.b) for r in found.collect()}
-    prior = {t: 1 + (t[2:] in SEEDS) for t in seen}
-    table = {t: math.log((b + prior[t]) / in_block) - math.log((a + 1) / in_allow) for t, (b, a) in seen.items()}
-    return counts, table, math.log((pages_of[1] + 1) / (pages_of[0] - pages_of[1] + 1))
+    by = by.where("token <> ''")
+    every, blocked, kinds = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count(F.lit(1))).first()
+    seeds = df.sparkSession.createDataFrame([(f"{part}:{w}", 0, 0) for w in SEEDS for part in "hp"], "token string, n long, b long")
+    both = by.unionByName(seeds).groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    prior = 1 + F.substring("token", 3, 1 << 30).isin(*SEEDS).cast("int")
+    weight = F.log((F.col("b") + prior) / (blocked + kinds + 1)) - F.log((F.col("n") - F.col("b") + 1) / (every - blocked + kinds + 1))
+    return Model(words, total, both.select("token", weight.alias("weight")).checkpoint(), math.log((pages_of[1] + 1) / (pages_of[0] - pages_of[1] + 1)))
 
 
 def _registered(host: Column) -> Column:
@@ -186,22 +226,34 @@ def _registered(host: Column) -> Column:
     return F.regexp_replace(host, r"\.[^.]*$", "")
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, limit: int = MODEL_BYTES) -> DataFrame:
+def with_odds(rows: DataFrame, weights: DataFrame, limit: int = MODEL_BYTES) -> DataFrame:
+    """``rows`` with ``odds``: the sum of the weights (token, weight) of their ``tokens``, one without a weight counting 0."""
+    if _fits(weights, "token", limit):
+        return map_batches(rows, partial(_scored, **_sent(rows.sparkSession, {r.token: r.weight for r in weights.collect()})), _more(rows, odds="double"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    each = rows.select("_row", F.explode("tokens").alias("token"))
+    needed = weights.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").checkpoint()
+    summed = hot_join(each, needed, ["token"], "n").groupBy("_row").agg(F.sum("weight").alias("odds"))
+    return rows.join(summed, "_row", "left").drop("_row").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
+
+
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None) -> DataFrame:
     """Per row: id, host, path, rule, verdict, host_words and log_odds.
 
     The longest rule that fits decides; where none does, naive Bayes over the words of the segmented host and
-    of the path does, learned from the pages that rules block and allow: block at positive log-odds. The whole host is
-    segmented, whatever its length, in time linear in it. A token's odds, unless the model has it, are even. Null URLs and
-    such without ``://`` have an empty host and path and only the classes' odds; so have all pages if no rule fits any.
+    of the path does, learned from the pages that rules block and allow (but not from ``held`` ones): block at positive log-odds.
+    The same ``view`` of host and path is learned from and judged. The whole host is
+    segmented, whatever its length, in time linear in it. Odds of a token that no such page has are even. Null URLs and
+    such without ``://`` have an empty host and path and only the classes' odds; so have all pages if no rule fits any, and
+    without blocked or without allowed pages tokens still weigh, by their one class and the seeds.
     Repeated rows and null ids give a row each; ties between splits of a host go to the longer last word, and an empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Other columns are ignored. ``limit`` changes how the tables travel and never the result.
     """
-    spark = df.sparkSession
-    packed = pickle.dumps(learn(df, url_col, html_col, rules, limit))
+    model = learn(df, url_col, html_col, rules, limit, held)
     host, path = host_and_path(F.col(url_col).cast("string"))
+    work = df.select(F.col(id_col).cast("long").alias("id"), host.alias("full"), path.alias("path"))
+    work = _tokenised(work, F.col("full"), F.col("path"), [F.col("id"), F.col("full"), F.col("path")], model.words, model.total, rules, limit)
+    work = with_odds(work, model.weights, limit).withColumn("log_odds", F.col("odds") + model.bias)
     rule, says = rule_for(F.col("full"), F.col("path"), rules)
-    work = df.select(F.col(id_col).cast("long").alias("id"), host.alias("full"), path.alias("path")).withColumn("host", _registered(F.col("full")))
-    key = f"{spark.sparkContext.applicationId}:{hashlib.sha256(packed).hexdigest()}"
-    work = map_batches(work, partial(_judge, shared=spark.sparkContext.broadcast(packed), key=key), "id long, full string, path string, host string, host_words string, log_odds double")
     verdict = F.coalesce(says, F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return work.select("id", F.col("full").alias("host"), "path", rule.alias("rule"), verdict.alias("verdict"), "host_words", "log_odds")
+    return work.select("id", F.col("full").alias("host"), "path", rule.alias("rule"), verdict.alias("verdict"), F.array_join("words", " ").alias("host_words"), "log_odds")
