@@ -19,13 +19,17 @@ from wavegrid.session import ensure_checkpoint_dir
 
 # The rules, as verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# Words that count as seen on one more unwanted page each, a prior that pages under rules outweigh.
+# Words that count as seen on SEED_PAGES more unwanted pages each, a prior that pages under rules outweigh.
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "farm", "gambling", "jackpot", "loan", "loans", "lottery", "payday", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 
 #: Bytes of words, or of tokens' weights, that may be sent to the workers, where each counts ENTRY besides its letters. Where there are
 #: more, runs of letters and pages are joined with the whole tables instead, to the same result.
 MODEL_BYTES = 8 << 20
 ENTRY = 100
+SEED_PAGES = 8
+#: One page in so many, by a hash of its host and path, is left out of learning, and such pages set the odds from which a page is
+#: blocked: those that at most this share of the ones that rules allow exceeds.
+FOLD, FALSE_SHARE = 5, 0.05
 #: Longest word of the lexicon; a longer one is known by its parts.
 LONGEST = 24
 #: Host names whose words a worker remembers.
@@ -195,19 +199,37 @@ def _tokenised(df: DataFrame, host: Column, path: Column, carried: list[Column],
     return map_batches(rows, _with_tokens, _more(rows, tokens="words"))
 
 
-def learn(df: DataFrame, url_col: str, html_col: str | None, rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None) -> Model:
+def _place(host: Column, rules=RULES) -> Column:
+    """The longest host of a rule that a host is or lies under; null without one."""
+    found = F.lit(None).cast("string")
+    for on in sorted({on for _, on, _ in rules}, key=lambda x: (len(x), x)):
+        found = F.when((host == on) | F.endswith(host, F.lit(f".{on}")), on).otherwise(found)
+    return found
+
+
+def _left_out(host: Column, path: Column, fold: int = FOLD) -> Column:
+    """Whether a page is one of those left out."""
+    return F.pmod(F.xxhash64(host, path), F.lit(fold)) == 0 if fold else F.lit(False)
+
+
+def learn(df: DataFrame, url_col: str, html_col: str | None, rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None, fold: int = FOLD) -> Model:
     """Naive Bayes of the pages that rules block and allow.
 
-    A page that a rule blocks counts as block, one that a rule allows as allow; ``held`` rows and pages without a rule are not
-    learned from. Tokens are those of ``view``, which tell no rule from another. Token counts are over all such pages, added up
-    before they are shuffled, and none is dropped; each token counts once more in each class, seeds twice more as block.
+    A page that a rule blocks counts as block, one that a rule allows as allow; ``held`` rows, one page in ``fold`` and pages
+    without a rule are not learned from. Nor are pages under a rule's host where rules give one verdict alone, as long as there
+    are pages under one with both: there, the place decided, whatever the words. Tokens are those of ``view``, which
+    tell no rule from another. Token counts are over all such pages, added up
+    before they are shuffled, and none is dropped; each token counts once more in each class, seeds SEED_PAGES times more as block.
     """
     ensure_checkpoint_dir(df.sparkSession)
     words = lexicon(df, url_col, html_col)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     host, path = host_and_path(F.col(url_col).cast("string"))
     says = rule_for(host, path, rules)[1]
-    pages = df.select(says.alias("says"), host.alias("host"), path.alias("path"), (~F.coalesce(held, F.lit(False)) if held is not None else F.lit(True)).alias("used")).where("used AND says IS NOT NULL")
+    used = (~F.coalesce(held, F.lit(False)) if held is not None else F.lit(True)) & ~_left_out(host, path, fold)
+    pages = df.select(says.alias("says"), host.alias("host"), path.alias("path"), used.alias("used")).where("used AND says IS NOT NULL").withColumn("place", _place(F.col("host"), rules))
+    mixed = [r.place for r in pages.groupBy("place").agg(F.countDistinct("says").alias("kinds")).where("kinds > 1").collect()]
+    pages = pages.where(F.col("place").isin(mixed)) if mixed else pages
     tokens = _tokenised(pages, F.col("host"), F.col("path"), [F.col("says")], words, total, rules, limit)
     each = tokens.select(F.explode(F.array_append("tokens", F.lit(""))).alias("token"), (F.col("says") == "block").alias("block"))
     by = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("b")).checkpoint()
@@ -216,7 +238,7 @@ def learn(df: DataFrame, url_col: str, html_col: str | None, rules=RULES, limit:
     every, blocked, kinds = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count(F.lit(1))).first()
     seeds = df.sparkSession.createDataFrame([(f"{part}:{w}", 0, 0) for w in SEEDS for part in "hp"], "token string, n long, b long")
     both = by.unionByName(seeds).groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    prior = 1 + F.substring("token", 3, 1 << 30).isin(*SEEDS).cast("int")
+    prior = 1 + SEED_PAGES * F.substring("token", 3, 1 << 30).isin(*SEEDS).cast("int")
     weight = F.log((F.col("b") + prior) / (blocked + kinds + 1)) - F.log((F.col("n") - F.col("b") + 1) / (every - blocked + kinds + 1))
     return Model(words, total, both.select("token", weight.alias("weight")).checkpoint(), math.log((pages_of[1] + 1) / (pages_of[0] - pages_of[1] + 1)))
 
@@ -237,11 +259,29 @@ def with_odds(rows: DataFrame, weights: DataFrame, limit: int = MODEL_BYTES) ->
     return rows.join(summed, "_row", "left").drop("_row").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None) -> DataFrame:
+#: Hundredths of log-odds that a threshold may reach.
+MOST_ODDS = 10_000
+
+
+def _threshold(allowed: DataFrame) -> float:
+    """The least hundredth, from 0, that at most FALSE_SHARE of the rows' log_odds exceed; 0 without rows."""
+    step = F.least(F.greatest(F.ceil(F.col("log_odds") * 100), F.lit(0)), F.lit(MOST_ODDS)).cast("int")
+    counts = {r.step: r.n for r in allowed.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    every, over, least = sum(counts.values()), 0, 0
+    for k in sorted(counts, reverse=True):
+        if over + counts[k] > FALSE_SHARE * every:
+            least = k
+            break
+        over += counts[k]
+    return least / 100
+
+
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, limit: int = MODEL_BYTES, held: Column | None = None, fold: int = FOLD) -> DataFrame:
     """Per row: id, host, path, rule, verdict, host_words and log_odds.
 
     The longest rule that fits decides; where none does, naive Bayes over the words of the segmented host and
-    of the path does, learned from the pages that rules block and allow (but not from ``held`` ones): block at positive log-odds.
+    of the path does, learned from the pages that rules block and allow (but not from ``held`` ones): block at log-odds over a threshold, in
+    hundredths and at least 0, which FALSE_SHARE of the allowed pages that were left out of learning exceed at most.
     The same ``view`` of host and path is learned from and judged. The whole host is
     segmented, whatever its length, in time linear in it. Odds of a token that no such page has are even. Null URLs and
     such without ``://`` have an empty host and path and only the classes' odds; so have all pages if no rule fits any, and
@@ -249,11 +289,12 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col
     Repeated rows and null ids give a row each; ties between splits of a host go to the longer last word, and an empty table
     gives no rows. Other columns are ignored. ``limit`` changes how the tables travel and never the result.
     """
-    model = learn(df, url_col, html_col, rules, limit, held)
+    model = learn(df, url_col, html_col, rules, limit, held, fold)
     host, path = host_and_path(F.col(url_col).cast("string"))
     work = df.select(F.col(id_col).cast("long").alias("id"), host.alias("full"), path.alias("path"))
     work = _tokenised(work, F.col("full"), F.col("path"), [F.col("id"), F.col("full"), F.col("path")], model.words, model.total, rules, limit)
-    work = with_odds(work, model.weights, limit).withColumn("log_odds", F.col("odds") + model.bias)
+    work = with_odds(work, model.weights, limit).withColumn("log_odds", F.col("odds") + model.bias).drop("tokens", "named", "view", "way", "own").checkpoint()
     rule, says = rule_for(F.col("full"), F.col("path"), rules)
-    verdict = F.coalesce(says, F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    least = _threshold(work.where((says == "allow") & _left_out(F.col("full"), F.col("path"), fold)))
+    verdict = F.coalesce(says, F.when(F.col("log_odds") > least, "block").otherwise("allow"))
     return work.select("id", F.col("full").alias("host"), "path", rule.alias("rule"), verdict.alias("verdict"), F.array_join("words", " ").alias("host_words"), "log_odds")
