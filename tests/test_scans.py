@@ -107,3 +107,27 @@ def test_empty_mute_table_gives_no_time(spark, tmp_path):
     spark.createDataFrame([("x", "y")], "offset string, time_ms string").write.csv(path, header=True)
     rows = spark.createDataFrame([(1, -50.0)], "trace_idx long, offset double")
     assert tables.with_mute(rows, tables.mute_table(spark, path)).first().mute_ms is None
+
+
+def test_crowded_rows_are_ordered_by_tasks_of_like_size(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("k"), (F.col("id") * 7919 % 20_011).alias("i"))
+    rows = df.repartition(5)
+    got = Q.ordered(rows, [F.col("k"), F.col("i")], parts=8).collect()
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r["rank"])] == sorted((r.k, r.i) for r in df.collect())
+    # 99 % of the rows have one key, and no task sorts twice its share
+    dealt = df.repartitionByRange(8, "k", "i").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 2 * 20_000 / 8
+    within = Q.ordered_within(df.withColumn("g", F.when(F.col("k") == 7, None).otherwise(F.col("k") % 3)), ["g"], [F.col("i")]).collect()
+    for g in (None, 0, 1, 2):
+        own = sorted((r["rank"], r.i) for r in within if r.g == g)
+        assert [k for k, _ in own] == list(range(len(own))) and [i for _, i in own] == sorted(i for _, i in own)
+    assert Q.ordered_within(df.limit(0), ["k"], [F.col("i")]).count() == 0
+
+
+def test_samples_do_not_depend_on_how_rows_lie(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") * 2)
+    one, other = (sorted(r.id for r in Q.sampled(x, "id", 50).collect()) for x in (df.repartition(7), df.coalesce(1)))
+    assert one == other and len(one) == 50 and Q.sampled(df, "id", 5000).count() == 1000
+    # samples of parts hold the sample of the whole
+    parts = Q.sampled(df.where("id < 500"), "id", 50).union(Q.sampled(df.where("id >= 500"), "id", 50))
+    assert sorted(r.id for r in Q.sampled(parts, "id", 50).collect()) == one

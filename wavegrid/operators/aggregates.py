@@ -118,3 +118,20 @@ def covariance_azimuth(df: DataFrame, x: str, y: str) -> DataFrame:
     m = df.agg(F.var_pop(x).alias("a"), F.var_pop(y).alias("b"), F.covar_pop(x, y).alias("c"))
     angle = F.degrees(0.5 * F.atan2(2.0 * F.col("c"), F.col("a") - F.col("b")))
     return m.select(F.pmod(90.0 - angle, F.lit(180.0)).alias("azimuth"))
+
+
+def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+    """(bin, low, n) of ``bins`` bins of equal width from ``low`` to ``high``, the last one closed; empty ones too."""
+    width = (high - low) / bins
+    own = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("long")
+    counts = df.where(F.col(value).between(low, high)).groupBy(own.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(counts, "bin", "left").select("bin", (low + F.col("bin") * width).alias("low"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def direction(df: DataFrame, azimuth: str) -> DataFrame:
+    """One row (n, mean, std, direction, strength): plain mean and deviation of azimuths in degrees, and the direction and length of their mean vector."""
+    s, c = F.avg(F.sin(F.radians(azimuth))), F.avg(F.cos(F.radians(azimuth)))
+    out = df.agg(F.count(azimuth).alias("n"), F.avg(azimuth).alias("mean"), F.stddev_pop(azimuth).alias("std"), s.alias("s"), c.alias("c"))
+    turned = F.degrees(F.atan2("s", "c"))
+    return out.select("n", "mean", "std", F.when(turned < 0, turned + 360.0).otherwise(turned).alias("direction"), F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")).alias("strength"))

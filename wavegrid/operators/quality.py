@@ -134,16 +134,54 @@ def rotated_extent(df: DataFrame, degrees: float, x: str = "mx", y: str = "my",
     return ends.select(*[e for k, (i, j) in enumerate(at) for e in ((F.col(i) * c - F.col(j) * s).alias(f"x{k}"), (F.col(i) * s + F.col(j) * c).alias(f"y{k}"))])
 
 
-def numbered(df: DataFrame, key: Column, tie: str, name: str = "rank", cells: int = 16384) -> DataFrame:
-    """Rows numbered from 0 over the whole table by a long ``key`` of at least 0, ties by the column ``tie``.
+def ordered(df: DataFrame, by: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """Rows numbered from 0 over the whole table in the order of ``by``.
 
-    Keys are cut into at most ``cells`` ranges of equal width; rows are sorted within a range, and ranges start where the
-    counts of those before end, so that no task sorts the table and only the counts are sorted as a whole.
+    Ranges of rows are cut by a sample of all order columns, so that rows crowded at one value, or within one of its ties, are
+    shared by tasks as others are; each task sorts its range, and ranges start where the counts of those before end. Only one
+    count a range is ever sorted as a whole. Rows equal in all of ``by`` are numbered one after the other in any order.
     """
-    rows = df.withColumn("_key", key)
-    most = rows.agg(F.max("_key")).first()[0] or 0
-    rows = rows.withColumn("_cell", F.floor(F.col("_key") / F.lit(most // cells + 1)))
-    counts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", tie)) - 1
-    return rows.withColumn("_own", own).join(F.broadcast(starts), "_cell").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_cell", "_key", "_own", "_start")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = [f"_by{i}" for i in range(len(by))]
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns(dict(zip(names, by, strict=True))).repartitionByRange(parts, *names).sortWithinPartitions(*names).drop(*names)
+    # the number of the range, and the row's place in it in the lower 33 bits
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_range", "_at", "_start")
+
+
+def numbered(df: DataFrame, key: Column, tie: str, name: str = "rank", cells: int | None = None) -> DataFrame:
+    """Rows numbered from 0 over the whole table by ``key``, ties by the column ``tie``, in ``cells`` ranges; see ``ordered``."""
+    return ordered(df, [key, F.col(tie)], name, cells)
+
+
+#: Groups whose first numbers are sent to all tasks; more are joined by shuffling.
+BROADCAST_GROUPS = 1 << 16
+
+
+def ordered_within(df: DataFrame, groups: list[str], by: list[Column], name: str = "rank") -> DataFrame:
+    """Rows numbered from 0 within each group, a crowded one being shared by tasks as in ``ordered``."""
+    rows = ordered(df, [*[F.col(g) for g in groups], *by], "_whole").checkpoint()
+    starts = rows.groupBy(*groups).agg(F.min("_whole").alias("_first")).checkpoint()
+    met = F.broadcast(starts) if starts.count() <= BROADCAST_GROUPS else starts
+    joined = rows.alias("r").join(met.alias("s"), F.expr(" AND ".join(f"r.`{g}` <=> s.`{g}`" for g in groups)))
+    return joined.select("r.*", (F.col("_whole") - F.col("_first")).alias(name)).drop("_whole")
+
+
+def by_tile_centre(df: DataFrame, size: float, tie: str, x: str = "mx", y: str = "my") -> DataFrame:
+    """Traces with their square tile (tx, ty), the distance to its centre and, from 0, their ``rank`` by it within the tile, ties by ``tie``."""
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    dx, dy = (F.col(c) - (F.col(t) + 0.5) * size for c, t in ((x, "tx"), (y, "ty")))
+    rows = df.withColumns({"tx": at(x), "ty": at(y)}).withColumn("centre_distance", F.sqrt(dx * dx + dy * dy))
+    return ordered_within(rows, ["tx", "ty"], [F.col("centre_distance"), F.col(tie)])
+
+
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows (all, if fewer) that any run picks again, however the table is cut: those of smallest hashes of a long ``key``,
+    ties by the key. Each task keeps its own ``n`` smallest and those are merged, so samples of parts make the sample of the whole."""
+    hashed = F.pmod(F.col(key) * 2654435761, F.lit(1 << 32))
+    return df.orderBy(hashed, key).limit(n)

@@ -223,9 +223,9 @@ def filter_band_pass(spark, d):
     return _long(traces(spark, d).withColumn("o", X.band_pass(5.0, 40.0, 0.008)(F.col("samples"))), "o")
 
 
-@query("SELECT CAST(k AS BIGINT) AS i, round((1-2*power(pi()*30,2)*power((k-50)*0.002e0,2))*exp(-power(pi()*30,2)*power((k-50)*0.002e0,2)),6) AS a FROM range(101) t(k)")
+@query("WITH {headers}, t AS (SELECT trace_idx, \"offset\"/5000-0.06e0 AS t FROM headers) SELECT trace_idx, round((1-2*power(pi()*30,2)*t*t)*exp(-power(pi()*30,2)*t*t),6) AS a FROM t")
 def wavelet_ricker(spark, d):
-    return r6(spark.range(101).select(F.col("id").alias("i"), X.ricker((F.col("id") - 50) * 0.002, 30.0).alias("a")), "a")
+    return r6(headers(spark, d).select("trace_idx", X.ricker(F.col("offset") / 5000 - 0.06, 30.0).alias("a")), "a")
 
 
 _EXPLODED = "u AS (SELECT trace_idx, shot_id, \"offset\", unnest(range(64)) AS it, unnest(samples)::DOUBLE AS v FROM traces)"

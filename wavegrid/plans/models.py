@@ -53,10 +53,11 @@ def guard_functions(spark, d):
     return r6(found, "quotient", "root", "time", "clamped")
 
 
-@query("""WITH f AS (SELECT k AS i, 5.0e0+k*1.5e0 AS hz FROM range(100) t(k)), n AS (SELECT *, greatest(CAST(floor(1000.0e0/(2.0e0*hz)/2.0e0) AS BIGINT),1) AS m FROM f),
-    p AS (SELECT *, CAST(pow(2,length(bin(m))-1) AS BIGINT) AS low FROM n) SELECT i, hz, CAST(least(8, CASE WHEN m-low > 2*low-m THEN 2*low ELSE low END) AS BIGINT) AS factor FROM p""")
+@query("""WITH {headers}, f AS (SELECT trace_idx, 5.0e0+"offset"*0.25e0 AS hz FROM headers), n AS (SELECT *, greatest(CAST(floor(1000.0e0/(2.0e0*hz)/2.0e0) AS BIGINT),1) AS m FROM f),
+    p AS (SELECT *, CAST(pow(2,length(bin(m))-1) AS BIGINT) AS low FROM n) SELECT trace_idx, round(hz,6) AS hz, CAST(least(8, CASE WHEN m-low > 2*low-m THEN 2*low ELSE low END) AS BIGINT) AS factor FROM p""")
 def downsampling_by_frequency(spark, d):
-    return spark.range(100).select(F.col("id").alias("i"), (5.0 + F.col("id") * 1.5).alias("hz")).withColumn("factor", U.downsampling(F.col("hz"), 2.0))
+    rows = headers(spark, d).select("trace_idx", (5.0 + F.col("offset") * 0.25).alias("hz"))
+    return r6(rows.withColumn("factor", U.downsampling(F.col("hz"), 2.0)), "hz")
 
 
 @query("""WITH r AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 2 AS f FROM events), g AS (SELECT *, CASE WHEN lag(event_id) OVER w IS NULL OR f IS DISTINCT FROM lag(f) OVER w THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -67,11 +68,10 @@ def time_windows_of_equal_factor(spark, d):
     return cubes.runs(events, ["user_id"], "event_id", "f")
 
 
-@query("""WITH s AS (SELECT k AS i, (k-5)*1.37e0 AS raw FROM range(200) t(k)), b AS (SELECT i, raw, z.s AS s, row_number() OVER (PARTITION BY i ORDER BY abs(z.s-raw), z.s) AS r
-    FROM s, (SELECT unnest([6.25e0,12.5e0,18.75e0,25.0e0,37.5e0,50.0e0,75.0e0,100.0e0,125.0e0,150.0e0,200.0e0]) AS s) z)
-    SELECT i, CASE WHEN raw <= 0 THEN 6.25e0 WHEN abs(s-raw)/raw <= 0.15 THEN s ELSE round(raw,2) END AS size FROM b WHERE r=1""")
+@query("""WITH {headers}, s AS (SELECT trace_idx, "offset"/4-10 AS raw FROM headers), b AS (SELECT trace_idx, raw, list_sort([{'off': abs(z-raw), 's': z} FOR z IN [6.25e0,12.5e0,18.75e0,25.0e0,37.5e0,50.0e0,75.0e0,100.0e0,125.0e0,150.0e0,200.0e0]])[1].s AS s FROM s)
+    SELECT trace_idx, CASE WHEN raw <= 0 THEN 6.25e0 WHEN abs(s-raw)/raw <= 0.15 THEN s ELSE round(raw,2) END AS size FROM b""")
 def standard_bin_sizes(spark, d):
-    return spark.range(200).select(F.col("id").alias("i"), U.standard_bin((F.col("id") - 5) * 1.37).alias("size"))
+    return headers(spark, d).select("trace_idx", U.standard_bin(F.col("offset") / 4 - 10).alias("size"))
 
 
 @query("""WITH {headers}, e AS (SELECT shot_id, "offset" AS t, 1500.0e0+0.4e0*"offset"+sx/50.0e0 AS v FROM headers WHERE "offset" <= 500),

@@ -10,6 +10,7 @@ from wavegrid.functions import sampling as P
 from wavegrid.functions import selection as S
 from wavegrid.functions import signal as X
 from wavegrid.functions import traveltime as T
+from wavegrid.operators import aggregates as A
 from wavegrid.operators import binsize as B
 from wavegrid.operators import cubes
 from wavegrid.operators import migration as M
@@ -159,10 +160,11 @@ def running_average_triangle(spark, d):
 WINDOWS = [(0.0, 0.008, 16), (0.128, 0.016, 24)]
 
 
-@query("SELECT CAST(CASE WHEN k < 16 THEN 0 ELSE 1 END AS BIGINT) AS \"window\", CAST(CASE WHEN k < 16 THEN k ELSE k-16 END AS BIGINT) AS i, CAST(CASE WHEN k < 16 THEN k ELSE 16+2*(k-16) END AS BIGINT) AS it, round(CASE WHEN k < 16 THEN k*0.008e0 ELSE 0.128e0+(k-16)*0.016e0 END,9) AS t0, round(127/40.0e0,9) AS speedup FROM range(40) t(k)")
+@query("WITH {traces} SELECT CAST(CASE WHEN k < 16 THEN 0 ELSE 1 END AS BIGINT) AS \"window\", CAST(CASE WHEN k < 16 THEN k ELSE k-16 END AS BIGINT) AS i, CAST(CASE WHEN k < 16 THEN k ELSE 16+2*(k-16) END AS BIGINT) AS it, round(CASE WHEN k < 16 THEN k*0.008e0 ELSE 0.128e0+(k-16)*0.016e0 END,9) AS t0, round(127/40.0e0,9) AS speedup, (SELECT round(avg(CAST(samples[CASE WHEN k < 16 THEN k ELSE 16+2*(k-16) END + 1] AS DOUBLE)),6) FROM traces) AS v FROM range(40) t(k)")
 def sampling_windows(spark, d):
     found = P.times(spark, WINDOWS, DT, 64).withColumn("speedup", F.lit(P.speedup(WINDOWS, 0.0, 1.016, DT)))
-    return r6(found, "t0", "speedup", digits=9)
+    rows = volumes.exploded(traces(spark, d), [], "samples").groupBy("it").agg(F.round(F.avg("v"), 6).alias("v"))
+    return r6(found.join(rows, "it"), "t0", "speedup", digits=9)
 
 
 def _window_image(spark, d):
@@ -247,9 +249,9 @@ _line_query("il", "xl")
 _line_query("xl", "il")
 
 
-@query("SELECT CAST(i AS BIGINT) AS il, CAST(j AS BIGINT) AS xl, CAST(k AS BIGINT) AS it, round(CASE WHEN k*0.05e0 < 0.2e0 THEN 1500+400*(k*0.05e0)/0.2e0 WHEN k*0.05e0 < 0.4e0 THEN 1900+700*(k*0.05e0-0.2e0)/0.2e0 ELSE 2600 END,4) AS v FROM range(6) a(i), range(4) b(j), range(11) c(k)")
+@query("WITH {headers}, l AS (SELECT DISTINCT CAST(floor(mx/400) AS BIGINT) AS il, CAST(floor(my/400) AS BIGINT) AS xl FROM headers) SELECT il, xl, CAST(k AS BIGINT) AS it, round(CASE WHEN k*0.05e0 < 0.2e0 THEN 1500+400*(k*0.05e0)/0.2e0 WHEN k*0.05e0 < 0.4e0 THEN 1900+700*(k*0.05e0-0.2e0)/0.2e0 ELSE 2600 END,4) AS v FROM l, range(11) c(k)")
 def velocity_grid_setup(spark, d):
-    lines = spark.range(24).select(F.floor(F.col("id") / 4).alias("il"), (F.col("id") % 4).alias("xl"))
+    lines = headers(spark, d).select(F.floor(F.col("mx") / 400.0).cast("long").alias("il"), F.floor(F.col("my") / 400.0).cast("long").alias("xl")).distinct()
     rows = lines.select("il", "xl", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("it"))
     return rows.withColumn("v", F.round(volumes.velocity_at(_picks(), F.col("it") * 0.05), 4))
 
@@ -287,3 +289,36 @@ def band_pass_then_gain(spark, d):
     """Band-pass and gain one after the other, each on a trace alone."""
     t = traces(spark, d).withColumn("f", X.band_pass(5.0, 40.0, DT)(F.col("samples"))).withColumn("o", X.agc(F.col("f"), 8))
     return r6(volumes.exploded(t, ["trace_idx"], "o"), "v")
+
+
+@query("WITH {headers}, t AS (SELECT trace_idx, CAST(floor(mx/300) AS BIGINT) AS tx, CAST(floor(my/300) AS BIGINT) AS ty, mx, my FROM headers), c AS (SELECT trace_idx, tx, ty, sqrt((mx-(tx+0.5e0)*300)*(mx-(tx+0.5e0)*300)+(my-(ty+0.5e0)*300)*(my-(ty+0.5e0)*300)) AS d FROM t) SELECT trace_idx, tx, ty, round(d,6) AS d, row_number() OVER (PARTITION BY tx, ty ORDER BY d, trace_idx)-1 AS rank FROM c")
+def order_by_tile_centre(spark, d):
+    found = Q.by_tile_centre(headers(spark, d), 300.0, "trace_idx")
+    return found.select("trace_idx", "tx", "ty", F.round("centre_distance", 6).alias("d"), "rank")
+
+
+@query("WITH {headers} SELECT trace_idx, shot_id FROM headers ORDER BY (trace_idx*2654435761)%4294967296, trace_idx LIMIT 500")
+def repeatable_sample(spark, d):
+    return Q.sampled(headers(spark, d), "trace_idx", 500).select("trace_idx", "shot_id")
+
+
+@query('WITH {headers}, h AS (SELECT least(CAST(floor("offset"/20) AS BIGINT), 49) AS bin FROM headers WHERE "offset" BETWEEN 0 AND 1000), s AS (SELECT min("offset") AS lo, max("offset") AS hi, avg("offset") AS mean, stddev_pop("offset") AS std FROM headers) SELECT b AS bin, b*20.0e0 AS low, (SELECT count(*) FROM h WHERE bin=b) AS n, round(lo,6) AS lo, round(hi,6) AS hi, round(mean,6) AS mean, round(std,6) AS std FROM s, range(50) z(b)')
+def offset_histogram(spark, d):
+    h = headers(spark, d)
+    whole = h.agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.avg("offset").alias("mean"), F.stddev_pop("offset").alias("std"))
+    return r6(A.histogram(h, "offset", 50, 0.0, 1000.0).join(F.broadcast(whole)), "lo", "hi", "mean", "std")
+
+
+@query("WITH {headers} SELECT count(*) AS n, round(avg(azimuth),6) AS mean, round(stddev_pop(azimuth),6) AS std, round(((degrees(atan2(sum(sin(radians(azimuth))),sum(cos(radians(azimuth)))))%360)+360)%360,4) AS direction, round(sqrt(power(avg(sin(radians(azimuth))),2)+power(avg(cos(radians(azimuth))),2)),6) AS strength FROM headers")
+def azimuth_summary(spark, d):
+    found = A.direction(headers(spark, d), "azimuth")
+    return r6(found.withColumn("direction", F.round("direction", 4)), "mean", "std", "strength")
+
+
+@query("WITH {headers}, {traces}, u AS (SELECT trace_idx, unnest(range(64)) AS it, unnest(samples)::DOUBLE AS v FROM traces), b AS (SELECT row_number() OVER (ORDER BY trace_idx DESC)-1 AS pos, trace_idx FROM traces WHERE trace_idx % 3 = 0) SELECT pos, b.trace_idx, mx, round(sum(v*v),5) AS energy FROM b JOIN (SELECT trace_idx, mx FROM traces) t USING (trace_idx) JOIN u USING (trace_idx) GROUP BY ALL")
+def traces_by_position(spark, d):
+    """Traces that a list of numbers asks for, with the position of each in the list."""
+    t = traces(spark, d)
+    wanted = Q.ordered(t.where("trace_idx % 3 = 0").select("trace_idx"), [-F.col("trace_idx")], "pos")
+    energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return wanted.join(t.select("trace_idx", "mx", F.round(energy, 5).alias("energy")), "trace_idx").select("pos", "trace_idx", "mx", "energy")

@@ -12,6 +12,7 @@ from wavegrid.operators import aggregates as A
 from wavegrid.operators import joins as J
 from wavegrid.operators import quality as Q
 from wavegrid.operators import volumes as V
+from wavegrid.operators.joins import rectangle_join
 from wavegrid.plans.headers import r6
 from wavegrid.plans.registry import query
 from wavegrid.sources import sinks
@@ -181,15 +182,19 @@ def coordinate_report(spark, d):
     return Q.coordinate_report(headers(spark, d), "sx", "sy")
 
 
-@query("SELECT CAST(i AS BIGINT) AS ix, CAST(j AS BIGINT) AS iy, CAST(CASE WHEN j%2=0 THEN j*6+i ELSE j*6+5-i END AS BIGINT) AS rank FROM range(6) a(i), range(4) b(j)")
+@query("WITH {headers}, t AS (SELECT CAST(least(greatest(floor(mx/400),0),5) AS BIGINT) AS ix, CAST(greatest(floor(my/400),0) AS BIGINT) AS iy, count(*) AS n FROM headers GROUP BY ALL) SELECT ix, iy, n, CAST(CASE WHEN iy%2=0 THEN iy*6+ix ELSE iy*6+5-ix END AS BIGINT) AS rank FROM t")
 def tile_order_snake(spark, d):
-    tiles = spark.range(24).select((F.col("id") % 6).alias("ix"), F.floor(F.col("id") / 6).alias("iy"))
-    return tiles.select("ix", "iy", V.snake(F.col("ix"), F.col("iy"), 6).alias("rank"))
+    at = lambda c: F.greatest(F.floor(F.col(c) / 400.0), F.lit(0)).cast("long")
+    tiles = headers(spark, d).groupBy(F.least(at("mx"), F.lit(5)).cast("long").alias("ix"), at("my").alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    return tiles.select("ix", "iy", "n", V.snake(F.col("ix"), F.col("iy"), 6).alias("rank"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, e[i+1] AS x0, e[i+2] AS x1, f[j+1] AS y0, f[j+2] AS y1 FROM range(3) a(i), range(2) b(j), (SELECT [-300e0,0e0,150e0,600e0] AS e, [0e0,200e0,500e0] AS f)")
+@query("WITH {headers}, t AS (SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, e[i+1] AS x0, e[i+2] AS x1, f[j+1] AS y0, f[j+2] AS y1 FROM range(3) a(i), range(2) b(j), (SELECT [-300e0,0e0,150e0,600e0] AS e, [0e0,200e0,500e0] AS f)) SELECT i, j, x0, x1, y0, y1, count(*) AS n FROM t, headers WHERE rx-sx BETWEEN x0 AND x1 AND ry-sy BETWEEN y0 AND y1 GROUP BY ALL")
 def generated_tiles(spark, d):
-    return S.tiles(spark, [-300.0, 0.0, 150.0, 600.0], [0.0, 200.0, 500.0])
+    """Tiles of offset vectors and the traces in each, those on an edge in both."""
+    boxes = S.tiles(spark, [-300.0, 0.0, 150.0, 600.0], [0.0, 200.0, 500.0])
+    vectors = headers(spark, d).select((F.col("rx") - F.col("sx")).alias("vx"), (F.col("ry") - F.col("sy")).alias("vy"))
+    return rectangle_join(vectors, boxes, 150.0, "vx", "vy").groupBy("i", "j", "x0", "x1", "y0", "y1").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query('WITH {headers} SELECT CAST(trunc("offset"/20) AS BIGINT) AS bin, count(*) AS n FROM headers GROUP BY ALL')
@@ -239,8 +244,7 @@ def gather_bin_join_open(spark, d):
     return J.interval_join(headers(spark, d), bins, F.col("offset"), "low", "high", 100.0).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH {headers} SELECT trace_idx, round(((ln((2300.0e0+sqrt(2300.0e0*2300.0e0+0.25e0*\"offset\"*\"offset\"))/(1800.0e0+sqrt(1800.0e0*1800.0e0+0.25e0*\"offset\"*\"offset\")))/0.5e0)),6) AS curved, round(0.12e0+0.05e0,6) AS epsilon FROM headers")
+@query("WITH {headers} SELECT trace_idx, round(((ln((2300.0e0+sqrt(2300.0e0*2300.0e0+0.25e0*\"offset\"*\"offset\"))/(1800.0e0+sqrt(1800.0e0*1800.0e0+0.25e0*\"offset\"*\"offset\")))/0.5e0)),6) AS curved, round(azimuth/1000+0.05e0,6) AS epsilon FROM headers")
 def one_way_curved_time(spark, d):
-    x2 = F.col("offset") * F.col("offset")
-    t = F.log((2300.0 + F.sqrt(2300.0 * 2300.0 + 0.25 * x2)) / (1800.0 + F.sqrt(1800.0 * 1800.0 + 0.25 * x2))) / 0.5
-    return r6(headers(spark, d).select("trace_idx", t.alias("curved"), T.eta_to_thomsen(F.lit(0.12))[0].alias("epsilon")), "curved", "epsilon")
+    t = T.curved_ray(F.col("offset"), F.lit(1000.0), 1800.0, 0.5)
+    return r6(headers(spark, d).select("trace_idx", t.alias("curved"), T.eta_to_thomsen(F.col("azimuth") / 1000)[0].alias("epsilon")), "curved", "epsilon")

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that share a bin's rows, and rows of a file.
+SHARES, FILE_ROWS = 8, 4_000_000
+
+
+def _clustered(df: DataFrame, by: str, *spread: str):
+    """A writer of a folder for each value of ``by``, in few files of bounded length: rows of a value meet in SHARES tasks at most."""
+    share = F.pmod(F.xxhash64(*spread), F.lit(SHARES))
+    return df.repartition(F.col(by), share).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(by)
+
+
 #: Columns of the gathers' index, null where a kind of bin has none.
 INDEX = ("bin_id", "bin_type", "bin_name", "offset_min", "offset_max", "ovt_x_min", "ovt_x_max", "ovt_y_min", "ovt_y_max")
 
@@ -31,7 +41,7 @@ def write_bin_headers(headers: DataFrame, path: str) -> None:
 
 def write_gathers(image: DataFrame, headers: DataFrame, bins: DataFrame, path: str) -> None:
     """``volumes``, a folder for each bin_id, ``gather_headers`` of all bins, and ``gathers_index`` with every column of INDEX."""
-    image.write.mode("overwrite").partitionBy("bin_id").parquet(f"{path}/volumes")
+    _clustered(image, "bin_id", "ix", "iy").parquet(f"{path}/volumes")
     headers.where(F.col("trace_count") > 0).write.mode("overwrite").parquet(f"{path}/gather_headers")
     known = {f.name: f.dataType for f in bins.schema}
     columns = [F.col(c) if c in known else F.lit(None).cast("string" if c in ("bin_type", "bin_name") else "double").alias(c) for c in INDEX]
@@ -41,7 +51,7 @@ def write_gathers(image: DataFrame, headers: DataFrame, bins: DataFrame, path: s
 def write_cig(gathers: DataFrame, path: str, normalise: bool = False) -> None:
     """Common-image gathers (ix, iy, bin, it, amp, fold); amplitudes over fold if asked, 0 where nothing was added."""
     amp = F.when(F.col("fold") > 0, F.col("amp") / F.col("fold")).otherwise(0.0) if normalise else F.col("amp")
-    gathers.withColumn("amp", amp).write.mode("overwrite").partitionBy("bin").parquet(path)
+    _clustered(gathers.withColumn("amp", amp), "bin", "ix", "iy").parquet(path)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
