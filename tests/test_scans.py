@@ -131,3 +131,15 @@ def test_samples_do_not_depend_on_how_rows_lie(spark):
     # samples of parts hold the sample of the whole
     parts = Q.sampled(df.where("id < 500"), "id", 50).union(Q.sampled(df.where("id >= 500"), "id", 50))
     assert sorted(r.id for r in Q.sampled(parts, "id", 50).collect()) == one
+
+
+def test_smoothing_does_not_depend_on_blocks(spark):
+    from wavegrid.operators import cubes
+
+    cube = spark.range(90 * 7).select((F.col("id") % 90).alias("ix"), F.floor(F.col("id") / 90).cast("long").alias("iy")).withColumn("v", F.array(F.pmod(F.hash("ix", "iy"), F.lit(100)).cast("double"), F.lit(4.0)))
+    one, other = ({(r.ix, r.iy): r.v for r in cubes.smoothed(cube, 90, 7, 1.0, block=b).collect()} for b in (1, 500))
+    assert one.keys() == other.keys() and len(one) == 630
+    assert all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], other[k], strict=True)) and all(abs(v[1] - 4) < 1e-9 for v in one.values())
+    assert cubes.smoothed(cube, 90, 7, 0.0).count() == 630
+    plan = cubes.smoothed(cube, 90, 7, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

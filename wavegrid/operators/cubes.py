@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +137,86 @@ def fitted_gradient(df: DataFrame, keys: list[str], t_ms: str, v: str, window_ms
     line = early.groupBy(*keys).agg(F.regr_slope(v, "_t").alias("_a"), F.regr_intercept(v, "_t").alias("_b"), F.avg(v).alias("_m"))
     k = F.when(F.col("_b") > 0, 2.0 * F.col("_a") / F.col("_b")).otherwise(0.0)
     return line.select(*keys, clamp(F.coalesce("_b", "_m"), 1000.0, 6000.0).alias("v0"), clamp(F.coalesce(k, F.lit(0.0)), 0.0, 2.0).alias("k"))
+
+
+def gradients(cube: DataFrame) -> DataFrame:
+    """(ix, iy, v, gx, gy): a cube with its changes from pillar to pillar along both axes, half of the neighbours' difference, one-sided at
+    the ends; null where a pillar has no neighbour along an axis. Pillars meet their four neighbours in one exchange."""
+    role = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(name).alias("name")) for i, j, name in ((0, 0, "own"), (1, 0, "left"), (-1, 0, "right"), (0, 1, "below"), (0, -1, "above"))])
+    wide = cube.select("ix", "iy", "v", F.explode(role).alias("r")).select((F.col("ix") + F.col("r.i")).alias("ix"), (F.col("iy") + F.col("r.j")).alias("iy"), "r.name", "v")
+    met = wide.groupBy("ix", "iy").agg(*[F.any_value(F.when(F.col("name") == n, F.col("v")), ignoreNulls=True).alias(n) for n in ("own", "left", "right", "below", "above")]).where("own IS NOT NULL")
+    change = lambda a, b, by: F.zip_with(a, b, lambda p, q: (q - p) / by)
+
+    def along(before: str, after: str) -> Column:
+        a, b, o = F.col(before), F.col(after), F.col("own")
+        return F.when(a.isNotNull() & b.isNotNull(), change(a, b, 2.0)).when(b.isNotNull(), change(o, b, 1.0)).when(a.isNotNull(), change(a, o, 1.0))
+
+    return met.select("ix", "iy", F.col("own").alias("v"), along("left", "right").alias("gx"), along("below", "above").alias("gy"))
+
+
+def extended(cube: DataFrame, x: Axis, y: Axis, new_x: Axis, new_y: Axis, damping: float = 0.3, low: float = 1500.0, high: float = 6000.0) -> DataFrame:
+    """(ix, iy, v) on new axes: bilinear inside the cube, and beyond it the value at its edge and a damped part of the change there.
+
+    That part is the edge's change from pillar to pillar times the distance beyond, in pillars, times the pillars' spacing. Values end
+    in ``low`` to ``high``.
+    """
+    spark = cube.sparkSession
+    grid = spark.range(new_x.n * new_y.n).select((F.col("id") % new_x.n).alias("ix"), F.floor(F.col("id") / new_x.n).cast("long").alias("iy"))
+    grid = grid.withColumns({"x": new_x.start + F.col("ix") * new_x.step, "y": new_y.start + F.col("iy") * new_y.step})
+    with_changes = gradients(cube).select("ix", "iy", F.concat("v", "gx", "gy").alias("v"))
+    met = pillars(grid, with_changes, x, y, out="all")
+    past = lambda c, a: F.col(c) - clamp(F.col(c), a.start, a.start + a.step * (a.n - 1))
+    n = (F.size("all") / 3).cast("int")
+    part = lambda k: F.slice("all", k * n + 1, n)
+    change = F.zip_with(part(1), part(2), lambda gx, gy: damping * (gx * past("x", x) + gy * past("y", y)))
+    value = F.zip_with(part(0), change, lambda v, c: F.least(F.greatest(v + c, F.lit(low)), F.lit(high)))
+    return met.select("ix", "iy", value.alias("v"))
+
+
+def gaussian(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Weights from -r to r, r being ``truncate`` deviations, that sum to one."""
+    r = int(truncate * sigma + 0.5)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+    return [v / sum(w) for v in w]
+
+
+def _stencil(weights: list[float], n: int, block: int):
+    """Weighted sums of neighbouring pillars of a block and its halo; lines go on beyond their ends by reflection."""
+    r = len(weights) // 2
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(part["at"].tolist(), (np.asarray(v, float) for v in part["v"]), strict=True))
+        rows = [i for i in sorted(held) if i // block == key[0]]
+        out = []
+        for i in rows:
+            near = [(w, held.get(k if (k := (i + d) % (2 * n)) < n else 2 * n - 1 - k)) for d, w in zip(range(-r, r + 1), weights, strict=True)]
+            near = [(w, v) for w, v in near if v is not None]
+            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        return pd.DataFrame({"at": rows, "line": [key[1]] * len(rows), "v": out})
+
+    return run
+
+
+def smoothed(cube: DataFrame, nx: int, ny: int, sigma: float = 2.0, block: int = 64) -> DataFrame:
+    """(ix, iy, v) smoothed by a Gaussian along both axes of nx and ny pillars, reflected at the ends.
+
+    In each of the two passes a pillar goes to the block of its line that holds it and, near a block's ends, to the next one,
+    whose halo it is: one exchange a pass, of at most two copies of a pillar, and a task holds one block of a line at a time.
+    Pillars that are missing have no weight.
+    """
+    if sigma <= 0:
+        return cube.select("ix", "iy", "v")
+    weights = gaussian(sigma)
+    block = max(block, len(weights))
+    for axis, other, n in (("ix", "iy", nx), ("iy", "ix", ny)):
+        last = (n - 1) // block
+        reach = lambda by, axis=axis, last=last: clamp(F.floor((F.col(axis) + by) / block), 0, last).cast("long")
+        r = len(weights) // 2
+        wide = cube.select(F.explode(F.sequence(reach(-r), reach(r))).alias("block"), F.col(other).alias("line"), F.col(axis).alias("at"), "v")
+        cube = wide.groupBy("block", "line").applyInPandas(_stencil(weights, n, block), "at long, line long, v array<double>").withColumnsRenamed({"at": axis, "line": other})
+    return cube.select("ix", "iy", "v")
+
+
+def regenerated(cube: DataFrame, x: Axis, y: Axis, new_x: Axis, new_y: Axis, damping: float = 0.3, sigma: float = 2.0) -> DataFrame:
+    """(ix, iy, v): the cube on new axes, continued beyond its edges (``extended``) and then smoothed (``smoothed``)."""
+    return smoothed(extended(cube, x, y, new_x, new_y, damping), new_x.n, new_y.n, sigma)

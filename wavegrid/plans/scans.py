@@ -322,3 +322,27 @@ def traces_by_position(spark, d):
     wanted = Q.ordered(t.where("trace_idx % 3 = 0").select("trace_idx"), [-F.col("trace_idx")], "pos")
     energy = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     return wanted.join(t.select("trace_idx", "mx", F.round(energy, 5).alias("energy")), "trace_idx").select("pos", "trace_idx", "mx", "energy")
+
+
+_REGENERATED = """WITH {headers}, m AS (SELECT CAST(floor(mx/500) AS BIGINT) AS ix, CAST(floor(my/400) AS BIGINT) AS iy, 1500+avg("offset") AS a FROM headers WHERE mx BETWEEN 0 AND 2499 AND my BETWEEN 0 AND 2399 GROUP BY ALL),
+    c AS (SELECT ix, iy, k, a+60*k AS v FROM m, range(3) z(k)),
+    g AS (SELECT o.ix, o.iy, o.k, o.v, CASE WHEN l.v IS NULL THEN r.v-o.v WHEN r.v IS NULL THEN o.v-l.v ELSE (r.v-l.v)/2 END AS gx, CASE WHEN b.v IS NULL THEN u.v-o.v WHEN u.v IS NULL THEN o.v-b.v ELSE (u.v-b.v)/2 END AS gy
+        FROM c o LEFT JOIN c l ON l.ix=o.ix-1 AND l.iy=o.iy AND l.k=o.k LEFT JOIN c r ON r.ix=o.ix+1 AND r.iy=o.iy AND r.k=o.k LEFT JOIN c b ON b.ix=o.ix AND b.iy=o.iy-1 AND b.k=o.k LEFT JOIN c u ON u.ix=o.ix AND u.iy=o.iy+1 AND u.k=o.k),
+    p AS (SELECT i AS ix, j AS iy, i*220.0e0-150 AS x, j*330.0e0-200 AS y FROM range(13) a(i), range(9) b(j)),
+    q AS (SELECT *, least(greatest(x,0),2000)/500 AS fx, least(greatest(y,0),2000)/400 AS fy, x-least(greatest(x,0),2000) AS dx, y-least(greatest(y,0),2000) AS dy FROM p),
+    w AS (SELECT q.ix, q.iy, dx, dy, g.k, g.v, g.gx, g.gy, greatest(0,1-abs(fx-g.ix))*greatest(0,1-abs(fy-g.iy)) AS w FROM q, g),
+    e AS (SELECT ix, iy, k, least(greatest(sum(w*v)+0.3e0*(sum(w*gx)*any_value(dx)+sum(w*gy)*any_value(dy)),1500),6000) AS v FROM w GROUP BY ix, iy, k),
+    n AS (SELECT d, exp(-0.5e0*d*d/2.25e0)/(SELECT sum(exp(-0.5e0*d*d/2.25e0)) FROM range(-6,7) z(d)) AS w FROM range(-6,7) z(d)),
+    s AS (SELECT i AS ix, e.iy, e.k, sum(n.w*e.v) AS v FROM range(13) a(i), n, e WHERE e.ix = CASE WHEN (i+d+26)%26 < 13 THEN (i+d+26)%26 ELSE 25-(i+d+26)%26 END GROUP BY ALL),
+    t AS (SELECT s.ix, j AS iy, s.k, sum(n.w*s.v) AS v FROM range(9) a(j), n, s WHERE s.iy = CASE WHEN (j+d+18)%18 < 9 THEN (j+d+18)%18 ELSE 17-(j+d+18)%18 END GROUP BY ALL)
+    SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, CAST(k AS BIGINT) AS it, round(v,4) AS v FROM t"""
+
+
+@query(_REGENERATED)
+def velocity_cube_regenerated(spark, d):
+    """A cube from means of headers, continued beyond its edges and smoothed."""
+    h = headers(spark, d).where("mx BETWEEN 0 AND 2499 AND my BETWEEN 0 AND 2399")
+    mean = h.groupBy(F.floor(F.col("mx") / 500.0).cast("long").alias("ix"), F.floor(F.col("my") / 400.0).cast("long").alias("iy")).agg((1500 + F.avg("offset")).alias("a"))
+    cube = mean.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.col("a") + 60.0 * k).alias("v"))
+    found = cubes.regenerated(cube, cubes.Axis(0.0, 500.0, 5), cubes.Axis(0.0, 400.0, 6), cubes.Axis(-150.0, 220.0, 13), cubes.Axis(-200.0, 330.0, 9), sigma=1.5)
+    return found.select("ix", "iy", F.posexplode("v").alias("it", "v")).select("ix", "iy", F.col("it").cast("long").alias("it"), F.round("v", 4).alias("v"))
