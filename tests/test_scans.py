@@ -143,3 +143,40 @@ def test_smoothing_does_not_depend_on_blocks(spark):
     assert cubes.smoothed(cube, 90, 7, 0.0).count() == 630
     plan = cubes.smoothed(cube, 90, 7, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_splines_through_the_knots_of_rows(spark):
+    import numpy as np
+    from wavegrid.functions import profiles
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 9):
+        t, v = np.sort(rng.random((6, n)) * 10 + np.arange(n), axis=1), rng.random((6, n))
+        assert np.allclose(profiles.spline_values(t, v, t), v)
+        # a polynomial of the degree that the knots allow comes back, inside and beyond
+        p = [1.0, -2.0, 0.5, 0.25][: min(n, 4)]
+        x = np.tile(np.linspace(-3, 25, 40), (6, 1))
+        poly = lambda a, p=p: sum(c * a**k for k, c in enumerate(p))
+        assert np.allclose(profiles.spline_values(t, poly(t), x), poly(x), rtol=1e-6, atol=1e-6)
+    t, v, e = np.arange(7.0)[None], rng.random((1, 7)), 1e-4
+    f = lambda x: profiles.spline_values(t, v, np.array([[x]]))[0, 0]
+    for k in range(1, 6):
+        third = [(f(k + s * 4e-2 + 3 * 1e-2) - 3 * f(k + s * 4e-2 + 1e-2) + 3 * f(k + s * 4e-2 - 1e-2) - f(k + s * 4e-2 - 3e-2)) / (2e-2) ** 3 for s in (-1, 1)]
+        assert abs((f(k + e) - f(k)) / e - (f(k) - f(k - e)) / e) < 1e-2
+        assert (abs(third[0] - third[1]) < 1e-3) == (k in (1, 5))
+    rows = [(1, [(1.0, 5.0), (0.0, 3.0), (None, 1.0)], [0.5, 9.0]), (2, [], [1.0]), (3, None, [1.0]), (4, [(2.0, 7.0)], [])]
+    df = spark.createDataFrame(rows, "i long, k array<struct<t: double, v: double>>, x array<double>")
+    got = {r.i: r.v for r in df.select("i", profiles.spline(F.col("k"), F.col("x"), (0.0, 10.0)).alias("v")).collect()}
+    assert got == {1: [4.0, 10.0], 2: [None], 3: [None], 4: []}
+
+
+def test_azimuth_goes_by_the_first_that_has_enough(spark):
+    from wavegrid.operators import azimuth
+
+    rows = [(i, i // 20, i % 20, i // 20, 25.0 * (i % 20), 50.0 * (i // 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "o long, il long, xl long, line long, mx double, my double").withColumns({"sx": F.col("mx") * 2, "sy": F.col("my")})
+    pick = lambda x, **k: tuple(azimuth.acquisition_azimuth(x, "o", **k).first())
+    assert pick(df, inline="il", crossline="xl", line="line") == (0.0, "inline")
+    assert pick(df.where("xl < 8"), inline="il", crossline="xl", line="line") == (90.0, "shot lines")
+    assert pick(df.where("xl < 8 AND line < 3"), inline="il", crossline="xl", line="line")[1] == "principal axis"
+    assert pick(df.where("il = 0")) == (0.0, "principal axis") and pick(df.limit(0)) == (None, None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.functions import profiles
 from wavegrid.functions import signal as X
-from wavegrid.operators import binsize, gathers, scattered, spectrum, volumes
+from wavegrid.operators import azimuth, binsize, gathers, scattered, spectrum, volumes
 from wavegrid.plans.headers import r6
 from wavegrid.plans.registry import query
 from wavegrid.sources.survey import headers, traces
@@ -138,3 +138,33 @@ def velocity_regridded(spark, d):
     nodes = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS node", f"{place(7919, 10007)} AS x", f"{place(104729, 10009)} AS y", "array(cast(s_acctbal AS double)) AS v")
     points = spark.read.parquet(f"{d}/nation.parquet").selectExpr("cast(n_nationkey AS long) AS t", "(n_nationkey % 5) * 550D + 130 AS x", "(n_nationkey div 5) * 550D + 90 AS y")
     return scattered.interpolate(nodes, points).select("t", F.round(F.get("v", F.lit(0)), 4).alias("v"), "how")
+
+
+_LINE_AT = [-0.5, 0.25, 1.5, 2.75, 3.6]
+
+
+@query("""WITH {headers}, k AS (SELECT shot_id, CAST(floor(mx/600) AS BIGINT) AS k, avg("offset") AS v FROM headers WHERE mx >= 0 AND mx < 2400 GROUP BY ALL), f AS (SELECT shot_id, list(v ORDER BY k) AS v FROM k GROUP BY shot_id HAVING count(*) = 4), x AS (SELECT unnest(range(5)) AS i, unnest([-0.5e0,0.25e0,1.5e0,2.75e0,3.6e0]) AS x)
+    SELECT shot_id, i, round(-v[1]*(x-1)*(x-2)*(x-3)/6+v[2]*x*(x-2)*(x-3)/2-v[3]*x*(x-1)*(x-3)/2+v[4]*x*(x-1)*(x-2)/6,4) AS v FROM f, x""")
+def velocity_along_line_cubic(spark, d):
+    """Through four knots of each line the spline is one cubic, which goes on beyond them."""
+    h = headers(spark, d).where("mx >= 0 AND mx < 2400").groupBy("shot_id", F.floor(F.col("mx") / 600.0).alias("t")).agg(F.avg("offset").alias("v"))
+    lines = h.groupBy("shot_id").agg(F.collect_list(F.struct("t", "v")).alias("knots")).where("size(knots) = 4")
+    found = lines.select("shot_id", F.posexplode(profiles.spline(F.col("knots"), F.array(*map(F.lit, _LINE_AT)))).alias("i", "v"))
+    return found.select("shot_id", F.col("i").cast("long").alias("i"), F.round("v", 4).alias("v"))
+
+
+_LINES = "h AS (SELECT *, CAST(floor(my/100) AS BIGINT) AS il, CAST(floor((mx+my/4)/25) AS BIGINT) AS xl FROM headers)"
+
+
+@query(f"""WITH {{headers}}, {_LINES}, m AS (SELECT floor((min(il)+max(il))/2.0e0) AS il FROM h), e AS (SELECT min((xl,trace_idx,mx,my)) AS a, max((xl,trace_idx,mx,my)) AS b, count(*) AS n FROM h JOIN m USING (il)),
+    l AS (SELECT shot_id, min((trace_idx,sx,sy)) AS a, max((trace_idx,sx,sy)) AS b FROM h GROUP BY shot_id HAVING count(*) > 5), s AS (SELECT count(*) AS n, avg(b[2]-a[2]) AS dx, avg(b[3]-a[3]) AS dy FROM l),
+    v AS (SELECT var_pop(mx) AS a, covar_pop(mx,my) AS b, var_pop(my) AS c FROM h WHERE abs(mx-my) < 400), p AS (SELECT (a+c)/2+sqrt(power((a-c)/2,2)+b*b) AS e1, (a+c)/2-sqrt(power((a-c)/2,2)+b*b) AS e2, ((90-degrees(0.5e0*atan2(2*b,a-c)))%180+180)%180 AS az FROM v)
+    SELECT 'inline' AS method, round(((degrees(atan2(b[3]-a[3],b[4]-a[4]))+90)%180+180)%180,4) AS azimuth FROM e WHERE n > 10
+    UNION ALL SELECT 'shot lines', round(CASE WHEN atan2(dx,dy) < 0 THEN degrees(atan2(dx,dy))+180 ELSE degrees(atan2(dx,dy)) END,4) FROM s WHERE n > 3
+    UNION ALL SELECT 'principal axis', round(CASE WHEN e2 <= 0 OR e1/e2 < 1.2e0 OR az < 3 OR az > 177 THEN 0 WHEN abs(az-90) < 3 THEN 90 ELSE az END,4) FROM p""")
+def acquisition_azimuth(spark, d):
+    """Three surveys that each have one thing less to go by."""
+    h = headers(spark, d).withColumns({"il": F.floor(F.col("my") / 100.0).cast("long"), "xl": F.floor((F.col("mx") + F.col("my") / 4.0) / 25.0).cast("long")})
+    ways = (azimuth.acquisition_azimuth(h, "trace_idx", "il", "xl", "shot_id"), azimuth.acquisition_azimuth(h, "trace_idx", line="shot_id"), azimuth.acquisition_azimuth(h.where("abs(mx - my) < 400"), "trace_idx"))
+    found = ways[0].union(ways[1]).union(ways[2])
+    return found.select("method", F.round("azimuth", 4).alias("azimuth"))
