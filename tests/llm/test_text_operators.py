@@ -149,6 +149,7 @@ def test_toxicity_learns_pairs_and_survives_odd_tables(spark):
     assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.97
     assert toxicity.score_documents(frame(spark, ODD), marks.limit(0)).count() == len(ODD)
     assert toxicity.reject_toxic(frame(spark, ODD), marks.limit(0)).columns == frame(spark, ODD).columns
+    assert toxicity.reject_toxic(frame(spark, ODD), marks.limit(0)).count() == len(ODD)
 
 
 def test_lines_keep_one_of_each_group(spark):

@@ -126,7 +126,7 @@ def fit(labels: np.ndarray, texts: list[np.ndarray], factors: int = FACTORS, epo
     machine = Machine(index, 0.0, np.zeros(len(index)), rng.normal(0, 0.01, (len(index), factors)))
     positive = float(labels.sum())
     if not len(index) or positive in (0.0, float(len(labels))):
-        machine.bias = float(np.log((positive + 1) / (len(labels) - positive + 1)))
+        machine.bias = float(np.log((positive + 1) / (len(labels) - positive + 2)))  # under one half without labels
         return machine
     share = {1: 0.5 * len(labels) / positive, 0: 0.5 * len(labels) / (len(labels) - positive)}
     rows = [np.flatnonzero(np.isin(index, t, assume_unique=True)) for t in texts]
@@ -228,6 +228,9 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def reject_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``df``, all columns, that score under ``threshold``."""
+    """The rows of ``df``, all columns, that score under ``threshold``; a null text is an empty one, repeated rows stay or go together.
+
+    Without any label no row goes, and an empty table stays empty.
+    """
     machine = learn(df, labels, **options)
     return scores(df, machine, whole_row(df), options.get("text_col", "text")).where(F.col("score") < threshold).select("row.*")
