@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.plans.registry import query
 from wavegrid.plans.volumes import _folder
-from wavegrid.sources import segy
+from wavegrid.sources import arraystore, segy
 from wavegrid.sources.survey import headers, traces
 from wavegrid.streaming import resume
 
@@ -60,3 +60,17 @@ def resumed_fold(spark, d):
         first = run.committed()[0]
         run.commit(run.rows(schema).where(F.col("batch") == first).drop("batch").checkpoint(), first)
     return run.total(["cx", "cy"], ["fold"], schema)
+
+
+@query("WITH {traces} SELECT trace_idx AS trace_no, len(samples) AS n, round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) FOR x IN samples]),5) AS total FROM traces WHERE trace_idx BETWEEN 20 AND 59 OR trace_idx IN (3, 77)")
+def array_store_traces(spark, d):
+    """Traces of two chunked stores, a trace a row and a sample a row, of which filters open a few chunks."""
+    rows = traces(spark, d).select(F.col("trace_idx").alias("trace_no"), "samples")
+    n = rows.agg(F.max("trace_no")).first()[0] + 1
+    home = _folder(spark)
+    arraystore.write(rows, f"{home}/rows", n, 64, 16, 24)
+    arraystore.write(rows, f"{home}/columns", n, 64, 10, 64, trace_axis=1, codec=None)
+    held = arraystore.read(spark, f"{home}/rows").where("trace_no >= 20 AND trace_no < 60")
+    held = held.union(arraystore.read(spark, f"{home}/columns", 1).where("trace_no IN (3, 77)"))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return held.select("trace_no", F.size("samples").cast("long").alias("n"), F.round(total, 5).alias("total"))
