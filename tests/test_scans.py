@@ -180,3 +180,13 @@ def test_azimuth_goes_by_the_first_that_has_enough(spark):
     assert pick(df.where("xl < 8"), inline="il", crossline="xl", line="line") == (90.0, "shot lines")
     assert pick(df.where("xl < 8 AND line < 3"), inline="il", crossline="xl", line="line")[1] == "principal axis"
     assert pick(df.where("il = 0")) == (0.0, "principal axis") and pick(df.limit(0)) == (None, None)
+
+
+def test_histograms_by_width_and_by_range(spark):
+    from wavegrid.operators import aggregates as A
+
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 9.9, 10.0, 355.0, 360.0, 360.1, None)], "v double")
+    counts = A.histogram(df, F.col("v"), 0.0, 10.0, 36)
+    assert {r.bin: r.n for r in counts.collect()} == {0: 2, 1: 1, 35: 2}
+    assert tuple(A.dominant_bin(counts).first()) == (0, 2)
+    assert [tuple(r) for r in A.range_histogram(df, "v", 4, 0.0, 360.0).orderBy("bin").collect()] == [(0, 0.0, 3), (1, 90.0, 0), (2, 180.0, 0), (3, 270.0, 2)]

@@ -120,7 +120,7 @@ def covariance_azimuth(df: DataFrame, x: str, y: str) -> DataFrame:
     return m.select(F.pmod(90.0 - angle, F.lit(180.0)).alias("azimuth"))
 
 
-def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+def range_histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
     """(bin, low, n) of ``bins`` bins of equal width from ``low`` to ``high``, the last one closed; empty ones too."""
     width = (high - low) / bins
     own = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("long")

@@ -306,7 +306,7 @@ def repeatable_sample(spark, d):
 def offset_histogram(spark, d):
     h = headers(spark, d)
     whole = h.agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.avg("offset").alias("mean"), F.stddev_pop("offset").alias("std"))
-    return r6(A.histogram(h, "offset", 50, 0.0, 1000.0).join(F.broadcast(whole)), "lo", "hi", "mean", "std")
+    return r6(A.range_histogram(h, "offset", 50, 0.0, 1000.0).join(F.broadcast(whole)), "lo", "hi", "mean", "std")
 
 
 @query("WITH {headers} SELECT count(*) AS n, round(avg(azimuth),6) AS mean, round(stddev_pop(azimuth),6) AS std, round(((degrees(atan2(sum(sin(radians(azimuth))),sum(cos(radians(azimuth)))))%360)+360)%360,4) AS direction, round(sqrt(power(avg(sin(radians(azimuth))),2)+power(avg(cos(radians(azimuth))),2)),6) AS strength FROM headers")
