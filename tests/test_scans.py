@@ -9,6 +9,7 @@ from wavegrid.functions import sampling as P
 from wavegrid.functions import traveltime as T
 from wavegrid.operators import binsize as B
 from wavegrid.operators import cubes
+from wavegrid.operators import migration as M
 from wavegrid.operators import quality as Q
 from wavegrid.operators import velocity as V
 from wavegrid.sources import tables
@@ -190,3 +191,12 @@ def test_histograms_by_width_and_by_range(spark):
     assert {r.bin: r.n for r in counts.collect()} == {0: 2, 1: 1, 35: 2}
     assert tuple(A.dominant_bin(counts).first()) == (0, 2)
     assert [tuple(r) for r in A.range_histogram(df, "v", 4, 0.0, 360.0).orderBy("bin").collect()] == [(0, 0.0, 3), (1, 90.0, 0), (2, 180.0, 0), (3, 270.0, 2)]
+
+
+def test_antialiased_image_at_time_zero_under_a_midpoint(spark):
+    traces = spark.createDataFrame([(1, -20.0, 0.0, 20.0, 0.0, 0.0, 0.0, [1.0] * 64), (2, 0.0, 0.0, 60.0, 0.0, 30.0, 0.0, [1.0] * 64)], "trace_idx long, sx double, sy double, rx double, ry double, mx double, my double, samples array<double>")
+    points = spark.createDataFrame([(0, 0, 0.0, 0.0)], "ix long, iy long, x double, y double")
+    times = spark.createDataFrame([(0, 0.0), (10, 0.08)], "it long, t0 double")
+    for obliquity, least in ((True, 0.0), (False, 1.0)):
+        at_zero, later = M.migrate(traces, points, times, M.Options(dominant_frequency=30.0, method="cubic", obliquity=obliquity)).orderBy("it").collect()
+        assert (at_zero.amp, at_zero.fold) == (least, 2) and later.amp > 0 and later.fold == 2

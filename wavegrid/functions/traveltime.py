@@ -97,6 +97,12 @@ def common_offset_time(t0: Column, half_offset: Column, d: Column, v: Column) ->
     return sqrt(t0 * t0 + 4.0 * half_offset * half_offset / (v * v) + 4.0 * d * d / (v * v))
 
 
+def dip_sine(d: Column, z: Column) -> Column:
+    """Sine of the angle from the vertical of a ray from depth ``z`` to a place ``d`` aside; 0 where both are 0."""
+    path = sqrt(d * d + z * z)
+    return d / where(path > 0, path, 1.0)
+
+
 def alias_frequency(v: Column, dx: float, sin_theta: Column) -> Column:
     """Highest frequency without spatial aliasing; 500 Hz at most and where the ray is nearly vertical."""
     return where(sin_theta < 0.01, 500.0, least(v / (4.0 * dx * least(sin_theta, 0.999)), 500.0))

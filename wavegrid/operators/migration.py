@@ -114,7 +114,7 @@ class Tile:
         if o.obliquity:
             amp *= T.obliquity(t0, t)
         if o.dominant_frequency:
-            amp *= T.alias_weight(v, o.grid_spacing, d / np.sqrt(d * d + (v * t0 / 2.0) ** 2), o.dominant_frequency)
+            amp *= T.alias_weight(v, o.grid_spacing, T.dip_sine(d, v * t0 / 2.0), o.dominant_frequency)
         k, j = np.nonzero(inside & (d > reach * (1.0 - o.taper)))
         amp[k, j] *= T.taper(d[k, 0], reach[0, j], o.taper)
         amp[~inside] = 0.0
