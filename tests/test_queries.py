@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,14 @@ def test_spacings_cross_cells_and_odd_tables(spark):
     assert B.by_histogram(even.limit(0)).first().confidence == 0.0
 
 
+def test_bin_size_histogram_of_orders_without_a_spacing(spark, tmp_path):
+    rows = [(i, i % 40, 1000.0 + i / 100) for i in range(200)]
+    for name, orders in (("close", rows), ("one", rows[:1]), ("none", []), ("odd", [*rows, (300, 7000, None), (301, None, 2000.0)])):
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        got, want = plans.QUERIES["bin_size_histogram"](spark, f"{tmp_path}/{name}").collect(), duckdb.sql(plans.ORACLE["bin_size_histogram"].replace("FROM orders", f"FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")).fetchall()
+        assert [tuple(r) for r in got] == want and len(want) == (name == "odd")
+
+
 def test_butterworth_passes_the_band_only(spark):
     dt = 0.004
     waves = {f: [math.sin(2 * math.pi * f * i * dt) for i in range(500)] for f in (2.0, 30.0, 110.0)}

@@ -52,11 +52,11 @@ def modal(values: DataFrame, column: str, width: float = 5.0) -> tuple[float, fl
 def by_histogram(df: DataFrame, x: str = "mx", y: str = "my", azimuth: float = 0.0, width: float = 5.0) -> DataFrame:
     """One row: raw_dx, raw_dy, dx, dy (the nearest standard sizes), confidence, fold and n.
 
-    Coordinates are first turned by ``azimuth`` degrees. Without two different values on an axis, both sizes
-    are 25 and the confidence is 0.
+    Coordinates are first turned by ``azimuth`` degrees, which needs both; at 0 each axis counts by itself. Without a spacing on
+    an axis, both sizes are 25 and the confidence, which is above 0 otherwise, is 0.
     """
     c, s = math.cos(math.radians(azimuth)), math.sin(math.radians(azimuth))
-    turned = df.select((F.col(x) * c + F.col(y) * s).alias("u"), (F.col(y) * c - F.col(x) * s).alias("v"))
+    turned = df.select((F.col(x) * c + F.col(y) * s).alias("u"), (F.col(y) * c - F.col(x) * s).alias("v")) if azimuth else df.select(F.col(x).alias("u"), F.col(y).alias("v"))
     (raw_dx, sure_x), (raw_dy, sure_y) = (modal(spacings(turned, k), "gap", width) for k in ("u", "v"))
     if not raw_dx or not raw_dy:
         raw_dx, raw_dy, sure_x, sure_y = 25.0, 25.0, 0.0, 0.0
