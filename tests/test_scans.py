@@ -200,3 +200,24 @@ def test_antialiased_image_at_time_zero_under_a_midpoint(spark):
     for obliquity, least in ((True, 0.0), (False, 1.0)):
         at_zero, later = M.migrate(traces, points, times, M.Options(dominant_frequency=30.0, method="cubic", obliquity=obliquity)).orderBy("it").collect()
         assert (at_zero.amp, at_zero.fold) == (least, 2) and later.amp > 0 and later.fold == 2
+
+
+def test_neighbour_distances_of_crowds_copies_and_far_points(spark, monkeypatch):
+    import random
+
+    from wavegrid.operators import joins as J
+
+    monkeypatch.setattr(J, "TILE_POINTS", 8)
+    monkeypatch.setattr(J, "SEEN_POINTS", 24)
+    rng = random.Random(5)
+    places = [(rng.random() * 100, rng.random() * 100) for _ in range(150)] + [(50 + rng.random() * 2, 50 + rng.random() * 2) for _ in range(150)] + [(1e3, -1e3), (0.0, 0.0), (-0.0, 0.0)]
+    rows = places + places[:40] * 3 + [(None, 1.0), (float("nan"), 1.0), (1.0, float("inf"))]
+    got = {(r.mx, r.my): (r.n, r.dist) for r in J.neighbour_distances(spark.createDataFrame(rows, "mx double, my double")).collect()}
+    want = {}
+    held = [p for p in rows if p[0] is not None and abs(p[0]) < 1e9 and abs(p[1]) < 1e9]
+    for i, (a, b) in enumerate(held):
+        want[a, b] = (held.count((a, b)), min(((a - c) ** 2 + (b - d) ** 2) ** 0.5 for j, (c, d) in enumerate(held) if i != j))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    for few in ([], [(1.0, 2.0)], [(1.0, 2.0)] * 3, [(1.0, 2.0), (4.0, 6.0)]):
+        df = spark.createDataFrame(few, "mx double, my double")
+        assert [r.dist for r in J.neighbour_distances(df).collect()] == {0: [], 1: [None], 3: [0.0], 2: [5.0, 5.0]}[len(few)]

@@ -69,19 +69,16 @@ def by_histogram(df: DataFrame, x: str = "mx", y: str = "my", azimuth: float = 0
 def by_neighbours(df: DataFrame, ident: str, x: str = "mx", y: str = "my") -> DataFrame:
     """One row: raw size (the median distance to the nearest other point over the root of two), size, confidence, fold and n.
 
-    ``ident`` is unique. The confidence falls as distances differ; fewer than two points give 25 and 0.
+    ``ident`` is unique; rows of one place are 0 apart. The confidence falls as distances differ; fewer than two points give 25 and 0.
+    Rows without two finite coordinates take no part.
     """
-    from wavegrid.operators.joins import nearest_join
+    from wavegrid.operators.joins import neighbour_distances
     from wavegrid.operators.quality import quantiles
 
-    points = df.select(F.col(ident).alias("p"), F.col(x).cast("double").alias("mx"), F.col(y).cast("double").alias("my")).where("mx IS NOT NULL AND my IS NOT NULL")
-    n, width, height = points.agg(F.count(F.lit(1)), F.max("mx") - F.min("mx"), F.max("my") - F.min("my")).first()
-    median, spread = 0.0, 0.0
-    if n > 1:
-        queries = points.select(F.col("p").alias("q"), F.col("mx").alias("x"), F.col("my").alias("y"))
-        near = nearest_join(points, queries, 2, max(math.sqrt(width * height / n), (width + height) / n, LEAST), "p", "q").where("p <> q").groupBy("q").agg(F.min("dist").alias("dist"))
-        median = quantiles(near, "dist", [0.5])[0]
-        spread = near.agg(F.stddev_pop("dist")).first()[0]
+    near = neighbour_distances(df, x, y)
+    near = near.select("mx", "my", "dist", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).checkpoint()
+    n, width, height, spread = near.agg(F.count(F.lit(1)), F.max("mx") - F.min("mx"), F.max("my") - F.min("my"), F.stddev_pop("dist")).first()
+    median = quantiles(near, "dist", [0.5])[0] if n > 1 else 0.0
     raw = median / math.sqrt(2.0) if n > 1 else 25.0
     found = df.sparkSession.range(1).select(F.lit(raw).alias("raw"), standard_bin(F.lit(raw)).alias("size"), F.lit(max(0.0, 1.0 - spread / median) if median > 0 else 0.0).alias("confidence"), F.lit(n).cast("long").alias("n"))
     area = F.lit((width or 0.0) * (height or 0.0))
