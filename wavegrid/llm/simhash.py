@@ -7,7 +7,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.buckets import near_links
@@ -69,6 +69,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def covering_keys(fp: Column, radius: int) -> Column:
+    """Buckets of a fingerprint, one a mask: any two of at most ``radius`` differing bits share one."""
+    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(radius))])
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, ngram: int = 4) -> DataFrame:
     """``(id, fp, component)`` for every row: component is the smallest id that links of at most ``radius`` differing bits reach.
 
@@ -84,8 +89,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ensure_checkpoint_dir(df.sparkSession)
     rows = fingerprints(df, id_col, text_col, ngram).checkpoint()
     texts = rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).checkpoint()
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(radius))])
-    keyed = texts.where("node IS NOT NULL").select(F.explode(keys).alias("bucket"), "fp", "node")
+    keyed = texts.where("node IS NOT NULL").select(F.explode(covering_keys(F.col("fp"), radius)).alias("bucket"), "fp", "node")
     found = connected_components(near_links(keyed, radius))
     named = texts.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n").checkpoint()
     return hot_join(rows, named, ["fp"], "n").select("id", "fp", "component")
