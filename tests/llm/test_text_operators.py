@@ -233,6 +233,67 @@ def test_many_lines_of_one_fingerprint_are_cut(spark):
     assert {r.doc_id for r in out if r.text} == {0}
 
 
+def test_packed_members_meet_as_single_ones_do(spark):
+    rows = spark.range(3000).selectExpr("array(id % 700, 10000 + id % 2, 20000 + id) AS buckets", "xxhash64(id % 5) AS fp", "CAST(5 + id % 3 AS INT) AS table", "id AS node")
+    keyed = rows.select(F.explode("buckets").alias("bucket"), "fp", "table", "node")
+    want = {frozenset((a, b)) for k, n in ((700, 3000), (2, 3000)) for a in range(n) for b in range(a + k, n, k)}
+
+    def met(df, cut):
+        def pairs(batches):
+            for columns in cut(batches):
+                bucket, node = columns[0].to_numpy(), columns[3].to_numpy()
+                at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                for i, j in zip(at[:-1], at[1:], strict=True):
+                    yield linededup.pa.RecordBatch.from_pydict({"nodes": [node[i:j].tolist()]})
+
+        return [r.nodes for r in df.mapInArrow(pairs, "nodes array<long>").collect() if len(r.nodes) > 1]
+
+    with pytest.MonkeyPatch.context() as m:
+        for chunk in (4096, 256):
+            m.setattr(buckets, "CHUNK", chunk)
+            m.setattr(buckets, "SAMPLED", 4)
+            packed = buckets.spread_packed(rows, 3)
+            assert packed.count() < 200
+            one, many = met(buckets.spread(keyed, "table", "node"), linededup.partial(buckets.groups, columns=4)), met(packed, buckets.packed_groups)
+            for found in (one, many):
+                assert {frozenset((a, b)) for own in found for a in own for b in own if a < b} == want
+                assert max(map(len, found)) < 3 * chunk
+        m.setattr(buckets, "MOST_LARGE", 1)
+        assert buckets.spread_packed(rows, 3) is None
+
+
+def test_links_of_buckets_of_any_size_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    lines, bucket = [], []
+    for k, n in enumerate([2, 3, 16, 17, 40, 300, 1]):
+        seeds = [rng.integers(0, 60, rng.integers(5, 40)).tolist() for _ in range(6)]
+        for _ in range(n):
+            line = list(seeds[rng.integers(6)])
+            for _ in range(rng.integers(0, 1 + len(line) // 4)):
+                at = int(rng.integers(len(line)))
+                line[at : at + int(rng.integers(2))] = rng.integers(0, 60, rng.integers(2)).tolist()
+            lines.append((line * 8 if rng.random() < 0.1 else line) or [1])
+            bucket.append(k)
+    texts = linededup.pa.array([" ".join(f"w{x}" for x in line).encode() for line in lines], linededup.pa.binary())
+    numbered, (u, v) = linededup.Numbered(linededup.pa.chunked_array([texts[:100], texts[100:]]), 0.8), np.triu_indices(120, 1)
+    right = np.array([linededup.alike(lines[a], lines[b], 0.8) for a, b in zip(u, v, strict=True)])
+    assert not (right & ~numbered.may(u, v)).any() and not (numbered.sure(u, v) & ~right).any() and numbered.sure(u, v).any()
+    ones = np.full(len(lines), 20, np.int32)
+    ids = np.arange(len(lines)) + 1000
+    batch = linededup.pa.RecordBatch.from_arrays([linededup.pa.array(x) for x in (np.array(bucket), np.zeros(len(lines), np.int64), ones, ids)] + [texts], ["bucket", "fp", "table", "node", "norm"])
+
+    def trees(pairs):
+        tree = {int(i): int(i) for i in ids}
+        for a, b in pairs:
+            a, b = sorted((tree[a], tree[b]))
+            tree = {i: a if t == b else t for i, t in tree.items()} if a != b else tree
+        return tree
+
+    links = [(x["a"], x["b"]) for out in linededup._verified(iter([batch]), linededup.Grams(0.8), 0.8) for x in out.to_pylist()]
+    want = [(int(ids[i]), int(ids[j])) for i in range(len(lines)) for j in range(i) if bucket[i] == bucket[j] and linededup.alike(lines[i], lines[j], 0.8)]
+    assert trees(links) == trees(want) and len(set(trees(want).values())) > 20
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [rng.normal(0, 0.2, 16).tolist() for _ in range(400)]
