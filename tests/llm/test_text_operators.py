@@ -258,6 +258,7 @@ def test_packed_members_meet_as_single_ones_do(spark):
             for found in (one, many):
                 assert {frozenset((a, b)) for own in found for a in own for b in own if a < b} == want
                 assert max(map(len, found)) < 3 * chunk
+            assert met(buckets.spread_packed(rows.limit(0), 3), buckets.packed_groups) == []
         m.setattr(buckets, "MOST_LARGE", 1)
         assert buckets.spread_packed(rows, 3) is None
 
